@@ -115,6 +115,15 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
 
 
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 (two bytes each in UTF-8) lower-cased, all other bytes kept."""
+    out = lower_ascii(buf)
+    second = np.zeros(len(buf), bool)
+    second[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+    out[second] += np.uint8(32)
+    return out
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the n words at each word that has n words of its text from it on, and those words' indexes."""
     total = len(hashes)
