@@ -59,6 +59,11 @@ class SpanHash:
         self._sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self._sums[1:])
 
+    def rolling(self, size: int) -> np.ndarray:
+        """Unmixed hash of the ``size`` bytes from each byte on at which they fit: equal bytes have equal hashes."""
+        n = len(self._sums) - size
+        return (self._sums[size:] - self._sums[:n]) * self._down[:n] if n > 0 else np.zeros(0, np.uint64)
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self._sums[end] - self._sums[start]) * self._down[start]
         return mix(h + (end - start).astype(np.uint64) * MIX_2)

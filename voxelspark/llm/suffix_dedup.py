@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, chunks, drop_stash, mix, partitions_of, row_key, stash, text_bytes
+from .common import MIX_1, S33, SpanHash, chunks, drop_stash, mix, partitions_of, row_key, stash, text_bytes
 
 GRAM = 32
 #: Low bits of an anchor's sort key that hold its place; texts may have up to 2^30 bytes.
@@ -30,6 +30,7 @@ SLICE = 2000
 SORT_BYTES = 1 << 20
 #: Symbols in a sort key, of nine bits each: 0 ends a fragment, a byte is its value plus 1.
 KEY_SYMBOLS = 7
+LADDER = [224, 112, 56, 28, 14, 7]
 
 
 def anchors(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -39,21 +40,27 @@ def anchors(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) ->
     long = np.flatnonzero(end - begin >= length)
     if not len(long):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    at = np.arange(n - GRAM + 1)
-    h = spans(at, at + GRAM)
-    key = (h & ~PLACE) | at.astype(np.uint64)
+    h = spans.rolling(GRAM) * MIX_1
+    h ^= h >> S33
+    key = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(key) // w) * w + w, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(key)] = key
     blocks = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     least = np.minimum(back[: len(key) - w + 1], ahead[w - 1 : len(key)])
-    chosen = (least & PLACE).astype(np.int64)
-    windows = np.concatenate([np.arange(b, e - length + 1) for b, e in zip(begin[long], end[long], strict=True)])
-    text = np.repeat(long, end[long] - begin[long] - length + 1)
-    chosen = chosen[windows]
-    edge = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])))
-    return text[edge], windows[edge], np.diff(np.append(edge, len(windows))), h[chosen[edge]]
+    # Windows inside texts, as a mask with a border on either side.
+    change = np.zeros(len(least) + 2, np.int8)
+    change[begin[long] + 1] += 1
+    np.subtract.at(change, np.minimum(end[long] - length + 2, len(least) + 1), 1)
+    inside = np.cumsum(change, dtype=np.int8) > 0
+    inside[-1] = False
+    other = np.ones(len(least) + 1, bool)
+    other[1:-1] = least[1:] != least[:-1]
+    first = np.flatnonzero(inside[1:-1] & (other[:-1] | ~inside[:-2]))
+    last = np.flatnonzero(inside[1:-1] & (other[1:] | ~inside[2:]))
+    text = np.searchsorted(begin, first, "right") - 1
+    return text, first, last - first + 1, h[(least[first] & PLACE).astype(np.int64)]
 
 
 def two_stage_suffix_array(t: np.ndarray, spans: SpanHash, depth: int) -> np.ndarray:
@@ -71,7 +78,13 @@ def two_stage_suffix_array(t: np.ndarray, spans: SpanHash, depth: int) -> np.nda
     for k in range(KEY_SYMBOLS):
         keys[:n] |= padded[k : n + k] << np.uint64(9 * (KEY_SYMBOLS - 1 - k))
 
-    # Stage one: direct sort.
+    # Stage one: direct sort. Hashes of the next 224, 112, ... 7 symbols tell in six steps how much two suffixes share.
+    ladder = []
+    for size in LADDER:
+        rung = np.arange(n + 2 * LADDER[0], dtype=np.uint64)
+        known = spans.rolling(size)
+        rung[: len(known)] = known
+        ladder.append((size, rung))
     direct = np.flatnonzero(smaller)
     direct = direct[np.argsort(keys[direct], kind="stable")]
     tied = keys[direct[1:]] == keys[direct[:-1]]
@@ -86,16 +99,10 @@ def two_stage_suffix_array(t: np.ndarray, spans: SpanHash, depth: int) -> np.nda
         head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         size = np.diff(np.append(head, len(g)))
         lead = np.repeat(own[head], size)
-        # What all of a group share is skipped: the least common prefix with the group's first.
-        low = np.full(len(own), KEY_SYMBOLS)
-        high = np.minimum(depth, n - np.maximum(own, lead))
-        while True:
-            open_ = low < high
-            if not open_.any():
-                break
-            mid = (low + high + 1) // 2
-            same = spans(own, own + mid) == spans(lead, lead + mid)
-            low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+        # What all of a group share is skipped: the least common prefix with the group's first, in whole keys.
+        low = np.zeros(len(own), np.int64)
+        for k, rung in ladder:
+            low += k * (rung[own + low] == rung[lead + low])
         low[head] = depth
         common = np.repeat(np.minimum.reduceat(low, head), size)
         rest = common < depth
@@ -293,8 +300,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``length`` bytes or more are removed whole. Null ids are carried. Extra columns are ignored. An empty table gives
     an empty result. Texts are read whole.
     """
-    if length <= GRAM:
-        raise ValueError(f"length must be over {GRAM}")
+    if not GRAM < length <= sum(LADDER):
+        raise ValueError(f"length must be over {GRAM} and at most {sum(LADDER)}")
     rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).withColumn("k_id", F.col("k_id").cast("long"))
     spans = repeated_spans(rows, length)
     same = rows["k_id"].eqNullSafe(spans["k_id"]) & (rows["k_text"] == spans["k_text"])
