@@ -18,14 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_bytes
+from .common import Chunk, SpanHash, chunks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-#: Words and parts of words whose ids a worker keeps; a full table starts anew. Longer words aren't kept.
-CACHE_WORDS, CACHE_PARTS, LONG_WORD = 400_000, 800_000, 64
-#: Bytes of text that are encoded in one call, unless a single text is longer.
-ENCODE_BYTES = 1 << 20
+#: Words and their ids, and parts of words, that a worker keeps; a full table starts anew. Longer parts aren't kept.
+CACHE_WORDS, CACHE_IDS, CACHE_PARTS, LONG_WORD = 3_000_000, 20_000_000, 700_000, 64
 #: From this class on, a bin of pieces just over the next class's size wastes at most 1 / class of its capacity.
 FINE_CLASS = 64
 
@@ -33,8 +31,9 @@ FINE_CLASS = 64
 class WordIds:
     """Ids of whole texts, word by word: white space ends every token of the tokenizer, so words are independent.
 
-    A word of plain letters and ASCII marks behind them is two parts to the tokenizer, which ignores case; the ids of
-    such parts are kept too, and new parts are encoded in one call. Other words are encoded as they are.
+    A table of 64-bit word hashes says where in a pool the ids of known words lie; all words of a chunk are looked up
+    at once. A new word of plain letters and ASCII marks behind them is two parts to the tokenizer, which ignores case;
+    the ids of such parts are kept too, and new parts are encoded in one call. Other words are encoded as they are.
     """
 
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|<>]*)|([.,;:!?#$%&*|]+)")
@@ -46,8 +45,12 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _encode(self, parts: list[str], each: bool) -> None:
         """Keeps the ids of parts; those that are one token run each end with an end-of-word token."""
@@ -58,46 +61,69 @@ class WordIds:
             cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cut) == len(parts) and cut[-1] == 4 * len(ids):
                 data = ids.tobytes()
-                self.parts.update((w, data[i:j]) for w, i, j in zip(parts, [0, *cut[:-1]], cut, strict=True))
+                self.parts.update(zip(parts, map(data.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
                 return
         for w, x in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True):
             self.parts[w] = np.array(x.ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        words, parts = self.words, self.parts
-        if len(words) > CACHE_WORDS:
-            words.clear()
+    def _learn(self, words: list[str], keys: np.ndarray) -> None:
+        """Adds new words, whose hashes are sorted, to the table."""
+        parts = self.parts
         if len(parts) > CACHE_PARTS:
             parts.clear()
-        split = [t.split() for t in texts]
-        made: dict[bytes, tuple[str, ...]] = {}
+        made: list[tuple[str, ...]] = []
         plain: dict[str, None] = {}
         other: dict[str, None] = {}
-        for w in {w for found in split for w in found if w not in words}:
-            text = w.decode()
+        for text in words:
             m = self.PLAIN.fullmatch(text)
             if m is None:
-                made[w] = (text,)
+                own: tuple[str, ...] = (text,)
                 if text not in parts:
                     other[text] = None
             else:
                 letters, marks, alone = m.groups()
-                made[w] = own = (alone,) if alone else (letters.lower(), marks) if marks else (letters.lower(),)
+                own = (alone,) if alone else (letters.lower(), marks) if marks else (letters.lower(),)
                 for x in own:
                     if x not in parts:
                         plain[x] = None
+            made.append(own)
         self._encode(list(plain), each=False)
         self._encode(list(other), each=True)
-        words.update((w, b"".join([parts[x] for x in own])) for w, own in made.items())
-        for found in split:
-            yield b"".join(map(words.__getitem__, found))
-        for w in made:
-            if len(w) > LONG_WORD:
-                del words[w]
+        ids = [b"".join([parts[x] for x in own]) for own in made]
         for x in other:
             if len(x) > LONG_WORD:
                 del parts[x]
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        data = np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(data) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(data), np.uint32)])
+        self.pool[self.used : self.used + len(data)] = data
+        where = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(count) - count)
+        self.count = np.insert(self.count, where, count)
+        self.keys = np.insert(self.keys, where, keys)
+        self.used += len(data)
+
+    def __call__(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a chunk, one behind the other, and where each text's begin (with a last entry)."""
+        if len(self.keys) > CACHE_WORDS or self.used > CACHE_IDS:
+            self._forget()
+        starts, ends, first = chunk.words()
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(first), np.int64)
+        keys, sample, inverse = np.unique(SpanHash(chunk.buf)(starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
+        if new.any():
+            raw = chunk.buf.tobytes()
+            self._learn([raw[i:j].decode() for i, j in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)], keys[new])
+            place = np.searchsorted(self.keys, keys)
+        count = self.count[place][inverse]
+        behind = np.cumsum(count)
+        ids = self.pool[np.repeat(self.at[place][inverse] - (behind - count), count) + np.arange(behind[-1])]
+        return ids, np.append(0, behind)[first]
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -198,19 +224,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=NAMES)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            at = 0
-            while at < len(ids):
-                stop, size = at, 0
-                while stop < len(ids) and (stop == at or size + len(texts[stop]) < ENCODE_BYTES):
-                    size += len(texts[stop])
-                    stop += 1
-                for doc_id, tokens in zip(ids[at:stop], encode(texts[at:stop]), strict=True):
-                    rows.extend(packer.add(doc_id, tokens + end))
+            names = batch.column(0).to_pylist()
+            for chunk in chunks(batch.column(1)):
+                ids, begin = encode(chunk)
+                data, cut = ids.tobytes(), (4 * begin).tolist()
+                for i in range(len(cut) - 1):
+                    rows.extend(packer.add(names[chunk.first + i], data[cut[i] : cut[i + 1]] + end))
                     if len(rows) > 20_000:
                         yield batch_of()
                         rows.clear()
-                at = stop
         rows.extend(packer.finish())
         if rows:
             yield batch_of()
