@@ -50,13 +50,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     boilerplate = spread_lines(docs, text_col, site_col, min_sites, min_chars)
     key = row_key(id_col, text_col)
     hits = line_hashes(docs, text_col, min_chars, *key).join(boilerplate, "h").groupBy("k_id", "k_text").agg(F.collect_set("h").alias("k_hits"))
-    keyed = docs.select("*", *[k.alias(f"__{n}") for k, n in zip(key, ("id", "text"), strict=True)])
-    same = keyed["__id"].eqNullSafe(hits["k_id"]) & (keyed["__text"] == hits["k_text"])
-    joined = keyed.join(hits.hint("shuffle_hash"), same, "left")
+    mark = "k"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    own_id, own_text, hit_list = f"{mark}1", f"{mark}2", f"{mark}5"
+    keyed = docs.select("*", key[0].alias(own_id), key[1].alias(own_text))
+    found = hits.toDF(f"{mark}3", f"{mark}4", hit_list)
+    same = keyed[own_id].eqNullSafe(found[f"{mark}3"]) & (keyed[own_text] == found[f"{mark}4"])
+    joined = keyed.join(found.hint("shuffle_hash"), same, "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    gone = lambda line: _counts(line, min_chars) & F.array_contains(F.col("k_hits"), F.xxhash64(line))
-    kept = F.when(F.col("k_hits").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda line: ~gone(line)), "\n"))
-    n_gone = F.when(F.col("k_hits").isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, gone)))
+    gone = lambda line: _counts(line, min_chars) & F.array_contains(F.col(hit_list), F.xxhash64(line))
+    kept = F.when(F.col(hit_list).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda line: ~gone(line)), "\n"))
+    n_gone = F.when(F.col(hit_list).isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, gone)))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))
     columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     return joined.select(*columns, n_lines.cast("long").alias("n_lines"), n_gone.cast("long").alias("n_removed_lines"))
