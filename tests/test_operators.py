@@ -200,3 +200,35 @@ def test_streamed_assembly(spark, tmp_path):
     q.stop()
     out = sorted((r.subject, r.z, r.data[1]) for r in spark.table("assembled").collect())
     assert out == [(1, 0, 0.0), (1, 1, 1.0), (1, 2, 2.0)]
+
+
+def test_command_filter(spark):
+    import sys
+
+    copy = [sys.executable, "-c", "import shutil, sys; shutil.copy(sys.argv[1], sys.argv[2])"]
+    df = table(spark, np.arange(6).reshape(2, 3))
+    assert np.array_equal(array_of(L.run_command(copy, enabled=True)(df)), array_of(df))
+    with pytest.raises(PermissionError):
+        L.run_command(copy)
+
+
+def test_registration_recovers_a_shift(spark):
+    y, x = np.indices((24, 24))
+    blob = lambda cy, cx: np.exp(-((y - cy) ** 2 / 30 + (x - cx) ** 2 / 12)) * 100
+    fixed, moving = (table(spark, blob(*c)).select("subject", "y", "x", "value") for c in ((12, 12), (14, 10)))
+    out = L.register_images(fixed, bins=16, iterations=40)(moving)
+    got = np.zeros((24, 24))
+    for r in out.collect():
+        got[r.y, r.x] = r.value
+    assert np.abs(got - blob(12, 12)).mean() < np.abs(blob(14, 10) - blob(12, 12)).mean() / 3
+
+
+def test_bias_correction_flattens(spark):
+    rng = np.random.default_rng(0)
+    truth = np.where(rng.random((6, 12, 12)) < 0.5, 50.0, 100.0)
+    field = np.exp(np.linspace(-0.4, 0.4, 12))[None, None, :]
+    df = table(spark, truth * field)
+    mask = table(spark, np.ones_like(truth))
+    out = array_of(L.correct_bias(mask)(df))
+    spread = lambda a: np.std(np.log(a[truth == 100]))
+    assert spread(out) < spread(truth * field) * 0.7

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import indexing as U
 from .functions import metrics as M
 from .operators import assemble as A
 from .operators import dataset as D
@@ -18,6 +20,7 @@ from .operators import surface as S
 from .operators import transform as T
 from .plans import fixtures as V
 from .plans.fixtures import with_views
+from .sources import images as I
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -661,12 +664,15 @@ def create_names(spark, sf_dir):
     return D.names(create_concat(spark, sf_dir).withColumn("category", F.lit("images")))
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> str:
-    """A dataset of two channels in the shared folder that the session names."""
-    import uuid
-
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the session names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/dataset-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """A dataset of two channels."""
+    path = _shared(spark, "dataset")
     D.create_dataset(create_concat(spark, sf_dir).withColumn("category", F.lit("images")), path)
     return path
 
@@ -714,6 +720,51 @@ def conv_flat_to_grid(spark, sf_dir):
     return flat.select("subject", *D.flat_to_grid(F.col("flat"), 8, 8), "value")
 
 
+def _image_files(spark, sf_dir) -> DataFrame:
+    """Each subject as the bytes of an image file."""
+    return I.encode_files(D.to_slices(V.voxels(spark, sf_dir)))
+
+
+def _subject_of(df: DataFrame) -> DataFrame:
+    return df.withColumn("subject", F.split("path", r"\.")[0].cast("int"))
+
+
+@query("src_load_image", vox(f"SELECT {VOX}, 0 channel, value FROM voxels"))
+def src_load_image(spark, sf_dir):
+    return _subject_of(I.decode_voxels(_image_files(spark, sf_dir))).select("subject", "z", "y", "x", "channel", "value")
+
+
+@query("ext_filesystem", vox("SELECT subject, y, x, value FROM voxels WHERE z = 4"))
+def ext_filesystem(spark, sf_dir):
+    return X.extract(_subject_of(I.decode_voxels(_image_files(spark, sf_dir))), X.index_bounds(4, 0)).select("subject", "y", "x", "value")
+
+
+@query("sink_fill", vox(f"SELECT {VOX}, CASE WHEN subject = 2 THEN 0.0 ELSE value END AS value FROM voxels"))
+def sink_fill(spark, sf_dir):
+    """A part of a stored table is written anew."""
+    path = _shared(spark, "fill")
+    v = V.voxels(spark, sf_dir)
+    v.write.partitionBy("subject").parquet(path)
+    v.where("subject = 2").withColumn("value", F.lit(0.0)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject").parquet(path)
+    return spark.read.parquet(path).select("subject", "z", "y", "x", "value")
+
+
+@query("sink_overwrite", vox("SELECT subject, z, y, x, value FROM voxels WHERE subject = 1"))
+def sink_overwrite(spark, sf_dir):
+    path = _shared(spark, "overwrite")
+    v = V.voxels(spark, sf_dir)
+    v.where("subject = 0").write.parquet(path)
+    v.where("subject = 1").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).select("subject", "z", "y", "x", "value")
+
+
+@query("udtf_patches", with_views("cubes", "SELECT s.subject, CAST(a.range*4 AS INTEGER) z0, CAST(b.range*4 AS INTEGER) y0, CAST(c.range*4 AS INTEGER) x0 FROM (SELECT DISTINCT subject FROM cubes) s, range(2) a, range(2) b, range(2) c"))
+def udtf_patches(spark, sf_dir):
+    U.register(spark)
+    X.shapes(V.cubes(spark, sf_dir)).createOrReplaceTempView("voxelspark_shapes")
+    return spark.sql("SELECT s.subject, p.z0, p.y0, p.x0 FROM voxelspark_shapes s, LATERAL patch_index(s.nz, s.ny, s.nx, 4, 4, 4) p")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

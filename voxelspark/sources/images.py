@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,8 +87,13 @@ def parse_image(path: str, data: bytes) -> tuple[np.ndarray, dict]:
     raise ValueError(f"no parser for {path}")
 
 
-def load_voxels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files as (path, z, y, x, channel, value); Spark reads the bytes, a task parses one file at a time."""
+def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, content); Spark reads the bytes."""
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
+
+
+def decode_voxels(files: DataFrame) -> DataFrame:
+    """Files (path, content) as (path, z, y, x, channel, value); a task parses one file at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +107,22 @@ def load_voxels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     values = flat.reshape(-1)[part].astype(np.float64)
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(values)), *[pa.array(a[part]) for a in index], pa.array(values)], names=["path", "z", "y", "x", "channel", "value"])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "path string, z int, y int, x int, channel int, value double")
+    return files.select("path", "content").mapInArrow(run, "path string, z int, y int, x int, channel int, value double")
+
+
+def encode_files(slices: DataFrame, key: str = "subject") -> DataFrame:
+    """Slices (key, z, width, data) as .mha files (path, content), one for each key."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("z")
+        array = np.stack([np.asarray(d, "<f8").reshape(-1, w) for d, w in zip(rows["data"], rows["width"], strict=True)])
+        return pd.DataFrame({"path": [f"{rows[key].iloc[0]}.mha"], "content": [write_mha(array, compressed=True)]})
+
+    return slices.groupBy(key).applyInPandas(run, "path string, content binary")
+
+
+def load_voxels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return decode_voxels(read_files(spark, paths))
 
 
 def load_properties(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -114,5 +134,4 @@ def load_properties(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 info = parse_image(path, data)[1]
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([info["size"]], pa.list_(pa.int32())), *[pa.array([info[k]], pa.list_(pa.float64())) for k in ("spacing", "origin", "direction")]], names=["path", "size", "spacing", "origin", "direction"])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "path string, size array<int>, spacing array<double>, origin array<double>, direction array<double>")
+    return read_files(spark, paths).mapInArrow(run, "path string, size array<int>, spacing array<double>, origin array<double>, direction array<double>")
