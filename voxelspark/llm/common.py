@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -161,6 +162,9 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files go when the driver's garbage is collected, which may otherwise be long after the write.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
