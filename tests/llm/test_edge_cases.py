@@ -221,6 +221,31 @@ def test_jaccard_components_by_brute_force(spark):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_crowds(spark):
+    """Many near copies of one text, of which some link only through others, and outsiders that share a passage."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"x{k}_{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:60] + [f"o{k}_{i}" for i in range(30)]) for k in range(20)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in rows(jaccard_components(df))}
+    assert got == dict(enumerate(root))
+
+
 def test_toxicity(spark, docs, empty):
     texts = [(i, f"a calm day number {i} in the garden by the water" if i % 4 else f"you stupid clown number {i} are trash in the garden") for i in range(400)]
     many = spark.createDataFrame(texts, "doc_id long, text string")

@@ -1,14 +1,15 @@
 """Exact n-gram Jaccard join with prefix trees.
 
 All sets share one global order of n-grams: frequent ones last, others by hash. Two sets of Jaccard similarity t or
-more have a common n-gram among the first |s| - ceil(t |s|) + 1 of each, so sets meet by those. Sets that meet are
-compared in prefix trees: the sets of a group lie in their order as a tree, a probe walks it, what two sets share of
+more have at least k common n-grams among the first |s| - ceil(t |s|) + k of each, so sets meet by those; k grows with
+the smaller set, so a shared passage alone makes no candidate. Sets that meet often enough are compared in prefix trees: the sets of a group lie in their order as a tree, a probe walks it, what two sets share of
 a path is counted once, and a subtree is left when the overlap so far and the lengths that remain can't reach the
 threshold.
 
 1. Each distinct set is told by a 64-bit hash of its n-grams; copies collapse to it.
-2. Sets that meet at an n-gram are first compared with the smallest of them only; links join them to components.
-3. Where one n-gram still holds several components, every pair across them whose sizes allow a link is compared.
+2. Sets that meet at an n-gram are first compared with a few leaders among them only; links join them to components.
+3. Where few sets with several components meet at an n-gram, pairs across components that meet often enough are
+   compared. Where many meet, those outside the largest component are compared with blocks of all the others.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ MAX_FREQUENT = 1 << 20
 SEEN_SETS = 200_000
 #: Slices of a probe's partners, so that no group of partners is read by one task.
 SLICES = 16
+#: The prefix of a set is longer by a share of its size, and candidates have as many more n-grams of prefixes in common.
+EXTRA = 20
+#: Sets that meet at one n-gram beyond this number are compared by blocks, of about so many sets each.
+CROWD, BLOCK = 32, 256
 #: Stands for a null id inside, larger than any.
 NO_ID = (1 << 63) - 1
 
@@ -125,7 +130,7 @@ ENTRY = np.dtype([("gram", "<u8"), ("set", "<i8"), ("n", "<u4")])
 
 
 def _meetings(docs: DataFrame, frequent, n: int, percent: int, parts: int) -> DataFrame:
-    """Groups (gid, set_id, n) of two or more sets that meet at one n-gram; equal groups share a gid."""
+    """Groups (gid, set_id, n, w) of two or more sets that meet at w n-grams; equal groups share a gid."""
 
     @_quiet
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +143,7 @@ def _meetings(docs: DataFrame, frequent, n: int, percent: int, parts: int) -> Da
                     h = set_hash(grams)
                     if not h or not seen.new(h):
                         continue
-                    keep = len(grams) - -(-percent * len(grams) // 100) + 1
+                    keep = len(grams) - -(-percent * len(grams) // 100) + 1 + len(grams) // EXTRA
                     if len(often):
                         place = np.minimum(np.searchsorted(often, grams), len(often) - 1)
                         known = often[place] == grams
@@ -181,56 +186,72 @@ def _meetings(docs: DataFrame, frequent, n: int, percent: int, parts: int) -> Da
         sums = np.zeros(len(entries) + 1, np.uint64)
         np.cumsum(mix(entries["set"].astype(np.uint64) + np.uint64(77)), out=sums[1:])
         gid = mix(sums[ends] - sums[ends - size] + size.astype(np.uint64))
-        _, firsts = np.unique(gid, return_index=True)
-        keep = np.zeros(len(size), bool)
-        keep[firsts] = True
-        rows = np.repeat(keep, size)
+        _, firsts, times = np.unique(gid, return_index=True, return_counts=True)
+        weight = np.zeros(len(size), np.int64)
+        weight[firsts] = times
+        rows = np.repeat(weight > 0, size)
         gids = np.repeat(gid, size)[rows].astype(np.int64)
+        weights = np.repeat(weight, size)[rows]
         entries = entries[rows]
         for i in range(0, len(entries), 50_000):
             part = entries[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(gids[i : i + 50_000]), pa.array(np.ascontiguousarray(part["set"])), pa.array(part["n"].astype(np.int64))], names=["gid", "set_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(gids[i : i + 50_000]), pa.array(np.ascontiguousarray(part["set"])), pa.array(part["n"].astype(np.int64)), pa.array(weights[i : i + 50_000])], names=["gid", "set_id", "n", "w"])
 
     sent = docs.mapInArrow(prefixes, "bucket int, entries binary")
-    return sent.repartition(parts, "bucket").mapInArrow(meet, "gid long, set_id long, n long")
+    return sent.repartition(parts, "bucket").mapInArrow(meet, "gid long, set_id long, n long, w long")
+
+
+class PrefixTree:
+    """Sets in their order as a tree, laid flat: sorted as sequences, with the length each shares with the one before."""
+
+    def __init__(self, members: list[np.ndarray]) -> None:
+        self.members = members
+        self.order = sorted(range(len(members)), key=lambda k: members[k].astype(">u8").tobytes())
+        self.shared = [0]
+        for i, j in zip(self.order, self.order[1:], strict=False):
+            m = min(len(members[i]), len(members[j]))
+            differ = np.flatnonzero(members[i][:m] != members[j][:m])
+            self.shared.append(int(differ[0]) if len(differ) else m)
+
+    def links(self, probe: np.ndarray, percent: int, groups: list[int] | None = None, own: int | None = None) -> list[int]:
+        """Members with a Jaccard similarity of percent or more to the probe; with groups, one of each but ``own``.
+
+        What a member shares with the path walked so far isn't counted again. A path is left as soon as what remains of
+        both sets can't bring the overlap to what the sizes need.
+        """
+        out: list[int] = []
+        done = set() if groups is None else {own}
+        counts = np.zeros(1, np.int64)  # overlap with the probe of each prefix of the path walked so far
+        for k, shared in zip(self.order, self.shared, strict=True):
+            grams = self.members[k]
+            shared = min(shared, len(counts) - 1)
+            counts = counts[: shared + 1]
+            if groups is not None and groups[k] in done:
+                continue
+            need = -(-percent * (len(probe) + len(grams)) // (100 + percent))
+            overlap = int(counts[shared])
+            passed = int(np.searchsorted(probe, grams[shared - 1], "right")) if shared else 0
+            while shared < len(grams) and overlap + min(len(grams) - shared, len(probe) - passed) >= need:
+                step = grams[shared : shared + 64]
+                place = np.searchsorted(probe, step)
+                hit = probe[np.minimum(place, len(probe) - 1)] == step
+                counts = np.concatenate([counts, overlap + np.cumsum(hit)])
+                overlap, passed, shared = int(counts[-1]), int(np.searchsorted(probe, step[-1], "right")), shared + len(step)
+            if shared == len(grams) and overlap >= need:
+                out.append(k)
+                if groups is not None:
+                    done.add(groups[k])
+        return out
 
 
 def tree_links(probe: np.ndarray, members: list[np.ndarray], percent: int) -> list[int]:
-    """Which members have a Jaccard similarity of percent or more with the probe.
+    """Which members have a Jaccard similarity of percent or more with the probe."""
+    return PrefixTree(members).links(probe, percent)
 
-    The members, sorted as sequences, are the prefix tree laid flat: what a member has in common with the one before
-    it is their shared path, whose overlap with the probe is not counted again. A path is left as soon as what remains
-    of both sets can't bring the overlap to what the sizes need, and with it every member below.
-    """
-    order = sorted(range(len(members)), key=lambda k: members[k].astype(">u8").tobytes())
-    links: list[int] = []
-    before: np.ndarray | None = None
-    counts = np.zeros(1, np.int64)  # overlap with the probe of each prefix of the path walked so far
-    for k in order:
-        own = members[k]
-        need = -(-percent * (len(probe) + len(own)) // (100 + percent))
-        if before is None:
-            shared = 0
-        else:
-            m = min(len(before), len(own), len(counts) - 1)
-            differ = np.flatnonzero(before[:m] != own[:m])
-            shared = int(differ[0]) if len(differ) else m
-        overlap = int(counts[shared])
-        passed = int(np.searchsorted(probe, own[shared - 1], "right")) if shared else 0
-        before, counts = own, counts[: shared + 1]
-        while shared < len(own) and overlap + min(len(own) - shared, len(probe) - passed) >= need:
-            step = own[shared : shared + 64]
-            place = np.searchsorted(probe, step)
-            hit = probe[np.minimum(place, len(probe) - 1)] == step
-            counts = np.concatenate([counts, overlap + np.cumsum(hit)])
-            overlap, passed, shared = int(counts[-1]), int(np.searchsorted(probe, step[-1], "right")), shared + len(step)
-        if shared == len(own) and overlap >= need:
-            links.append(k)
-    return links
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that are linked. texts: (set_id, text), one text for each set."""
+
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that are linked. rows: (doc_id, set_id, n) of docs."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), docs, rows, n)
     sliced = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SLICES)).cast("int").alias("slice"))
     probes = sliced.select("a", "slice").distinct().join(texts.withColumnRenamed("set_id", "a"), "a")
     members = sliced.join(texts.withColumnRenamed("set_id", "b"), "b")
@@ -264,6 +285,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return ordered.select("a", "slice", "role", "b", "text").mapInArrow(run, "a long, b long")
 
 
+def _texts(named: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(set_id, text): a text for each named set."""
+    holder = rows.join(named, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("holder"))
+    return stash(_texts_of(docs, holder, n))
+
+
+def _crowd_links(crowd: DataFrame, docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links across components among sets (gid, set_id, root) that meet in crowds.
+
+    Sets that crowds join form a cluster. Sets outside its largest component go to every block of it, the others to one.
+    """
+    lead = crowd.groupBy("gid").agg(F.min("set_id").alias("a"))
+    cluster = components(crowd.join(lead, "gid").select("a", F.col("set_id").alias("b")).distinct())
+    sets = stash(crowd.select("set_id", "root").distinct().join(cluster.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), "set_id"))
+    by_root = sets.groupBy("cluster", "root").count()
+    largest = by_root.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("roots")).where("roots > 1")
+    dealt = sets.join(largest, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    member = dealt.select("cluster", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "set_id", "root")
+    probe = dealt.where("root <> main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "set_id", "root")
+    texts = _texts(dealt.select("set_id").distinct(), docs, rows, n)
+    placed = member.unionByName(probe).join(texts, "set_id").repartition(partitions_of(docs.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block", "role", "set_id")
+
+    @_quiet
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, tree, members, names, roots = None, None, [], [], []
+        for batch in batches:
+            cluster, block, role, name, root = (batch.column(i).to_pylist() for i in range(5))
+            links: list[tuple[int, int]] = []
+            at = 0
+            for chunk in chunks(batch.column(5)):
+                for grams in shingle_sets(chunk, n):
+                    if (cluster[at], block[at]) != group:
+                        group, tree, members, names, roots = (cluster[at], block[at]), None, [], [], []
+                    if role[at] == 0:
+                        members.append(grams)
+                        names.append(name[at])
+                        roots.append(root[at])
+                    else:
+                        tree = tree or PrefixTree(members)
+                        links += [(name[at], names[k]) for k in tree.links(grams, percent, roots, root[at])]
+                    at += 1
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+
+    return placed.select("cluster", "block", "role", "set_id", "root", "text").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b); root is the component's smallest node.
 
@@ -299,32 +367,48 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scan = stash(_scan(docs, n))
     rows = scan.where("kind = 0").select(F.col("id").alias("doc_id"), "set_id", "n")
     counts = scan.where("kind = 1").groupBy("set_id").agg(F.sum("n").alias("n"))
-    top = counts.where("n >= 8").orderBy(F.desc("n"), "set_id").limit(MAX_FREQUENT).toArrow()  # bounded by MAX_FREQUENT
+    top = counts.where("n >= 3").orderBy(F.desc("n"), "set_id").limit(MAX_FREQUENT).toArrow()  # bounded by MAX_FREQUENT
     often = top.column("set_id").to_numpy().astype(np.uint64)
     order = np.argsort(often)
     frequent = spark.sparkContext.broadcast((often[order], -order))
 
-    meetings = stash(_meetings(docs, frequent, n, percent, parts))
-    lead = meetings.groupBy("gid").agg(F.min(F.struct("n", "set_id")).alias("lead"))
-    stars = meetings.join(lead, "gid").where(F.col("lead.set_id") != F.col("set_id")).select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b"), (F.col("n") * percent <= F.col("lead.n") * 100).alias("fits"))
-    stars = stars.where("fits").select("a", "b").distinct()
-
-    # One text for each set that meets another.
-    holder = rows.where("n > 0").join(meetings.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("holder"))
-    texts = stash(_texts_of(docs, holder, n))
-    linked = stash(_verified(stars, texts, n, percent))
+    met = stash(_meetings(docs, frequent, n, percent, parts))
+    meetings = stash(met.groupBy("gid", "set_id").agg(F.first("n").alias("n"), F.sum("w").alias("w")))
+    drop_stash(met)
+    # How many n-grams of their prefixes two sets have in common at least, by the smaller size.
+    enough = lambda c: F.col("w") >= 1 + F.floor(F.col(c) / EXTRA)
+    one = F.struct("n", "set_id")
+    leads = F.array_distinct(F.array(F.min(one), F.min_by(one, F.xxhash64("set_id")), F.max_by(one, F.xxhash64("set_id"))))
+    lead = meetings.groupBy("gid").agg(leads.alias("leads")).select("gid", F.explode("leads").alias("lead"))
+    near = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
+    stars = meetings.join(lead, "gid").where(F.col("lead.set_id") != F.col("set_id")).where(near)
+    stars = stars.groupBy(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.sum("w").alias("w"), F.first(F.least("n", "lead.n")).alias("n"))
+    stars = stash(stars.where(enough("n")).select("a", "b"))
+    linked = stash(_verified(stars, docs, rows, n, percent))
     roots = components(linked)
 
-    mixed = meetings.join(roots, meetings["set_id"] == roots["node"], "left").select("gid", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-    several = mixed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
-    left = stash(mixed.join(several, "gid", "left_semi"))
-    x, y = left.alias("x"), left.alias("y")
+    mixed = meetings.join(roots, meetings["set_id"] == roots["node"], "left").select("gid", "set_id", "n", "w", F.coalesce("root", "set_id").alias("root"))
+    several = mixed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("gid", "members")
+    left = stash(mixed.join(several, "gid"))
+    drop_stash(meetings)
+    few = left.where(F.col("members") <= CROWD)
+    x, y = few.alias("x"), few.alias("y")
     cross = x.join(y, F.col("x.gid") == F.col("y.gid")).where("x.root <> y.root AND (x.n < y.n OR (x.n = y.n AND x.set_id < y.set_id))").where(F.col("y.n") * percent <= F.col("x.n") * 100)
-    cross = cross.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stash(_verified(cross, texts, n, percent))
-    if more.limit(1).count():
-        roots = components(linked.unionByName(more))
-    drop_stash(meetings, texts, left, linked, more)
+    cross = cross.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.sum("x.w").alias("w"), F.first("x.n").alias("n"))
+    tested = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    cross = stash(cross.where(enough("n")).select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    found = [linked]
+    if cross.limit(1).count():
+        found.append(stash(_verified(cross, docs, rows, n, percent)))
+    crowd = left.where(F.col("members") > CROWD).select("gid", "set_id", "root")
+    if crowd.limit(1).count():
+        found.append(stash(_crowd_links(crowd, docs, rows, n, percent)))
+    if len(found) > 1:
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        roots = components(every)
+    drop_stash(stars, left, cross, *found)
 
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("low")).where("set_id <> 0")
     sets = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "low", F.coalesce("root", "set_id").alias("root"))
