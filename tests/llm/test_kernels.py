@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from voxelspark.llm.common import SpanHash
-from voxelspark.llm.decontaminate import align
+from voxelspark.llm.decontaminate import align, contaminated, may_reach
 from voxelspark.llm.ngram_join import tree_links
 from voxelspark.llm.packing import cuts
 from voxelspark.llm.repetition import suffix_array
@@ -64,6 +64,64 @@ def test_alignment():
     assert [s for s, _ in got] == [plain(a, b) for a, b in pairs]
 
 
+def plain_score(a, b):
+    """Smith-Waterman score of two word lists, cell by cell."""
+    last, best = [0] * (len(b) + 1), 0
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, last[j] + (2 if x == y else -1), last[j + 1] - 1, row[j] - 1))
+        last, best = row, max(best, *row)
+    return best
+
+
+def edited(words, every, how):
+    """A copy with every so many-th word replaced, dropped or followed by another."""
+    out = []
+    for k, w in enumerate(words, 1):
+        hit = k % every == 0
+        out += [] if hit and how == "drop" else [f"other{k}"] if hit and how == "replace" else [w, f"added{k}"] if hit else [w]
+    return out
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_edited_copies_against_all_alignments(spark, alone):
+    """One edited copy of an item is found even where the n-grams it lost occur nowhere and those it kept are common."""
+    rng = random.Random(6)
+    items = {k: [f"w{rng.randrange(60)}" for _ in range(rng.choice([12, 40, 64]))] for k in range(9)}
+    docs = {}
+    for k, words in items.items():
+        way, every = ("replace", "drop", "add")[k % 3], (8, 6, 5)[k // 3]
+        docs[k] = [f"pre{j}" for j in range(30)] + edited(words, every, way) + [f"post{j}" for j in range(30)]
+    if not alone:
+        for k in range(9, 60):
+            at = rng.randrange(len(items[k % 9]) - 6)
+            docs[k] = [f"w{rng.randrange(60)}" for _ in range(150)] + items[k % 9][at : at + rng.randint(4, 6)] + [f"z{rng.randrange(9)}" for _ in range(20)]
+    want = {}
+    for d, text in docs.items():
+        for i, words in items.items():
+            score = plain_score(words, text)
+            if score / (2 * len(words)) >= 0.6:
+                want[d, i] = score
+    assert all((k, k) in want for k in items)
+    frame = lambda x, name: spark.createDataFrame([(k, " ".join(w)) for k, w in x.items()], f"{name} long, text string")
+    out = contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in out} == want
+
+
+def test_bound_never_drops_an_alignment():
+    rng = np.random.default_rng(7)
+    reached = 0
+    for _ in range(400):
+        item = rng.integers(0, 30, rng.integers(1, 20)).astype(np.uint64)
+        copy = item[rng.random(len(item)) > 0.15]
+        window = np.concatenate([rng.integers(0, 40, rng.integers(0, 30)), copy, rng.integers(0, 40, rng.integers(1, 30))]).astype(np.uint64)
+        if plain_score(item.tolist(), window.tolist()) >= 0.6 * 2 * len(item):
+            reached += 1
+            assert may_reach(np.unique(item), len(item), window, 0.6)
+    assert reached > 100
+
+
 def test_tree_links():
     rng = np.random.default_rng(4)
     probe = np.unique(rng.integers(0, 400, 100).astype(np.uint64))

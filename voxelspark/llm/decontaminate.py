@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds propose windows of texts, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds propose windows of texts, Smith-Waterman alignment scores them.
 
 The n-grams of the test items go to every task in blocks of bounded size. One scan keeps, around the n-grams of a text
-that occur in items, windows of word hashes. How many windows hold an n-gram, over all texts, tells which n-grams of
-an item are rare; a window is aligned, word by word, with the items of which it holds a rare n-gram. Edited copies
-lose some n-grams but keep others, and the alignment bridges changed, dropped and added words.
+that occur in items, windows of word hashes. Every n-gram of an item is a seed, common or not: a window is a candidate
+of each item of which it holds one. A bound on the score by shared words alone, which no alignment exceeds, drops most
+candidates of common n-grams; the rest are aligned word by word. Edited copies lose some n-grams but keep others, and
+the alignment bridges changed, dropped and added words.
 """
 
 from __future__ import annotations
@@ -81,6 +82,31 @@ def align(item: list[np.ndarray], window: list[np.ndarray]) -> list[tuple[int, i
     return [(int(x), int(y)) for x, y in zip(best, at, strict=True)]
 
 
+def span_factor(min_ratio: float) -> float:
+    """Words of a text that an alignment of at least ``min_ratio`` covers at most, for each word of the item.
+
+    Words without a partner cost 1 each and matches give 2, for at most all words of the item.
+    """
+    return 1 + MATCH * (1 - min_ratio) / -max(MISMATCH, GAP)
+
+
+def may_reach(known: np.ndarray, n_words: int, window: np.ndarray, min_ratio: float) -> bool:
+    """Whether an item of ``n_words`` words, ``known`` its distinct ones sorted, can reach the ratio in a window.
+
+    Never false where an alignment reaches it: each word of the window in it is a match, which the item has to know, or
+    costs 1 at least, and the matches lie within the longest span.
+    """
+    inside = known[np.minimum(np.searchsorted(known, window), len(known) - 1)] == window
+    sums = np.zeros(len(window) + 1, np.int64)
+    np.cumsum(inside, out=sums[1:])
+    span = min(int(span_factor(min_ratio) * n_words + 1e-9), len(window))
+    if (sums[span:] - sums[: len(sums) - span]).max() < min_ratio * n_words - 1e-9:
+        return False
+    gain = np.zeros(len(window) + 1, np.int64)
+    np.cumsum(np.where(inside, MATCH, max(MISMATCH, GAP)), out=gain[1:])
+    return (gain - np.minimum.accumulate(gain)).max() >= min_ratio * MATCH * n_words - 1e-9
+
+
 def _windows(docs: DataFrame, sent, n: int, reach: int) -> DataFrame:
     """Windows of texts around n-grams of the block: (doc_id, at, words, grams)."""
 
@@ -115,10 +141,11 @@ def _windows(docs: DataFrame, sent, n: int, reach: int) -> DataFrame:
 
 
 def _aligned(windows: DataFrame, sent, min_ratio: float) -> DataFrame:
-    """Aligns each window with the items of its rare n-grams."""
+    """Aligns each window with the items of its n-grams, where the shared words allow the ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, seed_items, words = sent.value
+        known = {item: np.unique(w) for item, w in words.items()}
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -145,7 +172,7 @@ def _aligned(windows: DataFrame, sent, min_ratio: float) -> DataFrame:
                 items = {int(seed_items[k]) for i, j in zip(lo, hi, strict=True) for k in range(i, j)}
                 if items:
                     window = np.frombuffer(data, "<u8")
-                    held.extend((doc_id, at, item, window) for item in sorted(items))
+                    held.extend((doc_id, at, item, window) for item in sorted(items) if may_reach(known[item], len(words[item]), window, min_ratio))
                 if len(held) > 2000:
                     yield from flush()
         yield from flush()
@@ -153,12 +180,12 @@ def _aligned(windows: DataFrame, sent, min_ratio: float) -> DataFrame:
     return windows.mapInArrow(run, "doc_id long, item_id long, score long, ratio double, end_word long")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", *, n: int = 4, rare_share: float = 0.5, min_seeds: int = 8, min_ratio: float = 0.6) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", *, n: int = 4, min_ratio: float = 0.6) -> DataFrame:
     """Pairs of a text and a test item that it copies, edited or not: doc_id, item_id, score, ratio, end_word.
 
-    ratio is the best local alignment's score over that of a whole copy. Seeds are the rarer half of an item's n-grams
-    (``min_seeds`` at least), by the number of windows over all texts that hold them; ties go by the n-gram's hash. An
-    item of fewer than n words has one n-gram. Null or empty texts and items match nothing. Repeated rows give one row
+    ratio is the best local alignment's score over that of a whole copy. Every pair that shares an n-gram is judged; a
+    copy with an edit in every run of n words shares none and isn't found. An item of fewer than n words has one
+    n-gram, of all its words. Null or empty texts and items match nothing. Repeated rows give one row
     for each id and item, the best. Null ids of texts are carried, null ids of items dropped. Extra columns are
     ignored. Empty tables give an empty result.
     """
@@ -176,19 +203,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         grams = {k: grams_of(w, n) for k, w in words.items()}
         every = np.unique(np.concatenate(list(grams.values())))
         sizes = sorted({min(n, len(w)) for w in words.values()})
-        reach = 2 * max(map(len, words.values()))
+        reach = int(np.ceil(max(2, span_factor(min_ratio)) * max(map(len, words.values()))))
         sent = spark.sparkContext.broadcast((every, sizes))
         windows = stash(_windows(docs, sent, n, reach))
-        rows = windows.select(F.explode("grams").alias("h")).groupBy("h").count().toLocalIterator()  # at most the block's n-grams
-        spread = dict.fromkeys(every.tolist(), 0) | {r["h"] % (1 << 64): r["count"] for r in rows}
-        seeds, owners = [], []
-        for item, own in grams.items():
-            ranked = sorted(own.tolist(), key=lambda h: (spread[h], h))
-            keep = ranked[: max(min_seeds, int(len(ranked) * rare_share + 0.5))]
-            seeds += keep
-            owners += [item] * len(keep)
-        order = np.argsort(np.array(seeds, np.uint64), kind="stable")
-        sent_seeds = spark.sparkContext.broadcast((np.array(seeds, np.uint64)[order], np.array(owners, np.int64)[order], words))
+        seeds = np.concatenate(list(grams.values()))
+        owners = np.repeat(np.array(list(grams), np.int64), [len(own) for own in grams.values()])
+        order = np.argsort(seeds, kind="stable")
+        sent_seeds = spark.sparkContext.broadcast((seeds[order], owners[order], words))
         found.append(_aligned(windows, sent_seeds, min_ratio))
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, score long, ratio double, end_word long")
