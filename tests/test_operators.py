@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from voxelspark import queries as Q
 from voxelspark.functions import metrics as M
 from voxelspark.operators import dataset as D
 from voxelspark.operators import evaluate as E
@@ -10,6 +11,7 @@ from voxelspark.operators import extract as X
 from voxelspark.operators import filters as L
 from voxelspark.operators import surface as S
 from voxelspark.operators import transform as T
+from voxelspark.plans import fixtures as V
 from voxelspark.sources import images
 
 
@@ -232,3 +234,15 @@ def test_bias_correction_flattens(spark):
     out = array_of(L.correct_bias(mask)(df))
     spread = lambda a: np.std(np.log(a[truth == 100]))
     assert spread(out) < spread(truth * field) * 0.7
+
+
+@pytest.mark.parametrize("name", ["aug_elastic", "flt_n4", "flt_registration"])
+def test_queries_without_sql_use_every_vector(spark, name):
+    """Each voxel of the table comes out once: no vector of a label is left out, the last, shorter stack included."""
+    sf = "/root/testdata/sf0.001"
+    place = ["subject", "z", "y", "x"]
+    out = Q.queries()[name](spark, sf)
+    assert out.columns == [*place, "value"]
+    got = sorted(tuple(r)[:4] for r in out.collect())
+    assert got == sorted(tuple(r) for r in V.voxels(spark, sf).select(*place).collect())
+    assert len(got) == 64 * V.table(spark, sf, "embeddings").count() and max(z for _, z, _, _ in got) >= V.EDGE

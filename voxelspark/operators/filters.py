@@ -202,7 +202,7 @@ def match_histogram(reference: DataFrame, match_points: int = 1, threshold_at_me
     return run
 
 
-def correct_bias(mask: DataFrame | None = None, levels: int = 3, iterations: int = 10, fwhm: float = 0.15, bins: int = 200, noise: float = 0.01, threshold: float = 0.001) -> Filter:
+def correct_bias(mask: DataFrame | None = None, levels: int = 3, iterations: int = 10, fwhm: float = 0.15, bins: int = 200, noise: float = 0.01, threshold: float = 0.001, keys: Sequence[str] = ("subject",)) -> Filter:
     """Bias field correction: the log histogram is sharpened by deconvolution, the smoothed difference is the field.
 
     Smoothing is by cubic B-splines, twice as many control points on each level. An image is one group. Without a mask,
@@ -270,10 +270,10 @@ def correct_bias(mask: DataFrame | None = None, levels: int = 3, iterations: int
         return rows.assign(value=(image / np.exp(bias))[place]).drop(columns="__m")
 
     def run(df: DataFrame) -> DataFrame:
-        m = otsu_mask()(df) if mask is None else mask
-        on = ["subject", *AXES]
+        m = otsu_mask(keys=keys)(df) if mask is None else mask
+        on = [*keys, *AXES]
         joined = df.join(m.select(*on, F.col("value").alias("__m")), on, "left").fillna(0, ["__m"])
-        return joined.select(*df.columns, "__m").groupBy("subject").applyInPandas(correct, df.schema)
+        return joined.select(*df.columns, "__m").groupBy(*keys).applyInPandas(correct, df.schema)
 
     return run
 
@@ -299,8 +299,8 @@ def run_command(command: Sequence[str], enabled: bool = False, keys: Sequence[st
     return lambda df: df.groupBy(*keys).applyInPandas(call, df.schema)
 
 
-def register_images(fixed: DataFrame, transform: str = "rigid", bins: int = 32, iterations: int = 60, sampling: float = 1.0, seed: int = 0, shrink_factors: Sequence[int] = (2, 1)) -> Filter:
-    """Moves 2-D images (subject, y, x, value) onto fixed ones by mutual information and a pattern search.
+def register_images(fixed: DataFrame, transform: str = "rigid", bins: int = 32, iterations: int = 60, sampling: float = 1.0, seed: int = 0, shrink_factors: Sequence[int] = (2, 1), keys: Sequence[str] = ("subject",)) -> Filter:
+    """Moves 2-D images (keys, y, x, value) onto fixed ones by mutual information and a pattern search.
 
     transform: rigid (turn, shift), similarity (and scale) or affine. Coarse levels come first.
     """
@@ -360,6 +360,6 @@ def register_images(fixed: DataFrame, transform: str = "rigid", bins: int = 32,
                         break
         out = moved(image, p, target.shape)
         y, x = np.indices(out.shape)
-        return pd.DataFrame({"subject": m["subject"].iloc[0], "y": y.ravel(), "x": x.ravel(), "value": out.ravel()})
+        return pd.DataFrame({**{k: m[k].iloc[0] for k in keys}, "y": y.ravel(), "x": x.ravel(), "value": out.ravel()})
 
-    return lambda df: fixed.groupBy("subject").cogroup(df.groupBy("subject")).applyInPandas(register, df.select("subject", "y", "x", "value").schema)
+    return lambda df: fixed.groupBy(*keys).cogroup(df.groupBy(*keys)).applyInPandas(register, df.select(*keys, "y", "x", "value").schema)

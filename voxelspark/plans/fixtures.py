@@ -31,6 +31,15 @@ def cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks(spark, sf_dir).where(F.col("z") < EDGE)
 
 
+def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All voxels as images of eight slices: stack is the image's number in its subject, z counts within it.
+
+    A subject's last stack is shorter where its slices don't fill it.
+    """
+    stack, z = F.expr(f"CAST(z DIV {EDGE} AS INT)"), (F.col("z") % EDGE).cast("int")
+    return voxels(spark, sf_dir).select("subject", stack.alias("stack"), z.alias("z"), "y", "x", "value")
+
+
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two balls in a 13 x 13 x 13 grid for each nation."""
     axis = F.sequence(F.lit(0), F.lit(12))

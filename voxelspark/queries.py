@@ -437,7 +437,7 @@ def tfm_mask(spark, sf_dir):
 
 @query("aug_elastic")
 def aug_elastic(spark, sf_dir):
-    return T.elastic_deformation(3, 4, 1.0)(V.cubes(spark, sf_dir).select("subject", "z", "y", "x", "value"))
+    return T.elastic_deformation(3, 4, 1.0)(V.voxels(spark, sf_dir))
 
 
 # Assembly.
@@ -602,13 +602,15 @@ def flt_histogram_match(spark, sf_dir):
 
 @query("flt_n4")
 def flt_n4(spark, sf_dir):
-    return L.correct_bias(levels=2, iterations=3)(V.cubes(spark, sf_dir).select("subject", "z", "y", "x", (F.col("value") + 5).alias("value")))
+    stacks = V.stacks(spark, sf_dir).withColumn("value", F.col("value") + 5)
+    out = L.correct_bias(levels=2, iterations=3, keys=("subject", "stack"))(stacks)
+    return out.select("subject", (F.col("stack") * V.EDGE + F.col("z")).alias("z"), "y", "x", "value")
 
 
 @query("flt_registration")
 def flt_registration(spark, sf_dir):
-    flat = V.cubes(spark, sf_dir).where("z = 0").select("subject", "y", "x", "value")
-    return L.register_images(flat, iterations=5, bins=8)(flat)
+    slices = V.voxels(spark, sf_dir)
+    return L.register_images(slices, iterations=5, bins=8, keys=("subject", "z"))(slices)
 
 
 # Dataset creation and storage.
