@@ -179,6 +179,15 @@ def test_decontamination(spark, docs, empty):
     assert not rows(contaminated(docs, items.limit(0)))
 
 
+def test_keep_one_decides_by_row(spark):
+    """Repeats, null ids and ids with two texts: one row of each component stays, and no text without a link goes."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    data = [(1, a, "r"), (1, a, "s"), (2, a + " more", "t"), (None, a, "u"), (None, b, "v"), (None, b, "w"), (2, c, "x"), (7, "", "y"), (7, "", "y"), (None, None, "z")]
+    out = [tuple(r) for r in keep_one(spark.createDataFrame(data, "doc_id long, text string, extra string")).collect()]
+    assert sorted((d or 0, t or "") for d, t, _ in out) == sorted([(1, a), (0, b), (2, c), (7, ""), (7, ""), (0, "")])
+    assert all(r in data for r in out)
+
+
 def test_jaccard_components(docs, empty):
     out = rows(jaccard_components(docs))
     assert len(out) == len(TEXTS)

@@ -441,7 +441,19 @@ def _texts_of(docs: DataFrame, holder: DataFrame, n: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 75) -> DataFrame:
-    """The rows whose id is their component's smallest; of rows that share an id and a set all stay but repeats of a row."""
-    found = jaccard_components(docs, id_col, text_col, n=n, percent=percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """One row of each component: the one with the smallest id, null ids last; ties go by the hash of id and text.
+
+    Rows are told by id and text, so a link of one text removes no other text of the same id. Of rows that repeat one
+    stays. Texts without words are linked with nothing and all stay. Null ids and extra columns are carried.
+    """
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("__key")
+    keyed = docs.select("*", key)
+    found = jaccard_components(keyed, "__key", text_col, n=n, percent=percent).where("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.first("component_id").alias("component"), F.count("*").alias("times"))
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), key).groupBy("__key").agg(F.min("id").alias("id"))
+    found = stash(found.join(ids, "__key"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__key")).alias("best"))
+    marked = stash(found.join(best, "component").select("__key", (F.col("best.__key") == F.col("__key")).alias("kept"), "times").where("NOT kept OR times > 1"))
+    drop_stash(found)
+    repeats = keyed.join(marked.where("kept").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return keyed.join(marked.select("__key"), "__key", "left_anti").select(docs.columns).unionByName(repeats.select(docs.columns))
