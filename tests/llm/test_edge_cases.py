@@ -164,6 +164,16 @@ def test_packing_special_strings(spark):
         assert all(c == zlib.crc32(want[s : s + n].tobytes()) for s, n, c in got)
 
 
+def test_pii_context_on_both_sides(spark):
+    """Words after a match count, and those beyond neighbouring matches, within 48 characters."""
+    far = "x " * 24
+    texts = ["123-45-6789 (SSN)", "555-010-1234 (phone)", "SSNs 123-45-6789, 234-56-7890", "123-45-6789, 234-56-7890 are SSNs", f"123-45-6789 {far}ssn", f"ssn {far}123-45-6789", f"{far * 3}123-45-6789 (SSN) {far * 3}", "123-45-6789 plain", "ssn " + "123-45-6789 " * 6]
+    out = {r.doc_id: r for r in rows(find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [len(out[i].national_id) for i in range(len(texts))] == [1, 0, 2, 2, 0, 0, 1, 0, 4]
+    assert [(x.start, x.end, x.score) for x in out[2].national_id] == [(5, 16, 0.6), (18, 29, 0.6)]
+    assert len(out[1].local_phone) == 1
+
+
 def test_decontamination(spark, docs, empty):
     item = "the quick brown fox jumps over the lazy dog while seven bright lanterns hang above a narrow river bridge tonight"
     words = item.split()

@@ -24,7 +24,7 @@ PATTERNS = {
 BASE_KINDS = ["email", "ip", "card", "phone"]
 #: Needed characters, as a cheap test before the expression.
 NEEDS = {"email": "[@]", "phone": "[+][0-9]", "iban": "[A-Z][A-Z][0-9][0-9]"}
-#: Kind -> (score of a confirmed match, words before it that raise the score).
+#: Kind -> (score of a confirmed match, words near it, before or after, that raise the score).
 SCORES = {
     "email": (0.95, "mail|contact|write"),
     "ip": (0.6, "ip|host|server|address|login"),
@@ -35,6 +35,8 @@ SCORES = {
     "local_phone": (0.3, "phone|tel|call|fax|mobile|llame|appel|anruf"),
 }
 BOOST, ACCEPT, CONTEXT_CHARS = 0.3, 0.5, 48
+#: Neighbouring matches that can lie within the context; the shortest match has five characters.
+NEIGHBOURS = CONTEXT_CHARS // 5 + 1
 
 
 def _digits(x: Column) -> Column:
@@ -89,15 +91,25 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
         step = lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["g"])).alias("out"))
         return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
 
-    found = found.select("*", *[starts(k).alias(f"s_{k}") for k in kinds])
+    def pieces(kind: str) -> Column:
+        """The ends of each gap, with the match behind it as blanks: what contexts are made of."""
+        ends = lambda g: F.when(F.length(g) > 2 * CONTEXT_CHARS, F.concat(F.left(g, F.lit(CONTEXT_CHARS)), F.right(g, F.lit(CONTEXT_CHARS)))).otherwise(g)
+        blank = lambda m: F.repeat(F.lit(" "), F.least(F.coalesce(F.length(m), F.lit(0)), F.lit(CONTEXT_CHARS)))
+        return F.zip_with(f"g_{kind}", f"m_{kind}", lambda g, m: F.struct(ends(g).alias("gap"), F.concat(ends(g), blank(m)).alias("both")))
+
+    found = found.select("*", *[starts(k).alias(f"s_{k}") for k in kinds], *[pieces(k).alias(f"p_{k}") for k in kinds])
 
     def spans(kind: str) -> Column:
         score, words = SCORES[kind]
 
         def span(m: Column, i: Column) -> Column:
             start = F.get(F.col(f"s_{kind}"), i)
-            before = F.lower(F.right(F.get(F.col(f"g_{kind}"), i), F.lit(CONTEXT_CHARS)))
-            boosted = F.least(F.lit(1.0), F.lit(score) + F.when(before.rlike(rf"\b(?:{words})"), BOOST).otherwise(0.0))
+            piece = F.col(f"p_{kind}")
+            earlier = F.slice(piece, F.greatest(i + 1 - NEIGHBOURS, F.lit(1)), F.least(i, F.lit(NEIGHBOURS)))
+            before = F.right(F.concat(F.array_join(earlier["both"], ""), F.get(piece, i)["gap"]), F.lit(CONTEXT_CHARS))
+            after = F.left(F.array_join(F.slice(piece, i + 2, F.lit(NEIGHBOURS + 1))["both"], ""), F.lit(CONTEXT_CHARS))
+            near = F.lower(before).rlike(rf"\b(?:{words})") | F.lower(after).rlike(rf"\b(?:{words})")
+            boosted = F.least(F.lit(1.0), F.lit(score) + F.when(near, BOOST).otherwise(0.0))
             return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.round(boosted, 3).alias("score"), _valid(kind, m).alias("valid"))
 
         kept = F.filter(F.transform(f"m_{kind}", span), lambda x: x["valid"] & (F.lit(kind in BASE_KINDS) | (x["score"] >= ACCEPT)))
