@@ -1,6 +1,7 @@
 """Kernels against plain definitions, and the pipeline as a whole."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -168,3 +169,62 @@ def test_pipeline_stages(spark):
         before, docs = out.count(), out
     pieces = C.STAGES[-1][1](spark, docs, sf)
     assert pieces.select("doc_id").distinct().count() == before
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Line dedup, near duplicates and decontamination on all documents of the smallest table, and planted cases."""
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet").select(*C.COLUMNS)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    base = [tuple(r) for r in table.collect()]
+    alone = " ".join(w if k % 8 else f"changed{k}" for k, w in enumerate(max(items.values(), key=len).split()))
+    once = " ".join(f"word{k}" for k in range(60))
+    line = "a line that stands on very many sites"
+    texts = [alone, once, once + " end", *[f"{line}\nonly here {k} and {k * 7}" for k in range(12)]]
+    docs = base + [(10**9 + k, t, "en", f"site{k}", len(t)) for k, t in enumerate(texts)]
+    frame = lambda rows: spark.createDataFrame(rows, table.schema)
+    stages = dict(C.STAGES)
+
+    sites: dict = {}
+    for _, t, _, source, _ in docs:
+        for x in (t or "").split("\n"):
+            if len(x.strip(" ")) >= 16:
+                sites.setdefault(x, set()).add(source)
+    wide = {x for x, on in sites.items() if len(on - {None}) >= 10}
+    clean = {d: "\n".join(x for x in (t or "").split("\n") if x not in wide) for d, t, *_ in docs}
+    got = {r.doc_id: r.text or "" for r in stages["line_dedup"](spark, frame(docs), sf).collect()}
+    assert got == clean and line in wide
+
+    grams = {}
+    for d, t, *_ in docs:
+        w = (t or "").encode().lower().split()
+        grams[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    low = {d: d for d in grams}
+
+    def top(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+
+    ids = sorted(grams)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if grams[a] and 100 * len(grams[a] & grams[b]) >= 75 * len(grams[a] | grams[b]):
+                x, y = sorted((top(a), top(b)))
+                low[y] = x
+    got = sorted(r.doc_id for r in stages["near_duplicates"](spark, frame(docs), sf).collect())
+    assert got == [d for d in ids if top(d) == d] and 10**9 + 2 not in got
+
+    number: dict = {}
+    small = {c: c + 32 for c in [*range(65, 91), *range(0xC0, 0xDF)] if c != 0xD7}
+    words = lambda t: np.array([number.setdefault(w, len(number) + 2) for w in re.findall("[a-z0-9\u0080-\U0010ffff]+", (t or "").translate(small))], np.uint64)
+    asked = [w for w in map(words, items.values()) if len(w)]
+    bad = set()
+    for d, t, *_ in docs:
+        w = words(t)
+        if len(w) and any(score >= 0.6 * 2 * len(i) for i, (score, _) in zip(asked, align(asked, [w] * len(asked)), strict=True)):
+            bad.add(d)
+    got = sorted(r.doc_id for r in stages["decontamination"](spark, frame(docs), sf).collect())
+    assert got == [d for d in ids if d not in bad] and 10**9 in bad
