@@ -11,7 +11,7 @@ from voxelspark.llm import queries as Q
 from voxelspark.llm.bpe_count import token_counts
 from voxelspark.llm.decontaminate import contaminated, remove_contaminated
 from voxelspark.llm.line_spread import dedup_lines
-from voxelspark.llm.ngram_join import jaccard_components, keep_one
+from voxelspark.llm.ngram_join import BOUNDS, Bounds, jaccard_components, keep_one
 from voxelspark.llm.packing import pack
 from voxelspark.llm.pii import find_pii, pii_digest
 from voxelspark.llm.repetition import repetition_rules
@@ -211,7 +211,8 @@ def test_jaccard_components(docs, empty):
     assert not rows(jaccard_components(empty))
 
 
-def test_jaccard_components_by_brute_force(spark):
+@pytest.mark.parametrize("bounds", [BOUNDS, Bounds(crowd=3, block=4, grams=600, hot=20)])
+def test_jaccard_components_by_brute_force(spark, bounds):
     import random
 
     rng = random.Random(5)
@@ -236,11 +237,12 @@ def test_jaccard_components_by_brute_force(spark):
                 x, y = root[i], root[j]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows(jaccard_components(df))}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows(jaccard_components(df, bounds=bounds))}
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
-def test_jaccard_crowds(spark):
+@pytest.mark.parametrize("bounds", [BOUNDS, Bounds(crowd=3, block=9), Bounds(crowd=2, block=5, hot=4)])
+def test_jaccard_crowds(spark, bounds):
     """Many near copies of one text, of which some link only through others, and outsiders that share a passage."""
     import random
 
@@ -261,7 +263,7 @@ def test_jaccard_crowds(spark):
                 x, y = root[i], root[j]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in rows(jaccard_components(df))}
+    got = {r.doc_id: r.component_id for r in rows(jaccard_components(df, bounds=bounds))}
     assert got == dict(enumerate(root))
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from voxelspark.llm.common import SpanHash
 from voxelspark.llm.decontaminate import align, contaminated, may_reach
-from voxelspark.llm.ngram_join import tree_links
+from voxelspark.llm.ngram_join import ENTRY, PrefixTree, joined, may_meet, meeting_pairs
 from voxelspark.llm.packing import cuts
 from voxelspark.llm.repetition import suffix_array
 from voxelspark.llm.suffix_dedup import repeated_windows, two_stage_suffix_array
@@ -123,15 +123,69 @@ def test_bound_never_drops_an_alignment():
     assert reached > 100
 
 
-def test_tree_links():
+def some_sets(rng, n):
+    base = np.unique(rng.integers(0, 400, 100).astype(np.uint64))
+    out = []
+    for _ in range(n):
+        own = base[rng.random(len(base)) < rng.uniform(0.6, 1)]
+        out.append(np.unique(np.concatenate([own, rng.integers(0, 400, rng.integers(0, 30)).astype(np.uint64)])))
+    return out + [np.arange(5, dtype=np.uint64), np.arange(6, dtype=np.uint64)]
+
+
+def similar(a, b):
+    return 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 25])
+def test_tree_links(monkeypatch, cells):
+    """Probes and the tree's own sets, all at once and one at a time."""
+    monkeypatch.setattr("voxelspark.llm.ngram_join.CELLS", cells)
+    monkeypatch.setattr("voxelspark.llm.ngram_join.STEP", 7)
     rng = np.random.default_rng(4)
-    probe = np.unique(rng.integers(0, 400, 100).astype(np.uint64))
-    members = []
-    for _ in range(60):
-        own = probe[rng.random(len(probe)) < rng.uniform(0.6, 1)]
-        members.append(np.unique(np.concatenate([own, rng.integers(0, 400, rng.integers(0, 30)).astype(np.uint64)])))
-    want = [k for k, m in enumerate(members) if 100 * len(np.intersect1d(probe, m)) >= 75 * len(np.union1d(probe, m))]
-    assert sorted(tree_links(probe, members, 75)) == want and want
+    sets, probes = some_sets(rng, 60), some_sets(rng, 20)
+    tree = PrefixTree(sets)
+    got = sorted(zip(*(x.tolist() for x in tree.links(probes, 75)), strict=True))
+    assert got == [(p, k) for p, a in enumerate(probes) for k, b in enumerate(sets) if similar(a, b)] and got
+    own = sorted(tuple(sorted(x)) for x in zip(*(x.tolist() for x in tree.links(sets, 75, own=True)), strict=True))
+    assert own == [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and similar(a, b)] and own
+
+
+def test_tree_leaves_subtrees():
+    """Sets below a path that the probe can't follow are never looked at."""
+    rng = np.random.default_rng(5)
+    far = [np.unique(np.concatenate([np.arange(100), rng.integers(1000, 9000, 20)])).astype(np.uint64) for _ in range(200)]
+    near = [np.append(np.arange(200, 320), k).astype(np.uint64) for k in range(400, 410)]
+    tree = PrefixTree(far + near)
+    seen = []
+    plain = tree.ids
+    tree.ids = type("Counted", (), {"__getitem__": lambda self, x: seen.append(x.stop - x.start) or plain[x]})()
+    p, k = tree.links([np.arange(200, 321).astype(np.uint64)], 75)
+    assert sorted(k.tolist()) == list(range(200, 210)) and sum(seen) < 400
+
+
+def test_joined():
+    assert joined(6, np.array([4, 5, 1]), np.array([3, 4, 2])).tolist() == [0, 1, 1, 3, 3, 3]
+
+
+def test_meetings_lose_no_pair():
+    """Every similar pair passes at the first common n-gram of the prefixes, and stays in a crowd."""
+    rng = np.random.default_rng(6)
+    sets = some_sets(rng, 25)
+    rows = []
+    for k, x in enumerate(sets):
+        keep = len(x) - -(-75 * len(x) // 100) + 1
+        rows += [(x[i], k, len(x), i, 1) for i in range(len(x) - keep, len(x))]
+    entries = np.array(rows, ENTRY)
+    entries = entries[np.lexsort((entries["set"], entries["n"], entries["key"]))]
+    i, j = meeting_pairs(entries, 75, 60)
+    got = {tuple(sorted(x)) for x in zip(entries["set"][i].tolist(), entries["set"][j].tolist(), strict=True)}
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and similar(a, b)}
+    assert want <= got
+    for key in np.unique(entries["key"]):
+        own = entries[entries["key"] == key]
+        stay = set(own["set"][may_meet(own["n"].astype(int), own["rest"].astype(int), 75)].tolist())
+        i, j = meeting_pairs(own, 75, 60)
+        assert {*own["set"][i].tolist(), *own["set"][j].tolist()} <= stay
 
 
 def test_cuts_fill_their_class():

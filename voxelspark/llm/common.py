@@ -17,7 +17,8 @@ BASE = 0x9E3779B97F4A7C15
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
 #: Bytes of text that one vectorised step takes at most, unless a single text is longer.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -148,20 +149,32 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; sets one only where none is named (tests)."""
+    """The shared folder that the session names. Only a local master gets a folder of its own (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return spark.sparkContext.getCheckpointDir()
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared checkpoint folder and reads it again: cuts lineage, survives lost executors."""
+def stash(df: DataFrame, rows_at_once: int | None = None) -> DataFrame:
+    """Writes a table to the shared checkpoint folder and reads it again: cuts lineage, survives lost executors.
+
+    rows_at_once: rows that go to Python in one batch while it is written. Spark bounds batches by rows alone, so rows
+    with texts need fewer.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    if rows_at_once:
+        spark.conf.set(BATCH_ROWS, min(rows_at_once, int(before)) if int(before) > 0 else rows_at_once)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     # Shuffle files go when the driver's garbage is collected, which may otherwise be long after the write.
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -1,21 +1,26 @@
 """Exact n-gram Jaccard join with prefix trees.
 
-All sets share one global order of n-grams: frequent ones last, others by hash. Two sets of Jaccard similarity t or
-more have at least k common n-grams among the first |s| - ceil(t |s|) + k of each, so sets meet by those; k grows with
-the smaller set, so a shared passage alone makes no candidate. Sets that meet often enough are compared in prefix trees: the sets of a group lie in their order as a tree, a probe walks it, what two sets share of
-a path is counted once, and a subtree is left when the overlap so far and the lengths that remain can't reach the
-threshold.
+All sets share one global order of n-grams: frequent ones first, the others by hash. A set is the sequence of its
+n-grams in that order, and a prefix tree holds the sequences of a block, so sets that agree in frequent n-grams share
+a path. Probes walk the tree together: what they share with a path is counted once for all sets below it, and a
+subtree is left as soon as the overlap so far and the lengths that remain can't reach the threshold.
+
+Which sets get into one block: two sets of Jaccard similarity t have a common n-gram among the rarest
+|s| - ceil(t |s|) + 1 of each. So sets meet by those, and a meeting counts if the n-grams that both have beyond it in
+the order could make up the overlap that the sizes need.
 
 1. Each distinct set is told by a 64-bit hash of its n-grams; copies collapse to it.
-2. Sets that meet at an n-gram are first compared with a few leaders among them only; links join them to components.
-3. Where few sets with several components meet at an n-gram, pairs across components that meet often enough are
-   compared. Where many meet, those outside the largest component are compared with blocks of all the others.
+2. Meetings of few sets give pairs, those of many a star around one set. Their components are the blocks: every link
+   lies inside one. Each block's texts move once, to the task that joins them by a tree.
+3. A block over the bounds is cut into slices that each get a few leaders too. What slices can't tell, pairs and crowds
+   whose sets are still apart, is then joined by trees of its own.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +29,38 @@ from pyspark.sql import functions as F
 
 from .common import SpanHash, chunks, drop_stash, lower_ascii, mix, partitions_of, shingles, stash
 
-#: Frequent n-grams that the order puts last; a matter of speed, never of results. They go to every task (8 bytes each).
+#: Frequent n-grams that the order knows; a matter of speed, never of results. They go to every task (16 bytes each).
 MAX_FREQUENT = 1 << 20
+#: n-grams that a task holds to count them.
+COUNT_GRAMS = 1 << 22
 #: Sets that a task remembers so as not to send copies again.
 SEEN_SETS = 200_000
-#: Slices of a probe's partners, so that no group of partners is read by one task.
-SLICES = 16
-#: The prefix of a set is longer by a share of its size, and candidates have as many more n-grams of prefixes in common.
-EXTRA = 20
-#: Sets that meet at one n-gram beyond this number are compared by blocks, of about so many sets each.
-CROWD, BLOCK = 32, 256
+#: Buckets of meetings for each partition; a task holds one at a time.
+BUCKETS = 16
+#: Rows of texts that go to Python at once.
+TEXT_ROWS = 500
+#: n-grams of an edge that a walk takes between two looks at the bounds, and cells of a walk's table of probes.
+STEP, CELLS = 256, 1 << 25
 #: Stands for a null id inside, larger than any.
 NO_ID = (1 << 63) - 1
+RARE = np.uint64(1 << 63)
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What one task does at most; results are the same under any bounds.
+
+    crowd: sets that meet at one n-gram and get paired up. block, grams: sets and n-grams of one slice of a block.
+    hot: seen occurrences of an n-gram for each of the parts that its meeting is dealt to.
+    """
+
+    crowd: int = 32
+    block: int = 512
+    grams: int = 1 << 21
+    hot: int = 1 << 16
+
+
+BOUNDS = Bounds()
 
 
 def shingle_sets(chunk, n: int) -> list[np.ndarray]:
@@ -72,6 +97,26 @@ def set_hash(grams: np.ndarray) -> int:
     return int(mix(h).astype(np.int64)[0]) or 1
 
 
+class Order:
+    """The global order of n-grams: each has a key, small for frequent ones."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, hot: int) -> None:
+        rank = np.empty(len(grams), np.uint64)
+        rank[np.lexsort((grams, -counts))] = np.arange(len(grams), dtype=np.uint64)
+        order = np.argsort(grams)
+        self.grams, self.rank = grams[order], rank[order]
+        self.parts = np.empty(len(grams), np.uint32)  # by rank
+        self.parts[rank.astype(np.int64)] = 1 + counts // hot
+
+    def keys(self, grams: np.ndarray) -> np.ndarray:
+        """The keys of a set, in order."""
+        if not len(self.grams):
+            return grams | RARE
+        place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        known = self.grams[place] == grams
+        return np.concatenate([np.sort(self.rank[place[known]]), grams[~known] | RARE])
+
+
 class _Seen:
     """The last sets of a task."""
 
@@ -99,13 +144,25 @@ def _quiet(f):
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (kind 0: id, set, size) and n-grams that two sets of a batch hold (kind 1: n-gram, count)."""
+    """Rows (kind 0: id, set, size) and n-grams that two of a task's next sets hold (kind 1: n-gram, count)."""
 
     @_quiet
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
+        fresh: list[np.ndarray] = []
+        held = 0
+
+        def count() -> Iterator[pa.RecordBatch]:
+            grams = np.sort(np.concatenate(fresh))
+            fresh.clear()
+            edge = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            times = np.diff(np.append(edge, len(grams)))
+            often = times >= 2
+            grams, times = grams[edge[often]], times[often]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), np.int32)), pa.array(np.zeros(len(grams), np.int64)), pa.array(grams.astype(np.int64)), pa.array(times)], names=["kind", "id", "set_id", "n"])
+
         for batch in batches:
-            hashes, sizes, fresh = [], [], []
+            hashes, sizes = [], []
             for chunk in chunks(batch.column(1)):
                 for grams in shingle_sets(chunk, n):
                     h = set_hash(grams)
@@ -113,29 +170,56 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                     sizes.append(len(grams))
                     if h and seen.new(h):
                         fresh.append(grams)
+                        held += len(grams)
+                if held > COUNT_GRAMS:
+                    yield from count()
+                    held = 0
             rows = len(hashes)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), batch.column(0), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())], names=["kind", "id", "set_id", "n"])
-            if fresh:
-                grams = np.sort(np.concatenate(fresh))
-                edge = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
-                count = np.diff(np.append(edge, len(grams)))
-                often = count >= 2
-                grams, count = grams[edge[often]], count[often]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), np.int32)), pa.array(np.zeros(len(grams), np.int64)), pa.array(grams.astype(np.int64)), pa.array(count)], names=["kind", "id", "set_id", "n"])
+        if fresh:
+            yield from count()
 
     return docs.mapInArrow(run, "kind int, id long, set_id long, n long")
 
 
-ENTRY = np.dtype([("gram", "<u8"), ("set", "<i8"), ("n", "<u4")])
+ENTRY = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<u4"), ("rest", "<u4"), ("parts", "<u4")])
+
+
+def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The overlap that two sizes need."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def meeting_pairs(entries: np.ndarray, percent: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of entries that meet and can reach the overlap; entries are sorted by key and size."""
+    key, n, rest = entries["key"], entries["n"].astype(np.int64), entries["rest"].astype(np.int64)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, crowd):
+        i = np.flatnonzero(key[step:] == key[:-step])
+        if not len(i):
+            break
+        j = i + step
+        fits = (n[i] * 100 >= percent * n[j]) & (1 + np.minimum(rest[i], rest[j]) >= _needed(n[i], n[j], percent))
+        left.append(i[fits])
+        right.append(j[fits])
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _meetings(docs: DataFrame, frequent, n: int, percent: int, parts: int) -> DataFrame:
-    """Groups (gid, set_id, n, w) of two or more sets that meet at w n-grams; equal groups share a gid."""
+def may_meet(n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of one meeting, sorted by size, have another whose size lets them reach the overlap; never too few."""
+    most = (100 + percent) * (rest + 1) // percent - n  # of a partner's size
+    at = np.searchsorted(n, -(-percent * n // 100))
+    at = np.where(at == np.arange(len(n)), at + 1, at)
+    return (at < len(n)) & (n[np.minimum(at, len(n) - 1)] <= most)
+
+
+def _meetings(docs: DataFrame, order, n: int, percent: int, parts: int, crowd: int) -> DataFrame:
+    """Pairs (a, b) of sets that meet among few (gid null), and sets a of crowds; equal crowds share a gid."""
+    buckets = parts * BUCKETS
 
     @_quiet
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
-        often, rank = frequent.value
+        seen, known = _Seen(), order.value
         for batch in batches:
             out = []
             for chunk in chunks(batch.column(1)):
@@ -143,193 +227,233 @@ def _meetings(docs: DataFrame, frequent, n: int, percent: int, parts: int) -> Da
                     h = set_hash(grams)
                     if not h or not seen.new(h):
                         continue
-                    keep = len(grams) - -(-percent * len(grams) // 100) + 1 + len(grams) // EXTRA
-                    if len(often):
-                        place = np.minimum(np.searchsorted(often, grams), len(often) - 1)
-                        known = often[place] == grams
-                        if known.any():
-                            rare = grams[~known]
-                            common = grams[known][np.argsort(rank[place[known]], kind="stable")]
-                            grams = np.concatenate([rare, common])
+                    keep = len(grams) - -(-percent * len(grams) // 100) + 1
+                    keys = known.keys(grams)[-keep:]
                     entry = np.empty(keep, ENTRY)
-                    entry["gram"], entry["set"], entry["n"] = grams[:keep], h, len(grams)
+                    entry["key"], entry["set"], entry["n"], entry["rest"], entry["parts"] = keys, h, len(grams), np.arange(len(grams) - keep, len(grams)), 1
                     out.append(entry)
             if not out:
                 continue
             entries = np.concatenate(out)
-            bucket = (mix(entries["gram"]) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            entries, bucket = entries[order], bucket[order]
+            often = np.flatnonzero(entries["key"] < RARE)
+            entries["parts"][often] = known.parts[entries["key"][often].astype(np.int64)]
+            part = mix(entries["set"].astype(np.uint64)) % entries["parts"]
+            bucket = (mix(entries["key"] + part * np.uint64(0x9FB21C651E98DF25)) % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            entries, bucket = entries[by], bucket[by]
             edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             data = [entries[i:j].tobytes() for i, j in zip(edge, np.append(edge[1:], len(entries)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(data, pa.binary())], names=["bucket", "entries"])
 
-    @_quiet
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, ENTRY) for batch in batches for x in batch.column(1).to_pylist()]
-        if not held:
-            return
+    def of_bucket(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         entries = np.concatenate(held)
-        del held
-        entries = entries[np.lexsort((entries["set"], entries["n"], entries["gram"]))]
-        same = np.zeros(len(entries), bool)
-        same[1:] = (entries["gram"][1:] == entries["gram"][:-1]) & (entries["set"][1:] == entries["set"][:-1])
-        entries = entries[~same]
-        edge = np.flatnonzero(np.append(True, entries["gram"][1:] != entries["gram"][:-1]))
+        held.clear()
+        entries = entries[np.lexsort((entries["set"], entries["n"], entries["key"]))]
+        again = np.zeros(len(entries), bool)
+        again[1:] = (entries["key"][1:] == entries["key"][:-1]) & (entries["set"][1:] == entries["set"][:-1])
+        entries = entries[~again]
+        edge = np.flatnonzero(np.append(True, entries["key"][1:] != entries["key"][:-1]))
         size = np.diff(np.append(edge, len(entries)))
-        many = np.repeat(size > 1, size)
-        entries, size = entries[many], size[size > 1]
-        if not len(entries):
-            return
-        # Groups of the same sets count once.
-        ends = np.cumsum(size)
-        sums = np.zeros(len(entries) + 1, np.uint64)
-        np.cumsum(mix(entries["set"].astype(np.uint64) + np.uint64(77)), out=sums[1:])
-        gid = mix(sums[ends] - sums[ends - size] + size.astype(np.uint64))
-        _, firsts, times = np.unique(gid, return_index=True, return_counts=True)
-        weight = np.zeros(len(size), np.int64)
-        weight[firsts] = times
-        rows = np.repeat(weight > 0, size)
-        gids = np.repeat(gid, size)[rows].astype(np.int64)
-        weights = np.repeat(weight, size)[rows]
-        entries = entries[rows]
-        for i in range(0, len(entries), 50_000):
-            part = entries[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(gids[i : i + 50_000]), pa.array(np.ascontiguousarray(part["set"])), pa.array(part["n"].astype(np.int64)), pa.array(weights[i : i + 50_000])], names=["gid", "set_id", "n", "w"])
+        few = np.repeat((size > 1) & (size <= crowd) & (entries["parts"][edge] == 1), size)
+        crowds = np.flatnonzero((size > crowd) | (entries["parts"][edge] > 1))
+        rest = [entries[few]]
+        gids, members, told = [], [], set()
+        for k in crowds:
+            own = entries[edge[k] : edge[k] + size[k]]
+            if own["parts"][0] == 1:
+                for _ in range(3):
+                    own = own[may_meet(own["n"].astype(np.int64), own["rest"].astype(np.int64), percent)]
+                if len(own) <= crowd:
+                    rest.append(own)
+                    continue
+                gid = int(mix(np.array([mix(own["set"].astype(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(own))]))[0])
+                if gid in told:
+                    continue
+                told.add(gid)
+            else:
+                gid = int(mix(own["key"][:1])[0])
+            gids.append(np.full(len(own), gid, np.uint64))
+            members.append(own["set"])
+        small = np.concatenate(rest)
+        i, j = meeting_pairs(small, percent, crowd)
+        a, b = small["set"][i], small["set"][j]
+        if len(a):
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["gid", "a", "b"])
+        for gid, sets in zip(gids, members, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(gid.astype(np.int64)), pa.array(np.ascontiguousarray(sets)), pa.nulls(len(sets), pa.int64())], names=["gid", "a", "b"])
+
+    @_quiet
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last = None
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != last and held:
+                    yield from of_bucket(held)
+                last = bucket
+                held.append(np.frombuffer(data.as_py(), ENTRY))
+        if held:
+            yield from of_bucket(held)
 
     sent = docs.mapInArrow(prefixes, "bucket int, entries binary")
-    return sent.repartition(parts, "bucket").mapInArrow(meet, "gid long, set_id long, n long, w long")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, a long, b long")
 
 
 class PrefixTree:
-    """Sets in their order as a tree, laid flat: sorted as sequences, with the length each shares with the one before."""
-
-    def __init__(self, members: list[np.ndarray]) -> None:
-        self.members = members
-        self.order = sorted(range(len(members)), key=lambda k: members[k].astype(">u8").tobytes())
-        self.shared = [0]
-        for i, j in zip(self.order, self.order[1:], strict=False):
-            m = min(len(members[i]), len(members[j]))
-            differ = np.flatnonzero(members[i][:m] != members[j][:m])
-            self.shared.append(int(differ[0]) if len(differ) else m)
-
-    def links(self, probe: np.ndarray, percent: int, groups: list[int] | None = None, own: int | None = None) -> list[int]:
-        """Members with a Jaccard similarity of percent or more to the probe; with groups, one of each but ``own``.
-
-        What a member shares with the path walked so far isn't counted again. A path is left as soon as what remains of
-        both sets can't bring the overlap to what the sizes need.
-        """
-        out: list[int] = []
-        done = set() if groups is None else {own}
-        counts = np.zeros(1, np.int64)  # overlap with the probe of each prefix of the path walked so far
-        for k, shared in zip(self.order, self.shared, strict=True):
-            grams = self.members[k]
-            shared = min(shared, len(counts) - 1)
-            counts = counts[: shared + 1]
-            if groups is not None and groups[k] in done:
-                continue
-            need = -(-percent * (len(probe) + len(grams)) // (100 + percent))
-            overlap = int(counts[shared])
-            passed = int(np.searchsorted(probe, grams[shared - 1], "right")) if shared else 0
-            while shared < len(grams) and overlap + min(len(grams) - shared, len(probe) - passed) >= need:
-                step = grams[shared : shared + 64]
-                place = np.searchsorted(probe, step)
-                hit = probe[np.minimum(place, len(probe) - 1)] == step
-                counts = np.concatenate([counts, overlap + np.cumsum(hit)])
-                overlap, passed, shared = int(counts[-1]), int(np.searchsorted(probe, step[-1], "right")), shared + len(step)
-            if shared == len(grams) and overlap >= need:
-                out.append(k)
-                if groups is not None:
-                    done.add(groups[k])
-        return out
-
-
-def tree_links(probe: np.ndarray, members: list[np.ndarray], percent: int) -> list[int]:
-    """Which members have a Jaccard similarity of percent or more with the probe."""
-    return PrefixTree(members).links(probe, percent)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that are linked. rows: (doc_id, set_id, n) of docs."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), docs, rows, n)
-    sliced = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SLICES)).cast("int").alias("slice"))
-    probes = sliced.select("a", "slice").distinct().join(texts.withColumnRenamed("set_id", "a"), "a")
-    members = sliced.join(texts.withColumnRenamed("set_id", "b"), "b")
-    both = probes.select("a", "slice", F.lit(0).alias("role"), F.col("a").alias("b"), "text").unionByName(members.select("a", "slice", F.lit(1).alias("role"), "b", "text"))
-    ordered = both.repartition(partitions_of(pairs.sparkSession), "a", "slice").sortWithinPartitions("a", "slice", "role", "b")
-
-    @_quiet
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, group, members, names = None, None, [], []
-        for batch in batches:
-            key, part, role, other = (batch.column(i).to_pylist() for i in range(4))
-            links: list[tuple[int, int]] = []
-            at = 0
-            for chunk in chunks(batch.column(4)):
-                for grams in shingle_sets(chunk, n):
-                    if (key[at], part[at]) != group or len(members) >= 256:
-                        links += [(group[0], names[k]) for k in tree_links(probe, members, percent)] if members else []
-                        members, names = [], []
-                    group = key[at], part[at]
-                    if role[at] == 0:
-                        probe = grams
-                    else:
-                        members.append(grams)
-                        names.append(other[at])
-                    at += 1
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
-        if members and (links := tree_links(probe, members, percent)):
-            yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(links), pa.int64()), pa.array([names[k] for k in links], pa.int64())], names=["a", "b"])
-
-    return ordered.select("a", "slice", "role", "b", "text").mapInArrow(run, "a long, b long")
+    """Sets in the global order as a tree, laid flat: sorted as sequences, with the length each shares with the last.
 
+    A node is a range of the sorted sets and the depth to which they agree.
+    """
 
-def _texts(named: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(set_id, text): a text for each named set."""
-    holder = rows.join(named, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("holder"))
-    return stash(_texts_of(docs, holder, n))
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.order = np.array(sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes()), np.int64)
+        ordered = [sets[k] for k in self.order]
+        self.size = np.array([len(x) for x in ordered], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.words, self.ids = np.unique(np.concatenate(ordered), return_inverse=True)
+        self.shared = np.zeros(len(sets), np.int64)
+        for k in range(1, len(ordered)):
+            m = min(len(ordered[k - 1]), len(ordered[k]))
+            differ = ordered[k - 1][:m] != ordered[k][:m]
+            self.shared[k] = differ.argmax() if differ.any() else m
+
+    def links(self, probes: list[np.ndarray], percent: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, set) with a Jaccard similarity of percent or more, as indexes of the lists given.
+
+        own: the probes are the tree's sets; each pair is told once.
+        """
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        at_once = max(1, CELLS // max(1, len(self.words)))
+        which = self.order if own else np.arange(len(probes))
+        for i in range(0, len(which), at_once):
+            part = which[i : i + at_once]
+            for p, k in self._walk([probes[x] for x in part], percent, i if own else None):
+                found.append((part[p], np.full(len(p), self.order[k])))
+        a, b = zip(*found, strict=True)
+        return np.concatenate(a), np.concatenate(b)
+
+    def _walk(self, probes: list[np.ndarray], percent: int, first: int | None) -> Iterator[tuple[np.ndarray, int]]:
+        """All probes go down together. first: the place of the first probe among the sorted sets, if they are sets."""
+        n = np.array([len(p) for p in probes], np.int64)
+        every, owner = np.concatenate(probes), np.repeat(np.arange(len(probes)), n)
+        place = np.minimum(np.searchsorted(self.words, every), len(self.words) - 1)
+        hit = self.words[place] == every
+        holds = np.zeros((len(self.words), len(probes)), bool)
+        holds[place[hit], owner[hit]] = True
+        known = np.bincount(owner[hit], minlength=len(probes))
+        stack = [(0, len(self.size), 0, np.arange(len(probes)), np.zeros(len(probes), np.int64))]
+        while stack:
+            lo, hi, depth, active, overlap = stack.pop()
+            if first is not None:  # a pair is told at its later set
+                early = active + first < hi - 1
+                active, overlap = active[early], overlap[early]
+                if not len(active):
+                    continue
+            end = self.size[lo] if hi - lo == 1 else self.shared[lo + 1 : hi].min()
+            stop = min(end, depth + STEP)
+            edge = self.ids[self.begin[lo] + depth : self.begin[lo] + stop]
+            overlap = overlap + holds[edge][:, active].sum(axis=0)
+            # What the shortest set below needs, and what the longest can still give.
+            sizes = self.size[lo:hi]
+            reach = overlap + np.minimum(sizes.max() - stop, known[active] - overlap)
+            alive = reach >= _needed(n[active], sizes.min(), percent)
+            active, overlap = active[alive], overlap[alive]
+            if not len(active):
+                continue
+            if stop < end:
+                stack.append((lo, hi, stop, active, overlap))
+            elif hi - lo == 1:
+                if first is not None:
+                    active = active[active + first < lo]
+                if len(active):
+                    yield active, lo
+            else:
+                cut = [lo, *(lo + 1 + np.flatnonzero(self.shared[lo + 1 : hi] == end)), hi]
+                stack.extend((i, j, end, active, overlap) for i, j in zip(cut, cut[1:], strict=False))
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The smallest member of each one's component, for links (a, b) among n."""
+    label = np.arange(n) if label is None else label
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def _crowd_links(crowd: DataFrame, docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links across components among sets (gid, set_id, root) that meet in crowds.
+def _tree_links(placed: DataFrame, order, n: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join what is joined in each block. placed: block, slice, role, set_id, text.
 
-    Sets that crowds join form a cluster. Sets outside its largest component go to every block of it, the others to one.
+    Sets of role 0 make the block's tree; those of role 1 and, in blocks with a slice of 0 or more, the tree's own sets
+    probe it.
     """
-    lead = crowd.groupBy("gid").agg(F.min("set_id").alias("a"))
-    cluster = components(crowd.join(lead, "gid").select("a", F.col("set_id").alias("b")).distinct())
-    sets = stash(crowd.select("set_id", "root").distinct().join(cluster.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), "set_id"))
-    by_root = sets.groupBy("cluster", "root").count()
-    largest = by_root.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("roots")).where("roots > 1")
-    dealt = sets.join(largest, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    member = dealt.select("cluster", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "set_id", "root")
-    probe = dealt.where("root <> main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "set_id", "root")
-    texts = _texts(dealt.select("set_id").distinct(), docs, rows, n)
-    placed = member.unionByName(probe).join(texts, "set_id").repartition(partitions_of(docs.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block", "role", "set_id")
 
     @_quiet
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, tree, members, names, roots = None, None, [], [], []
+        group: tuple | None = None
+        tree: PrefixTree | None = None
+        label = np.zeros(0, np.int64)
+        names: list[int] = []
+        sets: list[np.ndarray] = []
+        probes: list[np.ndarray] = []
+
+        def add(links: tuple[np.ndarray, np.ndarray]) -> None:
+            nonlocal label
+            label = np.concatenate([label, np.arange(len(label), len(names))])
+            label = joined(len(names), *links, label)
+
+        def ask() -> None:
+            nonlocal tree
+            if not sets:
+                return
+            if tree is None:
+                tree = PrefixTree(sets)
+                if group[1] >= 0 and len(sets) > 1:
+                    add(tree.links(sets, percent, own=True))
+            if probes:
+                p, k = tree.links(probes, percent)
+                add((p + len(names) - len(probes), k))
+                probes.clear()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal tree, label
+            ask()
+            own = np.flatnonzero(label != np.arange(len(label)))
+            if len(own):
+                ids = np.array(names, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], names=["a", "b"])
+            names.clear()
+            sets.clear()
+            probes.clear()
+            tree, label = None, np.zeros(0, np.int64)
+
         for batch in batches:
-            cluster, block, role, name, root = (batch.column(i).to_pylist() for i in range(5))
-            links: list[tuple[int, int]] = []
+            blocks, parts, roles, ids = (batch.column(i).to_pylist() for i in range(4))
             at = 0
-            for chunk in chunks(batch.column(5)):
+            for chunk in chunks(batch.column(4)):
                 for grams in shingle_sets(chunk, n):
-                    if (cluster[at], block[at]) != group:
-                        group, tree, members, names, roots = (cluster[at], block[at]), None, [], [], []
-                    if role[at] == 0:
-                        members.append(grams)
-                        names.append(name[at])
-                        roots.append(root[at])
-                    else:
-                        tree = tree or PrefixTree(members)
-                        links += [(name[at], names[k]) for k in tree.links(grams, percent, roots, root[at])]
+                    if (blocks[at], parts[at]) != group:
+                        if group is not None:
+                            yield from close()
+                        group = blocks[at], parts[at]
+                    if not names or names[-1] != ids[at]:  # else a row that repeats
+                        if roles[at] and len(probes) >= block:
+                            ask()
+                        names.append(ids[at])
+                        (probes if roles[at] else sets).append(order.value.keys(grams))
                     at += 1
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
+        if group is not None:
+            yield from close()
 
-    return placed.select("cluster", "block", "role", "set_id", "root", "text").mapInArrow(run, "a long, b long")
+    spark = placed.sparkSession
+    ordered = placed.select("block", "slice", "role", "set_id", "text").repartition(partitions_of(spark), "block", "slice")
+    return ordered.sortWithinPartitions("block", "slice", "role", "set_id").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -353,7 +477,57 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 75) -> DataFrame:
+def _texts(placed: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The rows of placed (set_id, ...) with a text for each set. Rows of one id may hold different texts.
+
+    The scan's partitions are narrow, so only texts that are wanted move.
+    """
+    holder = rows.join(placed.select("set_id"), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("holder"))
+    wanted = placed.join(holder, "set_id")
+    columns = [*placed.columns, "text"]
+    near = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["holder"]).select(*columns)
+
+    @_quiet
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(0).to_pylist()
+            keep, at = [], 0
+            for chunk in chunks(batch.column(len(columns) - 1)):
+                for grams in shingle_sets(chunk, n):
+                    keep.append(set_hash(grams) == sets[at])
+                    at += 1
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return stash(near.mapInArrow(run, near.schema), TEXT_ROWS)
+
+
+def _apart(pairs: DataFrame, crowds: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """What slices could not tell, as blocks for trees: pairs, and crowds, of sets that are still in two components.
+
+    A pair's first set probes trees of its partners. Of a crowd's cluster, sets outside the largest component probe
+    trees of all its sets.
+    """
+    big = texts.where("slices > 1")
+    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    left = pairs.join(big.select(F.col("set_id").alias("a")), "a", "left_semi")
+    left = left.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    left = left.select("a", "b", (F.lit(-1) - F.pmod(F.xxhash64("b"), F.lit(1 << 30)) % 16).cast("int").alias("slice"))
+    probes = left.select(F.col("a").alias("block"), "slice", F.lit(1).alias("role"), F.col("a").alias("set_id")).distinct()
+    members = left.select(F.col("a").alias("block"), "slice", F.lit(0).alias("role"), F.col("b").alias("set_id"))
+    out = probes.unionByName(members)
+
+    sets = crowds.select(F.col("a").alias("set_id")).distinct().join(big.select("set_id", "block", "slices"), "set_id")
+    sets = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    count = sets.groupBy("block", "root").agg(F.count("*").alias("members"), F.max("slices").alias("slices"))
+    main = count.groupBy("block").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("apart")).where("apart > 1")
+    sets = sets.join(main, "block")
+    placed = sets.select("block", (F.lit(-100) - F.pmod(F.xxhash64("set_id"), F.col("slices"))).cast("int").alias("slice"), F.lit(0).alias("role"), "set_id")
+    asked = sets.where("root <> main").select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("k"), "set_id")
+    out = out.unionByName(placed).unionByName(asked.select("block", (F.lit(-100) - F.col("k")).cast("int").alias("slice"), F.lit(1).alias("role"), "set_id"))
+    return out.join(texts.select("set_id", "text"), "set_id")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 75, bounds: Bounds = BOUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest id reachable by links of ``percent`` or more.
 
     Words are lower-cased in A-Z. Fewer than n words make one n-gram; null or empty texts and texts without words make
@@ -364,51 +538,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     parts = partitions_of(spark)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    scan = stash(_scan(docs, n))
+    scan = stash(_scan(docs, n), TEXT_ROWS)
     rows = scan.where("kind = 0").select(F.col("id").alias("doc_id"), "set_id", "n")
     counts = scan.where("kind = 1").groupBy("set_id").agg(F.sum("n").alias("n"))
     top = counts.where("n >= 3").orderBy(F.desc("n"), "set_id").limit(MAX_FREQUENT).toArrow()  # bounded by MAX_FREQUENT
-    often = top.column("set_id").to_numpy().astype(np.uint64)
-    order = np.argsort(often)
-    frequent = spark.sparkContext.broadcast((often[order], -order))
-
-    met = stash(_meetings(docs, frequent, n, percent, parts))
-    meetings = stash(met.groupBy("gid", "set_id").agg(F.first("n").alias("n"), F.sum("w").alias("w")))
-    drop_stash(met)
-    # How many n-grams of their prefixes two sets have in common at least, by the smaller size.
-    enough = lambda c: F.col("w") >= 1 + F.floor(F.col(c) / EXTRA)
-    one = F.struct("n", "set_id")
-    leads = F.array_distinct(F.array(F.min(one), F.min_by(one, F.xxhash64("set_id")), F.max_by(one, F.xxhash64("set_id"))))
-    lead = meetings.groupBy("gid").agg(leads.alias("leads")).select("gid", F.explode("leads").alias("lead"))
-    near = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
-    stars = meetings.join(lead, "gid").where(F.col("lead.set_id") != F.col("set_id")).where(near)
-    stars = stars.groupBy(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.sum("w").alias("w"), F.first(F.least("n", "lead.n")).alias("n"))
-    stars = stash(stars.where(enough("n")).select("a", "b"))
-    linked = stash(_verified(stars, docs, rows, n, percent))
-    roots = components(linked)
-
-    mixed = meetings.join(roots, meetings["set_id"] == roots["node"], "left").select("gid", "set_id", "n", "w", F.coalesce("root", "set_id").alias("root"))
-    several = mixed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("gid", "members")
-    left = stash(mixed.join(several, "gid"))
-    drop_stash(meetings)
-    few = left.where(F.col("members") <= CROWD)
-    x, y = few.alias("x"), few.alias("y")
-    cross = x.join(y, F.col("x.gid") == F.col("y.gid")).where("x.root <> y.root AND (x.n < y.n OR (x.n = y.n AND x.set_id < y.set_id))").where(F.col("y.n") * percent <= F.col("x.n") * 100)
-    cross = cross.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.sum("x.w").alias("w"), F.first("x.n").alias("n"))
-    tested = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross = stash(cross.where(enough("n")).select("a", "b").join(tested, ["a", "b"], "left_anti"))
-    found = [linked]
-    if cross.limit(1).count():
-        found.append(stash(_verified(cross, docs, rows, n, percent)))
-    crowd = left.where(F.col("members") > CROWD).select("gid", "set_id", "root")
-    if crowd.limit(1).count():
-        found.append(stash(_crowd_links(crowd, docs, rows, n, percent)))
-    if len(found) > 1:
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        roots = components(every)
-    drop_stash(stars, left, cross, *found)
+    order = spark.sparkContext.broadcast(Order(top.column("set_id").to_numpy().astype(np.uint64), top.column("n").to_numpy(), bounds.hot))
+
+    met = stash(_meetings(docs, order, n, percent, parts, bounds.crowd), TEXT_ROWS)
+    pairs = met.where("gid IS NULL").select("a", "b").distinct()
+    crowds = met.where("gid IS NOT NULL").select("gid", "a").distinct()
+    star = crowds.groupBy("gid").agg(F.min("a").alias("b"))
+    near = components(pairs.unionByName(crowds.join(star, "gid").where("a <> b").select("a", "b")))
+
+    # Blocks, slices and leaders: the sets that are in most crowds, and some by hash.
+    sizes = rows.join(near.select(F.col("node").alias("set_id")), "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"))
+    placed = near.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sizes, "set_id")
+    slices = placed.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / bounds.block), F.ceil(F.sum("n") / bounds.grams)).cast("int").alias("slices"))
+    texts = _texts(placed.join(slices, "block").select("set_id", "block", "slices"), docs, rows, n)
+    member = texts.select("block", F.pmod(F.xxhash64("set_id"), F.col("slices")).cast("int").alias("slice"), F.lit(0).alias("role"), "set_id", "text")
+    big = texts.where("slices > 1")
+    degree = crowds.groupBy(F.col("a").alias("set_id")).count()
+    ranked = big.select("set_id", "block", "slices").join(degree, "set_id", "left")
+    leads = F.array_distinct(F.array(*[F.max_by("set_id", F.struct(F.coalesce("count", F.lit(0)), F.xxhash64("set_id"))), *[F.min_by("set_id", F.xxhash64("set_id", F.lit(k))) for k in range(3)]]))
+    leaders = ranked.groupBy("block").agg(leads.alias("leads"), F.max("slices").alias("slices"))
+    leaders = leaders.select("block", "slices", F.explode("leads").alias("set_id"))
+    leaders = leaders.select("block", "set_id", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    leaders = leaders.where(F.col("slice") != F.pmod(F.xxhash64("set_id"), F.col("slices"))).join(texts.select("set_id", "text"), "set_id")
+    found = stash(_tree_links(member.unionByName(leaders.select("block", "slice", F.lit(1).alias("role"), "set_id", "text")), order, n, percent, bounds.block), TEXT_ROWS)
+    roots = components(found)
+    if big.limit(1).count():
+        more = stash(_tree_links(_apart(pairs, crowds, texts, roots), order, n, percent, bounds.block), TEXT_ROWS)
+        if more.limit(1).count():
+            roots = components(found.unionByName(more))
+        drop_stash(more)
+    drop_stash(met, near, texts, found)
 
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("low")).where("set_id <> 0")
     sets = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "low", F.coalesce("root", "set_id").alias("root"))
@@ -419,27 +582,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(named(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _texts_of(docs: DataFrame, holder: DataFrame, n: int) -> DataFrame:
-    """(set_id, text) for sets and the id of a row that holds each. Rows of one id may hold different texts."""
-    near = docs.join(holder.hint("shuffle_hash"), docs["doc_id"] == holder["holder"]).select("doc_id", "set_id", "text")
-
-    @_quiet
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
-        for batch in batches:
-            sets = batch.column(1).to_pylist()
-            at, keep = 0, []
-            for chunk in chunks(batch.column(2)):
-                for grams in shingle_sets(chunk, n):
-                    if set_hash(grams) == sets[at] and sets[at] not in given:
-                        given.add(sets[at])
-                        keep.append(at)
-                    at += 1
-            yield batch.select(["set_id", "text"]).take(pa.array(keep, pa.int64()))
-
-    return near.repartition(partitions_of(docs.sparkSession), "set_id").mapInArrow(run, "set_id long, text string")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 75) -> DataFrame:
     """One row of each component: the one with the smallest id, null ids last; ties go by the hash of id and text.
 
