@@ -388,10 +388,10 @@ def joined(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
 
 
 def _tree_links(placed: DataFrame, order, n: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) that join what is joined in each block. placed: block, slice, role, set_id, text.
+    """Links (a, b) that join what is joined in each slice. placed: block, slice, role, set_id, text.
 
-    Sets of role 0 make the block's tree; those of role 1 and, in blocks with a slice of 0 or more, the tree's own sets
-    probe it.
+    Sets of role 0 make the slice's tree; those of role 1 and, in slices from 0 on, the tree's own sets probe it. Slice
+    0 is a whole block, so its links name the smallest set of the component (``whole``).
     """
 
     @_quiet
@@ -427,7 +427,7 @@ def _tree_links(placed: DataFrame, order, n: int, percent: int, block: int) -> D
             own = np.flatnonzero(label != np.arange(len(label)))
             if len(own):
                 ids = np.array(names, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]]), pa.array(np.full(len(own), group[1] == 0))], names=["a", "b", "whole"])
             names.clear()
             sets.clear()
             probes.clear()
@@ -453,7 +453,7 @@ def _tree_links(placed: DataFrame, order, n: int, percent: int, block: int) -> D
 
     spark = placed.sparkSession
     ordered = placed.select("block", "slice", "role", "set_id", "text").repartition(partitions_of(spark), "block", "slice")
-    return ordered.sortWithinPartitions("block", "slice", "role", "set_id").mapInArrow(run, "a long, b long")
+    return ordered.sortWithinPartitions("block", "slice", "role", "set_id").mapInArrow(run, "a long, b long, whole boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -555,23 +555,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = near.select(F.col("node").alias("set_id"), F.col("root").alias("block")).join(sizes, "set_id")
     slices = placed.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / bounds.block), F.ceil(F.sum("n") / bounds.grams)).cast("int").alias("slices"))
     texts = _texts(placed.join(slices, "block").select("set_id", "block", "slices"), docs, rows, n)
-    member = texts.select("block", F.pmod(F.xxhash64("set_id"), F.col("slices")).cast("int").alias("slice"), F.lit(0).alias("role"), "set_id", "text")
+    part = F.when(F.col("slices") == 1, 0).otherwise(1 + F.pmod(F.xxhash64("set_id"), F.col("slices"))).cast("int").alias("slice")
+    member = texts.select("block", part, F.lit(0).alias("role"), "set_id", "text")
     big = texts.where("slices > 1")
     degree = crowds.groupBy(F.col("a").alias("set_id")).count()
     ranked = big.select("set_id", "block", "slices").join(degree, "set_id", "left")
     leads = F.array_distinct(F.array(*[F.max_by("set_id", F.struct(F.coalesce("count", F.lit(0)), F.xxhash64("set_id"))), *[F.min_by("set_id", F.xxhash64("set_id", F.lit(k))) for k in range(3)]]))
     leaders = ranked.groupBy("block").agg(leads.alias("leads"), F.max("slices").alias("slices"))
     leaders = leaders.select("block", "slices", F.explode("leads").alias("set_id"))
-    leaders = leaders.select("block", "set_id", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    leaders = leaders.where(F.col("slice") != F.pmod(F.xxhash64("set_id"), F.col("slices"))).join(texts.select("set_id", "text"), "set_id")
+    leaders = leaders.select("block", "set_id", part.alias("own"), F.explode(F.sequence(F.lit(1), F.col("slices"))).alias("slice"))
+    leaders = leaders.where("slice <> own").join(texts.select("set_id", "text"), "set_id")
     found = stash(_tree_links(member.unionByName(leaders.select("block", "slice", F.lit(1).alias("role"), "set_id", "text")), order, n, percent, bounds.block), TEXT_ROWS)
-    roots = components(found)
+    roots = found.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
     if big.limit(1).count():
-        more = stash(_tree_links(_apart(pairs, crowds, texts, roots), order, n, percent, bounds.block), TEXT_ROWS)
+        links = found.where("NOT whole").select("a", "b")
+        cut = components(links)
+        more = stash(_tree_links(_apart(pairs, crowds, texts, cut), order, n, percent, bounds.block), TEXT_ROWS)
         if more.limit(1).count():
-            roots = components(found.unionByName(more))
+            drop_stash(cut)
+            cut = components(links.unionByName(more.select("a", "b")))
         drop_stash(more)
-    drop_stash(met, near, texts, found)
+        roots = roots.unionByName(cut)
+    drop_stash(met, near, texts)
 
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("low")).where("set_id <> 0")
     sets = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "low", F.coalesce("root", "set_id").alias("root"))
