@@ -106,9 +106,7 @@ def test_lookup_table_by_preference_lists():
     assert moved < size // 4
 
 
-def test_suffix_dedup(docs, empty):
-    out = rows(remove_repeats(docs))
-    data = [(t or "").encode() for _, t in TEXTS]
+def brute_repeats(data):
     starts: dict = {}
     for d in data:
         for i in range(len(d) - 399):
@@ -121,10 +119,31 @@ def test_suffix_dedup(docs, empty):
                 gone[i : i + 400] = [True] * 400
         kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
         want.append((len(d), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
-    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == sorted(want)
+    return sorted(want)
+
+
+def test_suffix_dedup(docs, empty):
+    out = rows(remove_repeats(docs))
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_repeats([(t or "").encode() for _, t in TEXTS])
     assert not rows(remove_repeats(empty))
 
 
+@pytest.mark.parametrize("slice_size", [1000, 3])
+def test_suffix_dedup_of_shared_passages(spark, slice_size):
+    """A passage in many texts, cut at either side, beside shorter ones, inside one text, and keys over a slice's size."""
+    import random
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    passage, other = text(700), text(390)
+    texts = [text(rng.randrange(60)) + passage[rng.choice([0, 0, 1, 5, 250]) : rng.choice([700, 700, 699, 660])] + text(rng.randrange(60)) for _ in range(25)]
+    texts += [passage[:600] + end for end in ("", "x", "y" + text(200))]
+    texts += [text(50) + other + text(50), text(9) + other + text(70), passage + text(30) + passage, "ab" * 500, text(2000), passage[:300]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = rows(remove_repeats(df, slice_size=slice_size))
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == brute_repeats([t.encode() for t in texts])
+
+
 def test_packing(docs, empty):
     import numpy as np
     from tokenizers import Tokenizer

@@ -11,7 +11,7 @@ from voxelspark.llm.decontaminate import align, contaminated, may_reach
 from voxelspark.llm.ngram_join import ENTRY, PrefixTree, joined, may_meet, meeting_pairs
 from voxelspark.llm.packing import cuts
 from voxelspark.llm.repetition import suffix_array
-from voxelspark.llm.suffix_dedup import repeated_windows, two_stage_suffix_array
+from voxelspark.llm.suffix_dedup import FINE, LADDER, common_prefixes, repeated_windows, two_stage_suffix_array
 from voxelspark.llm.toxicity import label_model
 
 
@@ -38,15 +38,30 @@ def test_two_stage_suffix_array(letters):
     assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
+def test_common_prefixes():
+    rng = random.Random(8)
+    base = bytes(rng.choice(b"ab") for _ in range(700))
+    parts = [base[:500], base[20:520], base[:450], b"a" * 430]
+    raw = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
+    end = np.cumsum([len(x) + 1 for x in parts]) - 1
+    room = np.repeat(end, [len(x) + 1 for x in parts]) - np.arange(len(raw))
+    text = raw.tobytes()
+    sa = np.array(sorted(range(len(raw)), key=lambda i: text[i:]))
+    got = common_prefixes(sa, SpanHash(raw), room)
+    for k, (i, j) in enumerate(zip(sa.tolist(), sa[1:].tolist(), strict=False)):
+        m = min(int(room[i]), int(room[j]), sum(LADDER) + sum(FINE))
+        assert got[k] == next((x for x in range(m) if text[i + x] != text[j + x]), m)
+
+
 def test_repeated_windows():
     rng = random.Random(2)
     base = bytes(rng.choice(b"abc") for _ in range(900))
     fragments = [base[:500], base[100:700], bytes(rng.choice(b"xyz") for _ in range(450)), b"q" * 600]
-    flags, _ = repeated_windows(fragments, [1, 1, 2, 1], 400)
+    flags, _ = repeated_windows(fragments, 400)
     seen: dict = {}
-    for f, c in zip(fragments, [1, 1, 2, 1], strict=True):
+    for f in fragments:
         for i in range(len(f) - 399):
-            seen[f[i : i + 400]] = seen.get(f[i : i + 400], 0) + c
+            seen[f[i : i + 400]] = seen.get(f[i : i + 400], 0) + 1
     for f, flag in zip(fragments, flags, strict=True):
         assert flag.tolist() == [seen[f[i : i + 400]] > 1 for i in range(len(f) - 399)]
 

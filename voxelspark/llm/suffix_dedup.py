@@ -1,17 +1,20 @@
 """Removal of long byte strings that start more than once in the corpus, by suffix arrays.
 
-Every window of ``length`` bytes belongs to one anchor: the leftmost smallest hash of its 32-byte strings. Equal
-windows have equal anchors at equal places, so the windows of one anchor of a text, a fragment, need only meet
-fragments of the same anchor hash. Fragments of an anchor that occurs once are unique. The others meet in tasks, equal
-ones as one with a count, and a suffix array over them brings equal windows together.
+Every window of ``length`` bytes has an anchor: the leftmost smallest hash of its 32-byte strings. Half of what a
+window holds beside its anchor, or more, lies on one side, and the anchor with that half is the window's key. Equal
+windows have equal keys, so the windows of one key of a text, a fragment, need only meet fragments of the same key.
+Fragments whose key occurs once are unique, and those of a key whose fragments are all equal repeat. The others meet
+in tasks, equal ones as one, where a suffix array over them sorts their windows and the common prefixes of neighbours
+tell which of them repeat.
 
 The suffix array is built in two stages: suffixes smaller than their successors are sorted directly, the others are
-induced from them by scans over the buckets of first symbols. Common prefixes of neighbours then tell equal windows.
+induced from them by scans over the buckets of first symbols.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +22,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_1, S33, SpanHash, chunks, drop_stash, mix, partitions_of, row_key, stash, text_bytes
+from .common import MIX_1, S33, SpanHash, chunks, drop_stash, mix, partitions_of, stash, text_bytes
 
 GRAM = 32
 #: Low bits of an anchor's sort key that hold its place; texts may have up to 2^30 bytes.
 PLACE = np.uint64((1 << 30) - 1)
-#: Fragments of one anchor hash that meet in one task; more are dealt to slices, whose windows are then counted together.
-SLICE = 2000
+#: Distinct fragments of one key that meet in one task; more are dealt to slices.
+SLICE = 1000
 #: Bytes of fragments in one suffix array, unless one slice has more.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
+#: Texts that a task remembers so as not to cut copies again, and rows of texts that go to Python at once.
+SEEN_TEXTS, TEXT_ROWS = 200_000, 500
+#: Bits of a fragment's place: number of windows, first window, and the low bits of the text's length.
+N_BITS, FIRST_BITS = 9, 31
 #: Symbols in a sort key, of nine bits each: 0 ends a fragment, a byte is its value plus 1.
 KEY_SYMBOLS = 7
-LADDER = [224, 112, 56, 28, 14, 7]
+#: Lengths whose rolling hashes tell a common prefix step by step: whole keys first, single symbols last.
+LADDER, FINE = [224, 112, 56, 28, 14, 7], [4, 2, 1]
+#: A window of a sliced key, one of those that are equal in its slice, and whether no other of the slice equals it.
+LONE = np.dtype([("window", "<u8"), ("key", "<i8"), ("content", "<i8"), ("at", "<i4"), ("alone", "<i4")])
 
 
 def anchors(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For the texts at [begin, end) of a buffer: text, first window, number of windows, anchor hash of each fragment."""
+    """For the texts at [begin, end) of a buffer: text, first window, number of windows and key of each fragment."""
     spans = SpanHash(buf)
     n, w = len(buf), length - GRAM + 1
     long = np.flatnonzero(end - begin >= length)
@@ -49,6 +59,10 @@ def anchors(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) ->
     ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     least = np.minimum(back[: len(key) - w + 1], ahead[w - 1 : len(key)])
+    place = (least & PLACE).astype(np.int64)
+    # The longer side of each window beside its anchor: the right one up to half of the bytes on the left.
+    half = (length - GRAM) // 2
+    kind = 2 * place + (place - np.arange(len(place)) > half)
     # Windows inside texts, as a mask with a border on either side.
     change = np.zeros(len(least) + 2, np.int8)
     change[begin[long] + 1] += 1
@@ -56,11 +70,13 @@ def anchors(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) ->
     inside = np.cumsum(change, dtype=np.int8) > 0
     inside[-1] = False
     other = np.ones(len(least) + 1, bool)
-    other[1:-1] = least[1:] != least[:-1]
+    other[1:-1] = kind[1:] != kind[:-1]
     first = np.flatnonzero(inside[1:-1] & (other[:-1] | ~inside[:-2]))
     last = np.flatnonzero(inside[1:-1] & (other[1:] | ~inside[2:]))
     text = np.searchsorted(begin, first, "right") - 1
-    return text, first, last - first + 1, h[(least[first] & PLACE).astype(np.int64)]
+    at, left = place[first], kind[first] % 2 == 1
+    whole = spans(np.where(left, at - half - 1, at), np.where(left, at + GRAM, at + length - half))
+    return text, first, last - first + 1, mix(whole + left)
 
 
 def two_stage_suffix_array(t: np.ndarray, spans: SpanHash, depth: int) -> np.ndarray:
@@ -152,9 +168,25 @@ def two_stage_suffix_array(t: np.ndarray, spans: SpanHash, depth: int) -> np.nda
     return sa
 
 
-def repeated_windows(fragments: list[bytes], counts: list[int], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each fragment, whether each of its windows starts more than once among the fragments, a fragment counting
-    ``counts`` times; and the hashes of its windows."""
+def common_prefixes(sa: np.ndarray, spans: SpanHash, room: np.ndarray) -> np.ndarray:
+    """Symbols that each suffix of a sorted list shares with the one before it, up to the reach of the ladder.
+
+    room: symbols from each place to its fragment's end.
+    """
+    left, right = sa[:-1], sa[1:]
+    out = np.zeros(len(left), np.int64)
+    for size in [*LADDER, *FINE]:
+        rung = spans.rolling(size)
+        i, j = left + out, right + out
+        fits = np.maximum(i, j) < len(rung)
+        same = np.zeros(len(left), bool)
+        same[fits] = rung[i[fits]] == rung[j[fits]]
+        out += size * same
+    return np.minimum(out, np.minimum(room[left], room[right]))
+
+
+def repeated_windows(fragments: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each fragment, whether each of its windows starts more than once among the fragments, and their hashes."""
     sizes = np.array([len(x) for x in fragments])
     raw = np.frombuffer(b"\0".join(fragments) + b"\0", np.uint8)
     end = np.cumsum(sizes + 1) - 1
@@ -166,20 +198,15 @@ def repeated_windows(fragments: list[bytes], counts: list[int], length: int) ->
     spans = SpanHash(seen)
     sa = two_stage_suffix_array(t, spans, length)
     begin = end - sizes
-    n_windows = sizes - length + 1
-    windows = np.concatenate([np.arange(b, b + k) for b, k in zip(begin, n_windows, strict=True)])
-    is_window = np.zeros(len(t), bool)
-    is_window[windows] = True
-    content = np.zeros(len(t), np.uint64)
-    content[windows] = spans(windows, windows + length)
-    ordered = sa[is_window[sa]]
-    # Neighbours whose common prefix has the length of a window.
-    same = content[ordered[1:]] == content[ordered[:-1]]
+    room = np.repeat(end, sizes + 1) - np.arange(len(t))
+    sa = sa[room[sa] >= length]
+    same = common_prefixes(sa, spans, room) >= length
     again = np.zeros(len(t), bool)
-    again[ordered[1:][same]] = True
-    again[ordered[:-1][same]] = True
-    flags = [again[b : b + k] if c < 2 else np.ones(k, bool) for b, k, c in zip(begin, n_windows, counts, strict=True)]
-    return flags, [content[b : b + k] for b, k in zip(begin, n_windows, strict=True)]
+    again[sa[1:][same]] = True
+    again[sa[:-1][same]] = True
+    windows = mix(spans.rolling(length))
+    cut = [(b, b + k) for b, k in zip(begin.tolist(), (sizes - length + 1).tolist(), strict=True)]
+    return [again[i:j] for i, j in cut], [windows[i:j] for i, j in cut]
 
 
 def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -187,132 +214,202 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
-def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """Fragments of all texts: row key, first window, number of windows, anchor hash, content hash."""
+def _cut(texts: DataFrame, length: int) -> DataFrame:
+    """Fragments of all texts (k_id, k_text, text): their texts, place, key and a hash of their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: OrderedDict[int, None] = OrderedDict()
         for batch in batches:
-            for chunk in chunks(batch.column(2), 2 << 20):
-                text, first, n, anchor = anchors(chunk.buf, chunk.begin, chunk.end, length)
+            fresh = []
+            for k, h in enumerate(batch.column(1).to_pylist()):
+                if h not in seen:
+                    fresh.append(k)
+                    seen[h] = None
+                    if len(seen) > SEEN_TEXTS:
+                        seen.popitem(last=False)
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            for chunk in chunks(batch.column(2)):
+                text, first, n, key = anchors(chunk.buf, chunk.begin, chunk.end, length)
                 content = SpanHash(chunk.buf)(first, first + n + length - 1)
                 rows = pa.array(text + chunk.first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first - chunk.begin[text]), pa.array(n), pa.array(anchor.astype(np.int64)), pa.array(mix(content + n.astype(np.uint64)).astype(np.int64))], names=["k_id", "k_text", "first", "n", "anchor", "content"])
+                size = (chunk.end - chunk.begin)[text]
+                place = size.astype(np.uint64) << np.uint64(N_BITS + FIRST_BITS) | (first - chunk.begin[text]).astype(np.uint64) << np.uint64(N_BITS) | n.astype(np.uint64)
+                columns = [pa.array(place.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(mix(content + n.astype(np.uint64)).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], names=["k_id", "k_text", "place", "key", "content"])
+
+    return texts.mapInArrow(run, "k_id long, k_text long, place long, key long, content long")
+
 
-    return docs.mapInArrow(run, "k_id long, k_text long, first long, n long, anchor long, content long")
+def _unpacked(df: DataFrame) -> DataFrame:
+    """Columns k_size, first and n for place."""
+    first = F.shiftrightunsigned("place", N_BITS).bitwiseAND(F.lit((1 << FIRST_BITS) - 1))
+    rest = [c for c in df.columns if c != "place"]
+    return df.select(*rest, F.shiftrightunsigned("place", N_BITS + FIRST_BITS).alias("k_size"), first.alias("first"), F.col("place").bitwiseAND(F.lit((1 << N_BITS) - 1)).alias("n"))
 
 
-def _bytes_of(docs: DataFrame, fragments: DataFrame, length: int) -> DataFrame:
+def _bytes_of(texts: DataFrame, fragments: DataFrame, length: int) -> DataFrame:
     """The bytes of fragments, read from one text that holds each: a text is joined once, with all its fragments."""
-    lists = fragments.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("first", "n", "anchor", "content", "copies", "slice", "sliced")).alias("parts"))
-    same = docs["k_id"].eqNullSafe(lists["k_id"]) & (docs["k_text"] == lists["k_text"])
-    found = docs.join(lists.hint("shuffle_hash"), same).select(lists["k_id"], lists["k_text"], "text", "parts")
+    lists = fragments.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("first", "n", "key", "content", "slice", "slices")).alias("parts"))
+    same = texts["k_id"].eqNullSafe(lists["k_id"]) & (texts["k_text"] == lists["k_text"])
+    found = texts.join(lists.hint("shuffle_hash"), same).select(lists["k_id"], lists["k_text"], "text", "parts")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple] = set()
+        rows: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "slice", "content", "slices", "data"])
+
         for batch in batches:
             ids, keys, parts = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            texts = text_bytes(batch.column(2))
-            rows, size = [], 0
-            for name, text, own in zip(zip(ids, keys, strict=True), texts, parts, strict=True):
+            for name, text, own in zip(zip(ids, keys, strict=True), text_bytes(batch.column(2)), parts, strict=True):
                 if name in given:  # a row that repeats
                     continue
                 given.add(name)
                 for p in own:
                     data = text[p["first"] : p["first"] + p["n"] + length - 1]
-                    rows.append((p["anchor"], p["slice"], p["content"], p["copies"], p["sliced"], data))
+                    rows.append((p["key"], p["slice"], p["content"], p["slices"], data))
                     size += len(data)
-                if size > 8 << 20:
-                    yield _fragment_batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _fragment_batch(rows)
-
-    return found.mapInArrow(run, "anchor long, slice int, content long, copies long, sliced boolean, data binary")
-
+                if size > 4 << 20:
+                    yield made()
+                    rows.clear()
+                    size = 0
+        if rows:
+            yield made()
 
-def _fragment_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["anchor", "slice", "content", "copies", "sliced", "data"])
+    return found.mapInArrow(run, "key long, slice int, content long, slices int, data binary")
 
 
 def _sorted(fragments: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows of each fragment; for sliced anchors also each window, one of equal ones in a slice."""
+    """Runs lo, hi of repeated windows of each fragment. Of sliced keys also each slice's distinct windows, packed by
+    buckets of their hash (``lone``, with the bucket in place of the key)."""
+    parts = partitions_of(fragments.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
+        names = ["key", "content", "lo", "hi", "lone"]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            flags, hashes = repeated_windows([x[4] for x in held], [x[2] for x in held], length)
-            rows = []
+            flags, hashes = repeated_windows([x[4] for x in held], length)
+            rows, lone = [], []
             told: set[int] = set()
-            for (anchor, content, _, sliced, _), flag, h in zip(held, flags, hashes, strict=True):
-                rows.append((anchor, content, *_runs(flag), None))
-                if sliced:
-                    fresh = [(k, x) for k, x in enumerate(h.astype(np.int64).tolist()) if x not in told and not told.add(x)]
-                    rows += [(anchor, content, [k], [k + 1], x) for k, x in fresh]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
-            for i in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 20_000], strict=True), kinds, strict=True)], names=["anchor", "content", "lo", "hi", "window"])
+            for (key, _, content, slices, _), flag, h in zip(held, flags, hashes, strict=True):
+                if flag.any():
+                    rows.append((key, content, *_runs(flag), None))
+                if slices > 1:
+                    again = [k for k in np.flatnonzero(flag).tolist() if (x := int(h[k])) not in told and not told.add(x)]
+                    at = np.concatenate([np.flatnonzero(~flag), np.array(again, np.int64)])
+                    own = np.empty(len(at), LONE)
+                    own["window"], own["key"], own["content"], own["at"], own["alone"] = h[at], key, content, at, ~flag[at]
+                    lone.append(own)
+            if lone:
+                every = np.concatenate(lone)
+                bucket = (every["window"] % np.uint64(parts)).astype(np.int64)
+                every = every[np.argsort(bucket, kind="stable")]
+                edge = np.searchsorted(np.sort(bucket), np.arange(parts + 1))
+                rows += [(b, None, None, None, every[i:j].tobytes()) for b, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if i < j]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for anchor, part, content, copies, sliced, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (anchor, part) != last and size > SORT_BYTES:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != last and size > SORT_BYTES:
                     yield from flush()
                     held.clear()
                     size = 0
-                last = anchor, part
-                held.append((anchor, content, copies, sliced, data))
-                size += len(data)
+                last = row[:2]
+                held.append(row)
+                size += len(row[4])
         if held:
             yield from flush()
 
-    ordered = fragments.repartition(partitions_of(fragments.sparkSession), "anchor", "slice").sortWithinPartitions("anchor", "slice")
-    return ordered.mapInArrow(run, "anchor long, content long, lo array<int>, hi array<int>, window long")
-
-
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """Row key and arrays lo, hi of the byte ranges that repeated windows cover, for rows that have some."""
-    cut = stash(_cut(docs, length))
-    twice = cut.groupBy("anchor").count().where("count > 1").select("anchor")
-    shared = stash(cut.join(twice, "anchor", "left_semi"))
-    drop_stash(cut)
-    holder = F.min(F.struct("k_id", "k_text", "first")).alias("at")
-    distinct = stash(shared.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min("n").alias("n"), holder))
-    slices = distinct.groupBy("anchor").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    dealt = distinct.join(slices, "anchor").select("anchor", "content", "copies", "n", "at.*", F.pmod(F.xxhash64("content"), F.col("slices")).cast("int").alias("slice"), (F.col("slices") > 1).alias("sliced"))
-    found = stash(_sorted(_bytes_of(docs, dealt, length), length))
-    runs = found.where(F.col("window").isNull() & (F.size("lo") > 0)).select("anchor", "content", "lo", "hi")
-    windows = found.where(F.col("window").isNotNull())
-    across = windows.groupBy("window").count().where("count > 1").select("window")
-    # A window that other slices hold too repeats in all of them, as those of its slice that equal it are runs already.
-    runs = runs.unionByName(windows.join(across, "window", "left_semi").select("anchor", "content", "lo", "hi"))
-    runs = runs.select("anchor", "content", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("anchor", "content", "r.lo", "r.hi")
-    spans = shared.join(runs, ["anchor", "content"]).select("k_id", "k_text", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length - 1).alias("hi"))
-    return spans.groupBy("k_id", "k_text").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, keep_text: bool = False) -> DataFrame:
+    ordered = fragments.repartition(parts, "key", "slice").sortWithinPartitions("key", "slice")
+    return ordered.mapInArrow(run, "key long, content long, lo array<int>, hi array<int>, lone binary")
+
+
+def _across(found: DataFrame) -> DataFrame:
+    """Runs of single windows that slices hold alone but others hold too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x, LONE) for batch in batches for x in batch.column(1).to_pylist()]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows["window"], kind="stable")]
+        same = rows["window"][1:] == rows["window"][:-1]
+        rows = rows[(np.append(False, same) | np.append(same, False)) & (rows["alone"] == 1)]
+        at = rows["at"].astype(np.int32)
+        one = np.arange(len(rows) + 1, dtype=np.int32)
+        columns = [pa.array(np.ascontiguousarray(rows["key"])), pa.array(np.ascontiguousarray(rows["content"])), pa.ListArray.from_arrays(one, pa.array(at)), pa.ListArray.from_arrays(one, pa.array(at + 1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "content", "lo", "hi"])
+
+    lone = found.where(F.col("lone").isNotNull()).select("key", "lone")
+    return lone.repartition(partitions_of(found.sparkSession), "key").mapInArrow(run, "key long, content long, lo array<int>, hi array<int>")
+
+
+def repeated_spans(texts: DataFrame, length: int, slice_size: int) -> DataFrame:
+    """For the texts (k_id, k_text, text) that have some: k_text, k_size and the byte ranges that repeat, as spans.
+
+    Copies of a text share a row: they have the same ranges, all of it. Tables that joins read are written first, so
+    that Spark sees their sizes and can split a key that many rows share.
+    """
+    copies = texts.select("k_text", F.octet_length("text").cast("long").alias("size")).where(F.col("size") >= length)
+    copies = copies.groupBy("k_text", "size").count().where("count > 1")
+    low = F.col("size").bitwiseAND(F.lit((1 << (64 - N_BITS - FIRST_BITS)) - 1))
+    whole = copies.select("k_text", low.alias("k_size"), F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"))
+
+    cut = stash(_cut(texts, length), TEXT_ROWS)
+    twice = cut.groupBy("key").agg(F.count("*").alias("n_rows"), (F.min("content") == F.max("content")).alias("alike"))
+    twice = stash(twice.where("n_rows > 1").select("key", "alike"))
+    shared = stash(_unpacked(cut.join(twice, "key")))
+    drop_stash(cut, twice)
+    alike = shared.where("alike").select("k_text", "k_size", F.col("first").alias("lo"), (F.col("first") + F.col("n") + length - 1).alias("hi"))
+    mixed = shared.where("NOT alike").select("k_id", "k_text", "k_size", "first", "n", "key", "content")
+    distinct = stash(mixed.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("k_id", "k_text", "first", "n")).alias("at")))
+    hot = stash(distinct.groupBy("key").count().where(F.col("count") > slice_size).select("key", F.ceil(F.col("count") / slice_size).cast("int").alias("slices")))
+    dealt = distinct.join(hot, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    dealt = dealt.select("key", "content", "at.*", "slices", F.pmod(F.xxhash64("content"), F.col("slices")).cast("int").alias("slice"))
+    found = stash(_sorted(_bytes_of(texts, dealt, length), length), TEXT_ROWS)
+    runs = found.where(F.col("lone").isNull()).select("key", "content", "lo", "hi").unionByName(_across(found))
+    runs = runs.select("key", "content", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("key", "content", "r.lo", "r.hi")
+    # What equal fragments hold repeats as a whole.
+    runs = stash(runs.unionByName(distinct.where("copies > 1").select("key", "content", F.lit(0).alias("lo"), F.col("at.n").cast("int").alias("hi"))))
+    begin = F.col("first")
+    parts = mixed.join(runs, ["key", "content"]).select("k_text", "k_size", (begin + F.col("lo")).alias("lo"), (begin + F.col("hi") + length - 1).alias("hi"))
+    every = whole.unionByName(alike).unionByName(parts)
+    out = stash(every.groupBy("k_text", "k_size").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    drop_stash(shared, distinct, hot, found, runs)
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, keep_text: bool = False, slice_size: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for each row.
 
     Every byte that a string of ``length`` bytes covers which also starts elsewhere in the corpus is removed, the same
     text included; overlaps count. Null or empty text: no bytes. Repeated rows: their texts repeat, so those of
     ``length`` bytes or more are removed whole. Null ids are carried. Extra columns are ignored. An empty table gives
-    an empty result. Texts are read whole.
+    an empty result. Texts are read whole. Strings are told apart by 64-bit hashes. ``slice_size`` distinct fragments
+    of one key are sorted together at most; the result is the same for any.
     """
-    if not GRAM < length <= sum(LADDER):
+    if not GRAM < length <= sum(LADDER) or length - GRAM >= 1 << N_BITS:
         raise ValueError(f"length must be over {GRAM} and at most {sum(LADDER)}")
-    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).withColumn("k_id", F.col("k_id").cast("long"))
-    spans = repeated_spans(rows, length)
-    same = rows["k_id"].eqNullSafe(spans["k_id"]) & (rows["k_text"] == spans["k_text"])
-    joined = rows.join(spans.hint("shuffle_hash"), same, "left").select(rows["k_id"], "text", "lo", "hi")
+    rows = docs.select(F.col(id_col).cast("long").alias("k_id"), F.xxhash64(text_col).alias("k_text"), F.col(text_col).alias("text"))
+    spans = repeated_spans(rows.where(F.col("text").isNotNull()), length, slice_size)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").bitwiseAND(F.lit((1 << (64 - N_BITS - FIRST_BITS)) - 1))
+    sized = rows.withColumn("size", size)
+    same = (sized["k_text"] == spans["k_text"]) & (sized["size"] == spans["k_size"])
+    joined = sized.join(spans.hint("shuffle_hash"), same, "left").select("k_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, lo, hi in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, ranges in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 pieces, at, removed, n_spans, until = [], 0, 0, 0, -1
-                for i, j in sorted(zip(lo or [], hi or [], strict=True)):
+                for i, j in sorted((r["lo"], r["hi"]) for r in ranges or []):
                     if i > until:
                         n_spans += 1
                     if i > at:
