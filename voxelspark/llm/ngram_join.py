@@ -33,10 +33,12 @@ from .common import SpanHash, chunks, drop_stash, lower_ascii, mix, partitions_o
 MAX_FREQUENT = 1 << 20
 #: n-grams that a task holds to count them.
 COUNT_GRAMS = 1 << 22
+#: Entries of prefixes that a task holds to send them by buckets.
+SEND_ENTRIES = 1 << 20
 #: Sets that a task remembers so as not to send copies again.
 SEEN_SETS = 200_000
 #: Buckets of meetings for each partition; a task holds one at a time.
-BUCKETS = 16
+BUCKETS = 4
 #: Rows of texts that go to Python at once.
 TEXT_ROWS = 500
 #: n-grams of an edge that a walk takes between two looks at the bounds, and cells of a walk's table of probes.
@@ -220,8 +222,23 @@ def _meetings(docs: DataFrame, order, n: int, percent: int, parts: int, crowd: i
     @_quiet
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, known = _Seen(), order.value
+        out: list[np.ndarray] = []
+        held = 0
+
+        def sent() -> pa.RecordBatch:
+            entries = np.concatenate(out)
+            out.clear()
+            often = np.flatnonzero(entries["key"] < RARE)
+            entries["parts"][often] = known.parts[entries["key"][often].astype(np.int64)]
+            part = mix(entries["set"].astype(np.uint64)) % entries["parts"]
+            bucket = (mix(entries["key"] + part * np.uint64(0x9FB21C651E98DF25)) % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            entries, bucket = entries[by], bucket[by]
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            data = [entries[i:j].tobytes() for i, j in zip(edge, np.append(edge[1:], len(entries)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(data, pa.binary())], names=["bucket", "entries"])
+
         for batch in batches:
-            out = []
             for chunk in chunks(batch.column(1)):
                 for grams in shingle_sets(chunk, n):
                     h = set_hash(grams)
@@ -232,18 +249,12 @@ def _meetings(docs: DataFrame, order, n: int, percent: int, parts: int, crowd: i
                     entry = np.empty(keep, ENTRY)
                     entry["key"], entry["set"], entry["n"], entry["rest"], entry["parts"] = keys, h, len(grams), np.arange(len(grams) - keep, len(grams)), 1
                     out.append(entry)
-            if not out:
-                continue
-            entries = np.concatenate(out)
-            often = np.flatnonzero(entries["key"] < RARE)
-            entries["parts"][often] = known.parts[entries["key"][often].astype(np.int64)]
-            part = mix(entries["set"].astype(np.uint64)) % entries["parts"]
-            bucket = (mix(entries["key"] + part * np.uint64(0x9FB21C651E98DF25)) % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            entries, bucket = entries[by], bucket[by]
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            data = [entries[i:j].tobytes() for i, j in zip(edge, np.append(edge[1:], len(entries)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(data, pa.binary())], names=["bucket", "entries"])
+                    held += keep
+                if held > SEND_ENTRIES:
+                    yield sent()
+                    held = 0
+        if out:
+            yield sent()
 
     def of_bucket(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         entries = np.concatenate(held)
@@ -459,22 +470,44 @@ def _tree_links(placed: DataFrame, order, n: int, percent: int, block: int) -> D
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b); root is the component's smallest node.
 
-    Smallest labels move along edges, and each round also follows labels of labels, so long chains shrink fast.
+    Each round, every node goes to the smallest neighbour of its smallest neighbour, and edges between the nodes that
+    remain make the next, smaller graph. The rounds' tables are put together from the last to the first.
     """
-    both = stash(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
+    edges, tables = stash(edges.where("a <> b").distinct()), []
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("root", F.coalesce("near", "root")).alias("next"), F.col("root").alias("old"))
-        jump = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        after = stash(step.join(jump, step["next"] == jump["via"], "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), "old"))
-        moved = after.where("root <> old").limit(1).count()
-        drop_stash(labels)
-        labels = after.select("node", "root")
-        labels._stash_path = after._stash_path
-        if not moved:
-            drop_stash(both)
-            return labels
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("near")))
+        far = low.select(F.col("a").alias("near"), F.col("near").alias("root"))
+        table = stash(low.join(far, "near").select(F.col("a").alias("node"), "root"))
+        to = lambda name: table.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        left = edges.join(to("a"), "a").join(to("b"), "b").where("a_root <> b_root")
+        left = stash(left.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+        tables.append(table)
+        drop_stash(edges, low)
+        edges = left
+        if not left.limit(1).count():
+            break
+    drop_stash(edges)
+    out = tables.pop()
+    while tables:
+        last = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        table = tables.pop()
+        longer = stash(table.join(last, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        drop_stash(out, table)
+        out = longer
+    return out
+
+
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams and counts of all that have a count so high that at most MAX_FREQUENT have it, and 2 or more."""
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
+    levels = sorted((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect())  # under 1100
+    total, least = 0, None
+    while levels and total + levels[-1][1] <= MAX_FREQUENT and levels[-1][0] >= 2:
+        least, more = levels.pop()
+        total += more
+    top = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).toArrow()  # bounded by MAX_FREQUENT
+    return top.column("set_id").to_numpy().astype(np.uint64), top.column("n").to_numpy()
 
 
 def _texts(placed: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -501,13 +534,13 @@ def _texts(placed: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataF
     return stash(near.mapInArrow(run, near.schema), TEXT_ROWS)
 
 
-def _apart(pairs: DataFrame, crowds: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, crowds: DataFrame, big: DataFrame, roots: DataFrame) -> DataFrame:
     """What slices could not tell, as blocks for trees: pairs, and crowds, of sets that are still in two components.
+    big: the sets of cut blocks.
 
     A pair's first set probes trees of its partners. Of a crowd's cluster, sets outside the largest component probe
     trees of all its sets.
     """
-    big = texts.where("slices > 1")
     root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     left = pairs.join(big.select(F.col("set_id").alias("a")), "a", "left_semi")
     left = left.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
@@ -524,7 +557,7 @@ def _apart(pairs: DataFrame, crowds: DataFrame, texts: DataFrame, roots: DataFra
     placed = sets.select("block", (F.lit(-100) - F.pmod(F.xxhash64("set_id"), F.col("slices"))).cast("int").alias("slice"), F.lit(0).alias("role"), "set_id")
     asked = sets.where("root <> main").select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("k"), "set_id")
     out = out.unionByName(placed).unionByName(asked.select("block", (F.lit(-100) - F.col("k")).cast("int").alias("slice"), F.lit(1).alias("role"), "set_id"))
-    return out.join(texts.select("set_id", "text"), "set_id")
+    return out.join(big.select("set_id", "text"), "set_id")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 75, bounds: Bounds = BOUNDS) -> DataFrame:
@@ -540,9 +573,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     scan = stash(_scan(docs, n), TEXT_ROWS)
     rows = scan.where("kind = 0").select(F.col("id").alias("doc_id"), "set_id", "n")
-    counts = scan.where("kind = 1").groupBy("set_id").agg(F.sum("n").alias("n"))
-    top = counts.where("n >= 3").orderBy(F.desc("n"), "set_id").limit(MAX_FREQUENT).toArrow()  # bounded by MAX_FREQUENT
-    order = spark.sparkContext.broadcast(Order(top.column("set_id").to_numpy().astype(np.uint64), top.column("n").to_numpy(), bounds.hot))
+    counts = stash(scan.where("kind = 1").groupBy("set_id").agg(F.sum("n").alias("n")))
+    order = spark.sparkContext.broadcast(Order(*_frequent(counts), bounds.hot))
+    drop_stash(counts)
 
     met = stash(_meetings(docs, order, n, percent, parts, bounds.crowd), TEXT_ROWS)
     pairs = met.where("gid IS NULL").select("a", "b").distinct()
@@ -564,13 +597,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leaders = ranked.groupBy("block").agg(leads.alias("leads"), F.max("slices").alias("slices"))
     leaders = leaders.select("block", "slices", F.explode("leads").alias("set_id"))
     leaders = leaders.select("block", "set_id", part.alias("own"), F.explode(F.sequence(F.lit(1), F.col("slices"))).alias("slice"))
-    leaders = leaders.where("slice <> own").join(texts.select("set_id", "text"), "set_id")
+    leaders = leaders.where("slice <> own").join(big.select("set_id", "text"), "set_id")
     found = stash(_tree_links(member.unionByName(leaders.select("block", "slice", F.lit(1).alias("role"), "set_id", "text")), order, n, percent, bounds.block), TEXT_ROWS)
     roots = found.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
     if big.limit(1).count():
         links = found.where("NOT whole").select("a", "b")
         cut = components(links)
-        more = stash(_tree_links(_apart(pairs, crowds, texts, cut), order, n, percent, bounds.block), TEXT_ROWS)
+        more = stash(_tree_links(_apart(pairs, crowds, big, cut), order, n, percent, bounds.block), TEXT_ROWS)
         if more.limit(1).count():
             drop_stash(cut)
             cut = components(links.unionByName(more.select("a", "b")))
@@ -590,8 +623,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 75) -> DataFrame:
     """One row of each component: the one with the smallest id, null ids last; ties go by the hash of id and text.
 
-    Rows are told by id and text, so a link of one text removes no other text of the same id. Of rows that repeat one
-    stays. Texts without words are linked with nothing and all stay. Null ids and extra columns are carried.
+    Rows are told by id and text, so a link of one text removes no other text of the same id. Of rows that repeat, in
+    id and text, one stays, whatever their other columns hold. Null or empty texts and texts without words are linked
+    with nothing and all stay. Null ids and extra columns are carried. An empty table stays empty. Texts are read whole.
     """
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("__key")
     keyed = docs.select("*", key)
@@ -602,5 +636,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__key")).alias("best"))
     marked = stash(found.join(best, "component").select("__key", (F.col("best.__key") == F.col("__key")).alias("kept"), "times").where("NOT kept OR times > 1"))
     drop_stash(found)
-    repeats = keyed.join(marked.where("kept").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
-    return keyed.join(marked.select("__key"), "__key", "left_anti").select(docs.columns).unionByName(repeats.select(docs.columns))
+    out = keyed.join(marked.select("__key"), "__key", "left_anti").select(docs.columns)
+    again = marked.where("kept").select("__key")
+    if again.limit(1).count():  # rows that repeat
+        out = out.unionByName(keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns))
+    return out
