@@ -71,6 +71,17 @@ def test_repetition(docs, empty):
     assert not rows(repetition_rules(empty))
 
 
+def test_repetition_verdict(spark):
+    """Long repeats are rejected where they cover less than the base rule bears, and where they are few but long."""
+    word = iter(f"w{i}" for i in range(10**6))
+    own = lambda n: " ".join(next(word) for _ in range(n))
+    passage, long = own(25), own(60)
+    texts = [own(300), f"{passage} {own(250)} {passage}", f"{long} {own(2500)} {long}", f"{own(6)} {own(300)}", " ".join([own(150), passage[:60], own(100), passage[:60]])]
+    out = {r.doc_id: r for r in rows(repetition_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [(out[i].base_failed, out[i].kept) for i in range(5)] == [(False, True), (False, False), (False, False), (False, True), (False, True)]
+    assert [(out[i].longest_repeat, out[i].n_maximal_repeats) for i in range(3)] == [(0, 0), (25, 1), (60, 1)]
+
+
 def test_token_counts(docs, empty):
     import sentencepiece
 
@@ -300,6 +311,16 @@ def test_toxicity(spark, docs, empty):
     assert drop_toxic(docs, labels).columns == docs.columns
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """Rank of held-out toxic rows over the others, of the driver's labels."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    out = score_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").collect()
+    bad, good = [r.score for r in out if r.toxic], [r.score for r in out if not r.toxic]
+    higher = sum((b > g) + (b == g) / 2 for b in bad for g in good)
+    assert len(bad) > 50 and higher / (len(bad) * len(good)) > 0.95
+
+
 def test_line_spread(spark, docs, empty):
     line = "this line stands on every single site"
     rows_in = [(i, f"own text of {i}\n{line}\nend {i}", f"site{i % 6}") for i in range(30)] + [(30, None, "a"), (31, "", None), (32, line, None), (32, line, None)]

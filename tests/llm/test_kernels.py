@@ -10,7 +10,7 @@ from voxelspark.llm.common import SpanHash
 from voxelspark.llm.decontaminate import align, contaminated, may_reach
 from voxelspark.llm.ngram_join import ENTRY, PrefixTree, joined, may_meet, meeting_pairs
 from voxelspark.llm.packing import cuts
-from voxelspark.llm.repetition import suffix_array
+from voxelspark.llm.repetition import maximal_repeats, suffix_array
 from voxelspark.llm.suffix_dedup import FINE, LADDER, common_prefixes, repeated_windows, two_stage_suffix_array
 from voxelspark.llm.toxicity import label_model
 
@@ -26,6 +26,23 @@ def test_suffix_array_of_words():
         assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+def test_maximal_repeats():
+    """Substrings that occur twice and can't be made longer on either side."""
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        words = rng.integers(0, 3, rng.integers(2, 40)).tolist()
+        ids = np.array([*words, 99])
+        place, length = maximal_repeats(ids, *suffix_array(ids), 2)
+        want = set()
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                at = [k for k in range(len(words)) if words[k : k + j - i] == words[i:j]]
+                around = [{words[k - 1] if k else -1 for k in at}, {[*words, 99][k + j - i] for k in at}]
+                if len(at) > 1 and all(len(x) > 1 for x in around):
+                    want.add(tuple(words[i:j]))
+        assert sorted(tuple(ids[p : p + n].tolist()) for p, n in zip(place, length, strict=True)) == sorted(want)
+
+
 @pytest.mark.parametrize("letters", [b"ab", b"a", b"abcdefgh"])
 def test_two_stage_suffix_array(letters):
     rng = random.Random(1)

@@ -18,6 +18,7 @@ MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 S33 = np.uint64(33)
 #: Bytes of text that one vectorised step takes at most, unless a single text is longer.
 CHUNK_BYTES = 1 << 20
+BATCHED = 1000
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 SPACE = np.zeros(256, bool)
@@ -193,6 +194,14 @@ def drop_stash(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """At most BATCHED rows in a batch that goes to Python, from now on. Spark bounds batches by rows alone, so rows
+    with long texts would fill the memory of both sides; the queries and the pipeline call this."""
+    now = int(spark.conf.get(BATCH_ROWS))
+    if now <= 0 or now > BATCHED:
+        spark.conf.set(BATCH_ROWS, BATCHED)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

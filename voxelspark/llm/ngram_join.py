@@ -32,9 +32,9 @@ from .common import SpanHash, chunks, drop_stash, lower_ascii, mix, partitions_o
 #: Frequent n-grams that the order knows; a matter of speed, never of results. They go to every task (16 bytes each).
 MAX_FREQUENT = 1 << 20
 #: n-grams that a task holds to count them.
-COUNT_GRAMS = 1 << 22
+COUNT_GRAMS = 1 << 21
 #: Entries of prefixes that a task holds to send them by buckets.
-SEND_ENTRIES = 1 << 20
+SEND_ENTRIES = 1 << 18
 #: Sets that a task remembers so as not to send copies again.
 SEEN_SETS = 200_000
 #: Buckets of meetings for each partition; a task holds one at a time.
@@ -610,6 +610,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         drop_stash(more)
         roots = roots.unionByName(cut)
     drop_stash(met, near, texts)
+    order.destroy()  # every table that needs it is written
 
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("low")).where("set_id <> 0")
     sets = sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "low", F.coalesce("root", "set_id").alias("root"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_count import token_counts
-from .common import read_table
+from .common import bound_batches, read_table
 from .decontaminate import contaminated
 from .line_spread import dedup_lines
 from .ngram_join import jaccard_components
@@ -71,8 +71,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    every = {
         "op1_repetition": op1_repetition,
         "op2_token_counts": op2_token_counts,
         "op3_sharding": op3_sharding,
@@ -84,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_spread": op9_line_spread,
         "op10_pii": op10_pii,
     }
+    return {name: _bounded(query) for name, query in every.items()}
 
 
 def _op3_sql() -> str:

@@ -1,9 +1,10 @@
 """Quality rules by suffix-array repetition.
 
 A suffix array over the words of each text, with the common prefixes of neighbours, gives the intervals of suffixes
-that start alike. A maximal repeated substring is such an interval; the deepest interval of a suffix reaches as far as
-the larger of its two common prefixes, so the union of those spans is the union of all repeats. The rule limits the
-share of the text that repeats cover and the longest repeat.
+that start alike. An interval whose suffixes don't all follow the same word is a maximal repeated substring: it can't
+be made longer on either side. The deepest interval of a suffix reaches as far as the larger of its two common
+prefixes, so the union of those spans is the union of all repeats. The rules limit the share of the text that repeats
+of some length or more cover, and the longest repeat.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from .common import Chunk, SpanHash, chunks, mix
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
+#: Share of the characters in words that repeats of so many words or more may cover: the longer, the less.
+SHARES = {5: 0.20, 10: 0.15, 20: 0.10, 40: 0.05}
+
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, covered_share double, longest_repeat long, n_maximal_repeats long"
@@ -68,8 +72,46 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sa, lcp
 
 
-def chunk_rules(chunk: Chunk, min_repeat: int, max_share: float, max_longest: int) -> dict[str, np.ndarray]:
+def maximal_repeats(ids: np.ndarray, sa: np.ndarray, lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal repeated substrings of ``least`` ids or more: one place of each, and its length.
+
+    Each is an interval of the suffix array whose common prefix is longer than on either side, and whose suffixes don't
+    all follow the same id. The stack holds the open intervals.
+    """
+    before = np.where(sa > 0, ids[sa - 1], -1)
+    changes = np.zeros(len(sa), np.int64)
+    np.cumsum(before[1:] != before[:-1], out=changes[1:])
+    changes = changes.tolist()
+    where, length = [], []
+    deep = np.flatnonzero(lcp >= least)
+    stack: list[tuple[int, int]] = []  # (common prefix, first suffix) of open intervals
+    last = -2
+
+    def close(until: int, end: int) -> int:
+        first = end
+        while stack and stack[-1][0] > until:
+            depth, first = stack.pop()
+            if changes[end] > changes[first]:
+                where.append(first)
+                length.append(depth)
+        return first
+
+    for k, depth in zip(deep.tolist(), lcp[deep].tolist(), strict=True):
+        if k != last + 1:
+            close(0, last)
+            first = k - 1
+        else:
+            first = close(depth, last) if stack and stack[-1][0] > depth else last
+        if not stack or stack[-1][0] < depth:
+            stack.append((depth, first))
+        last = k
+    close(0, last)
+    return sa[np.array(where, np.int64)], np.array(length, np.int64)
+
+
+def chunk_rules(chunk: Chunk, shares: dict[int, float], max_longest: int) -> dict[str, np.ndarray]:
     """All columns but the id for the texts of a chunk."""
+    min_repeat = min(shares)
     n = len(chunk.begin)
     buf = chunk.buf
     starts, ends, first = chunk.words()
@@ -103,22 +145,28 @@ def chunk_rules(chunk: Chunk, min_repeat: int, max_share: float, max_longest: in
     reach = np.zeros(len(ids), np.int64)
     reach[sa] = np.maximum(lcp, np.append(lcp[1:], 0))
     reach = reach[word_slot]
-    long_enough = np.flatnonzero(reach >= min_repeat)
-    diff = np.zeros(len(starts) + 1, np.int64)
-    diff[long_enough] += 1
-    np.subtract.at(diff, long_enough + reach[long_enough], 1)
-    covered = np.cumsum(diff)[:-1] > 0
     lead_sum = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(lead, out=lead_sum[1:])
     chars = lead_sum[ends] - lead_sum[starts]
-    n_repeat = np.bincount(text_of[covered], minlength=n)
-    covered_chars = np.bincount(text_of[covered], weights=chars[covered], minlength=n)
+
+    def covered_by(least: int) -> np.ndarray:
+        at = np.flatnonzero(reach >= least)
+        diff = np.zeros(len(starts) + 1, np.int64)
+        diff[at] += 1
+        np.subtract.at(diff, at + reach[at], 1)
+        return np.cumsum(diff)[:-1] > 0
+
+    n_repeat = np.bincount(text_of[covered_by(5)], minlength=n)
+    share = {}
+    for least in shares:
+        covered = covered_by(least)
+        share[least] = np.bincount(text_of[covered], weights=chars[covered], minlength=n) / np.maximum(word_chars, 1)
+    place, length = maximal_repeats(ids, sa, lcp, min_repeat)
+    owner = np.searchsorted(first[1:] + np.arange(n), place)
     longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, text_of[long_enough], reach[long_enough])
-    # A repeat that starts here is not the tail of a longer one that starts one word earlier.
-    fresh = long_enough[(long_enough == first[text_of[long_enough]]) | (reach[long_enough - 1] != reach[long_enough] + 1)]
-    share = covered_chars / np.maximum(word_chars, 1)
+    np.maximum.at(longest, owner, length)
     base_failed = (n_words < 10) | (100 * n_repeat > 20 * n_words)
+    within = np.all([share[least] <= limit for least, limit in shares.items()], axis=0)
     return {
         "n_words": n_words,
         "word_chars": word_chars,
@@ -126,16 +174,16 @@ def chunk_rules(chunk: Chunk, min_repeat: int, max_share: float, max_longest: in
         "n_dup_lines": n_dup_lines,
         "n_repeat_words": n_repeat,
         "base_failed": base_failed,
-        "kept": ~base_failed & (share <= max_share) & (longest <= max_longest),
-        "covered_share": share,
+        "kept": ~base_failed & within & (longest <= max_longest),
+        "covered_share": share[min_repeat],
         "longest_repeat": longest,
-        "n_maximal_repeats": np.bincount(text_of[fresh], minlength=n),
+        "n_maximal_repeats": np.bincount(owner, minlength=n),
     }
 
 
-def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_repeat: int = 5, max_share: float = 0.25, max_longest: int = 100) -> DataFrame:
-    """Repetition rule for each row: repeats of ``min_repeat`` words or more may cover ``max_share`` of the characters
-    in words, and none may be longer than ``max_longest`` words.
+def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shares: dict[int, float] = SHARES, max_longest: int = 50) -> DataFrame:
+    """Repetition rules for each row: repeats of so many words or more may cover at most such a share of the characters
+    in words (``shares``), and none may be longer than ``max_longest`` words. covered_share is the share of the shortest.
 
     Null or empty text: no words, failed. Repeated rows and ties: each row is judged alone, so equal rows get equal
     results. Null ids are carried. Extra columns are ignored. An empty table gives an empty result. A text of any
@@ -145,7 +193,7 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
-                out = chunk_rules(chunk, min_repeat, max_share, max_longest)
+                out = chunk_rules(chunk, shares, max_longest)
                 ids = batch.column(0).slice(chunk.first, len(chunk.begin))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in out.values())], names=["doc_id", *out])
 

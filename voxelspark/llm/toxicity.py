@@ -150,9 +150,9 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, penalty: float = 2
     weight = np.where(y > 0.5, min(10.0, max(1.0, (n - pos) / pos)) ** 0.5, 1.0)
     w, b, vw, vb = start.copy(), 0.0, np.zeros(x.shape[1]), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -30, 30)))
         g = weight * (p - y) / n
-        gw, gb = x.T @ g + penalty * (w - start), g.sum()
+        gw, gb = g.astype(x.dtype) @ x + penalty * (w - start), g.sum()
         vw, vb = 0.95 * vw - rate * gw, 0.95 * vb - rate * gb
         w, b = w + vw, b + vb
     return w, b
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     posterior, table, corr, _ = label_model(votes.astype(np.float64), base)
     start = np.zeros(x.shape[1])
     start[np.searchsorted(vocabulary, fixed)] = LEXICON_WEIGHT
-    weights, bias = logistic(x.astype(np.float64), posterior, start)
+    weights, bias = logistic(x, posterior, start)
     names = [*[LEXICON[i] if i < len(LEXICON) else f"word-{i}" for i in np.flatnonzero(used)], "shouting", "capitals", "repeated marks", "no lexicon word", "annotator"]
     linked = [(int(i), int(j), float(corr[i, j])) for i, j in zip(*np.nonzero(np.triu(np.abs(corr) > 0.3, 1)), strict=True)]
     return Model(vocabulary, weights[: len(vocabulary)], weights[len(vocabulary) :], bias, {n: float(t[1, 2] + t[0, 0]) / 2 for n, t in zip(names, table, strict=True)}, linked)
