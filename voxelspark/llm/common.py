@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -102,10 +103,37 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+class _Freed:
+    """Gives freed memory back to the system now and then: idle workers stay, and keep what they have."""
+
+    def __init__(self, every: int = 16 << 20) -> None:
+        self.every, self.done = every, 0
+        try:
+            self.trim = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # another C library
+            self.trim = None
+
+    def add(self, n_bytes: int) -> None:
+        self.done += n_bytes
+        if self.done >= self.every:
+            self.done = 0
+            pa.default_memory_pool().release_unused()
+            if self.trim:
+                self.trim(0)
+
+
+FREED = _Freed()
+
+
+def give_back() -> None:
+    """Frees what a task held, at its end."""
+    FREED.add(FREED.every)
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Splits a text column into chunks of about ``limit`` bytes; a longer text is a chunk of its own."""
     texts = text_bytes(column)
-    at = 0
+    at, total = 0, 0
     while at < len(texts):
         size, stop = 0, at
         while stop < len(texts) and (stop == at or size + len(texts[stop]) < limit):
@@ -115,7 +143,8 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         lengths = np.fromiter(map(len, part), np.int64, len(part))
         end = np.cumsum(lengths + 1) - 1
         yield Chunk(at, np.frombuffer(b"\n".join(part) + b"\n", np.uint8), end - lengths, end)
-        at = stop
+        at, total = stop, total + size
+    FREED.add(total)
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:

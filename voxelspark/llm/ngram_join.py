@@ -42,7 +42,7 @@ BUCKETS = 4
 #: Rows of texts that go to Python at once.
 TEXT_ROWS = 500
 #: n-grams of an edge that a walk takes between two looks at the bounds, and cells of a walk's table of probes.
-STEP, CELLS = 256, 1 << 25
+STEP, CELLS = 256, 1 << 23
 #: Stands for a null id inside, larger than any.
 NO_ID = (1 << 63) - 1
 RARE = np.uint64(1 << 63)
@@ -58,7 +58,7 @@ class Bounds:
 
     crowd: int = 32
     block: int = 512
-    grams: int = 1 << 21
+    grams: int = 1 << 20
     hot: int = 1 << 16
 
 

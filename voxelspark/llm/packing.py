@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Chunk, SpanHash, chunks
+from .common import Chunk, SpanHash, chunks, give_back
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 #: Words and their ids, and parts of words, that a worker keeps; a full table starts anew. Longer parts aren't kept.
-CACHE_WORDS, CACHE_IDS, CACHE_PARTS, LONG_WORD = 3_000_000, 20_000_000, 700_000, 64
+CACHE_WORDS, CACHE_IDS, CACHE_PARTS, LONG_WORD = 1_000_000, 6_000_000, 300_000, 64
 #: From this class on, a bin of pieces just over the next class's size wastes at most 1 / class of its capacity.
 FINE_CLASS = 64
 
@@ -46,9 +46,10 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        self.parts.clear()
         self.keys, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -107,7 +108,7 @@ class WordIds:
     def __call__(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, one behind the other, and where each text's begin (with a last entry)."""
         if len(self.keys) > CACHE_WORDS or self.used > CACHE_IDS:
-            self._forget()
+            self.forget()
         starts, ends, first = chunk.words()
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(first), np.int64)
@@ -234,6 +235,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         yield batch_of()
                         rows.clear()
         rows.extend(packer.finish())
+        encode.forget()  # the worker may go on with other work
+        give_back()
         if rows:
             yield batch_of()
 
