@@ -235,7 +235,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         yield batch_of()
                         rows.clear()
         rows.extend(packer.finish())
-        encode.forget()  # the worker may go on with other work
         give_back()
         if rows:
             yield batch_of()
