@@ -246,3 +246,31 @@ def test_queries_without_sql_use_every_vector(spark, name):
     got = sorted(tuple(r)[:4] for r in out.collect())
     assert got == sorted(tuple(r) for r in V.voxels(spark, sf).select(*place).collect())
     assert len(got) == 64 * V.table(spark, sf, "embeddings").count() and max(z for _, z, _, _ in got) >= V.EDGE
+
+
+def test_surface_areas_of_plain_cells():
+    """One corner, a rectangle between two, a whole side; a code and its complement are alike."""
+    from voxelspark.operators.surface import areas
+
+    one, wide = areas(), areas((2.0, 3.0, 5.0))
+    assert len(one) == 256 and one[0] == one[255] == 0
+    assert abs(one[1] - 3**0.5 / 8) < 1e-12 and abs(one[3] - 0.5**0.5) < 1e-12 and one[15] == 1.0 and wide[15] == 15.0
+    assert all(abs(wide[k] - wide[255 - k]) < 1e-9 for k in range(256) if bin(k).count("1") != 4)
+
+
+def test_evaluator_collects_and_clears(spark):
+    from voxelspark.operators.evaluate import Metric, SegmentationEvaluator, evaluate_segmentation
+
+    rows = [(1, 0, 0, x, x % 2, x % 3) for x in range(6)]
+    df = spark.createDataFrame(rows, "subject int, z int, y int, x int, pred int, ref int")
+    evaluator = SegmentationEvaluator(["DICE", "HDRFDST", Metric("HALF", "tp / 2")])
+    evaluator.add_label(1, "one")
+    evaluator.add_label((1, 2), "any")
+    first = {(r.label, r.metric): r.value for r in evaluator.evaluate(df, spacing=(1.0, 1.0, 2.0)).collect()}
+    assert len(first) == 6 and first["one", "HALF"] == 0.5 and first["any", "HALF"] == 1.0
+    evaluator.evaluate(df)
+    assert evaluator.results.count() == 12
+    evaluator.clear()
+    assert evaluator.results is None
+    with pytest.raises(ValueError, match="unknown"):
+        evaluate_segmentation(df, {"one": 1}, ["NOPE"])

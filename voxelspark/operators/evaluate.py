@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from . import surface as S
 
 Label = int | Sequence[int]
 
@@ -42,9 +44,63 @@ def long_results(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -
     return wide.selectExpr(*keys, f"stack({len(metrics)}, {pairs}) AS (metric, value)")
 
 
-def evaluate_segmentation(df: DataFrame, labels: dict[str, Label], metrics: Sequence[str], keys: Sequence[str] = ("subject",)) -> DataFrame:
-    """Long-form results of label maps: one aggregate over all labels, then expressions."""
-    return long_results(evaluate_counts(label_masks(df, labels, keys), metrics, [*keys, "label"]), [*keys, "label"], metrics)
+@dataclass(frozen=True)
+class Metric:
+    """A metric of one's own: its name and an SQL expression over tp, tn, fp, fn and n."""
+
+    name: str
+    expression: str
+
+
+def _spatial(masks: DataFrame, wanted: set[str], keys: Sequence[str], spacing: Sequence[float]) -> dict[str, DataFrame]:
+    """Tables (keys, metric) of the metrics that need places of voxels; the surface ones share their distances."""
+    out: dict[str, DataFrame] = {}
+    if wanted & {"HDRFDST", "SURFDICE", "SURFOVLP"}:
+        distances = S.surface_distances(masks, spacing, keys)
+        make = {"HDRFDST": S.hausdorff, "SURFDICE": S.surface_dice, "SURFOVLP": S.surface_overlap}
+        out |= {m: f(distances, masks, keys=keys) for m, f in make.items() if m in wanted}
+    if "AVGDIST" in wanted:
+        out["AVGDIST"] = S.average_distance(masks, spacing, keys=keys)
+    if "MAHLNBS" in wanted:
+        out["MAHLNBS"] = mahalanobis(masks, keys)
+    return out
+
+
+def evaluate_segmentation(df: DataFrame, labels: dict[str, Label], metrics: Sequence[str | Metric] = M.SEGMENTATION_METRICS, keys: Sequence[str] = ("subject",), spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Long-form results of label maps: one aggregate over all labels and expressions on it, joined with the tables of
+    metrics that need places (z, y, x) of voxels. Any of ``SEGMENTATION_METRICS``, and metrics of one's own."""
+    own = [*keys, "label"]
+    names = [m.name if isinstance(m, Metric) else m for m in metrics]
+    voxel = float(spacing[0] * spacing[1] * spacing[2])
+    known = M.COUNT_METRICS | {side: M.volume(side, voxel) for side in ("PREDVOL", "REFVOL")} | {m.name: m.expression for m in metrics if isinstance(m, Metric)}
+    masks = label_masks(df, labels, keys)
+    spatial = _spatial(masks, set(names) - known.keys(), own, spacing)
+    if unknown := [m for m in names if m not in known and m not in spatial]:
+        raise ValueError(f"unknown metrics: {', '.join(unknown)}")
+    out = confusion(masks, own).select(*own, *[F.expr(known[m]).cast("double").alias(m) for m in names if m in known])
+    for table in spatial.values():
+        out = out.join(table, own)
+    return long_results(out, own, names)
+
+
+class SegmentationEvaluator:
+    """Labels and metrics of an evaluation, and the results of all calls since the last ``clear``."""
+
+    def __init__(self, metrics: Sequence[str | Metric] = M.SEGMENTATION_METRICS, labels: dict[str, Label] | None = None) -> None:
+        self.metrics, self.labels = list(metrics), dict(labels or {})
+        self.results: DataFrame | None = None
+
+    def add_label(self, label: Label, description: str) -> None:
+        self.labels[description] = label
+
+    def evaluate(self, df: DataFrame, keys: Sequence[str] = ("subject",), spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
+        """Results of these label maps; they are added to ``results``."""
+        out = evaluate_segmentation(df, self.labels, self.metrics, keys, spacing)
+        self.results = out if self.results is None else self.results.unionByName(out)
+        return out
+
+    def clear(self) -> None:
+        self.results = None
 
 
 def with_information(results: DataFrame, column: str, value: str) -> DataFrame:

@@ -12,20 +12,59 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import INF, NEG
 
-# Normals of the surface triangles of each neighbour code, as magnitudes in eighths, one letter a normal.
-# Codes 0 to 127 in order; a code and 255 minus it are alike.
-NORMALS = {"a": (0, 0, 0), "b": (0, 0, 4), "c": (0, 2, 2), "d": (0, 4, 0), "e": (1, 1, 1), "f": (2, 0, 2), "g": (2, 2, 0), "h": (2, 2, 2), "i": (3, 3, 3), "j": (4, 0, 0)}
-CODES = "a,e,e,gg,e,ff,ee,ehj,e,ee,ff,ehj,gg,ehj,ehj,jj,e,cc,ee,deh,ee,beh,eee,eehh,ee,cce,eff,cefi,egg,cegi,eehj,ehj,e,ee,cc,deh,ee,eff,cce,cefi,ee,eee,beh,eehh,egg,eehj,cegi,ehj,gg,deh,deh,dd,egg,efgi,deeh,deh,egg,deeh,efgi,deh,gggg,egg,egg,gg,e,ee,ee,egg,cc,beh,cce,cegi,ee,eee,eff,eehj,deh,eehh,cefi,ehj,ff,beh,eff,efgi,beh,bb,beeh,beh,eff,beeh,ffff,eff,efgi,beh,eff,ff,ee,eee,cce,deeh,cce,beeh,cccc,cce,eee,eeee,beeh,eee,deeh,eee,cce,ee,ehj,eehh,cefi,deh,cegi,beh,cce,cc,eehj,eee,eff,ee,egg,ee,ee,e"
 #: Weight of a voxel in the code of the corner it touches, by offset (z, y, x).
 WEIGHTS = {(0, 0, 0): 128, (0, 0, 1): 64, (0, 1, 0): 32, (0, 1, 1): 16, (1, 0, 0): 8, (1, 0, 1): 4, (1, 1, 0): 2, (1, 1, 1): 1}
 
 
+def _part_triangles(part: list[tuple[int, int, int]]) -> list[tuple[float, float, float]]:
+    """Area vectors (z, y, x magnitudes) of the triangles that cut off one part of a cell's corners, joined by edges.
+
+    Vertices are the middles of the cell's edges, so a single corner is cut off by a triangle of an eighth in each
+    direction, an edge by two triangles that make a rectangle, and so on.
+    """
+    across = lambda axis, on, off: tuple(on if k == axis else off for k in range(3))
+    neighbours = {c: [d for d in part if sum(map(abs, np.subtract(c, d))) == 1] for c in part}
+    axis_of = lambda c, d: int(np.flatnonzero(np.subtract(c, d))[0])
+    flat = [k for k in range(3) if len({c[k] for c in part}) == 1]
+    eighth, quarter = (1 / 8,) * 3, (2 / 8,) * 3
+    most = max(len(x) for x in neighbours.values())
+    if len(part) == 1:
+        return [eighth]
+    if len(part) == 2:
+        return [across(axis_of(*part), 0, 2 / 8)] * 2
+    if len(part) == 3:
+        return [eighth, quarter, across(flat[0], 4 / 8, 0)]
+    if flat:
+        return [across(flat[0], 4 / 8, 0)] * 2
+    if most == 3:
+        return [eighth, eighth, quarter, quarter]
+    ends = [c for c in part if len(neighbours[c]) == 1]
+    return [eighth, (3 / 8,) * 3, *(across(axis_of(c, neighbours[c][0]), 0, 2 / 8) for c in ends)]
+
+
+def _triangles(code: int) -> list[tuple[float, float, float]]:
+    """Triangles of a code: the smaller side of the cell's corners, each part of it by itself."""
+    corners = [c for c, w in WEIGHTS.items() if code & w]
+    if len(corners) > 4:
+        corners = [c for c, w in WEIGHTS.items() if not code & w]
+    out, left = [], set(corners)
+    while left:
+        part, edge = [], [left.pop()]
+        while edge:
+            c = edge.pop()
+            part.append(c)
+            near = [d for d in left if sum(map(abs, np.subtract(c, d))) == 1]
+            left -= set(near)
+            edge += near
+        out += _part_triangles(sorted(part))
+    return out
+
+
 def areas(spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> list[float]:
-    """Surface area of each of the 256 codes."""
+    """Surface area of each of the 256 codes, from the geometry of a cell of 2 x 2 x 2 voxels."""
     s0, s1, s2 = spacing
-    size = {k: sqrt((n0 * s1 * s2) ** 2 + (n1 * s0 * s2) ** 2 + (n2 * s0 * s1) ** 2) / 8 for k, (n0, n1, n2) in NORMALS.items()}
-    half = [sum(size[c] for c in letters) for letters in CODES.split(",")]
-    return half + half[::-1]
+    size = lambda n: sqrt((n[0] * s1 * s2) ** 2 + (n[1] * s0 * s2) ** 2 + (n[2] * s0 * s1) ** 2)
+    return [sum(sorted(map(size, _triangles(code)))) for code in range(256)]
 
 
 def surface_elements(df: DataFrame, side: str, spacing: Sequence[float] = (1.0, 1.0, 1.0), keys: Sequence[str] = ("subject",)) -> DataFrame:

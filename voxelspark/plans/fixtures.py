@@ -28,7 +28,9 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks(spark, sf_dir).where(F.col("z") < EDGE)
+    """All masks as images of eight slices, a million to a label at most; a label's last image may be shorter."""
+    subject, z = F.expr(f"CAST(subject * 1000000 + z DIV {EDGE} AS INT)"), (F.col("z") % EDGE).cast("int")
+    return masks(spark, sf_dir).select(subject.alias("subject"), z.alias("z"), "y", "x", "value", "pred", "ref")
 
 
 def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ SQL = {
         FROM (SELECT label, z, unnest(embedding) v, generate_subscripts(embedding, 1) - 1 p
               FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 z FROM embeddings)))""",
     "masks": """masks AS (SELECT *, CAST(value > 0 AS INTEGER) pred, CAST(lead(value, 1, value) OVER (PARTITION BY subject, y, x ORDER BY z) > 0 AS INTEGER) AS ref FROM voxels)""",
-    "cubes": f"cubes AS (SELECT * FROM masks WHERE z < {EDGE})",
+    "cubes": f"cubes AS (SELECT CAST(subject * 1000000 + z // {EDGE} AS INTEGER) subject, CAST(z % {EDGE} AS INTEGER) z, y, x, value, pred, ref FROM masks)",
     "blobs": """blobs AS (SELECT subject, z, y, x,
             CAST((z-6)*(z-6)+(y-6)*(y-6)+(x-6)*(x-6) <= 6+3*r AS INTEGER) pred,
             CAST((z-6-subject%3)*(z-6-subject%3)+(y-6)*(y-6)+(x-7)*(x-7) <= 9+2*(subject%4) AS INTEGER) AS ref

@@ -58,8 +58,48 @@ COUNTS = """c AS (SELECT subject, CAST(count(*) FILTER (WHERE pred = 1 AND ref =
     CAST(count(*) FILTER (WHERE pred = 1 AND ref = 0) AS DOUBLE) fp, CAST(count(*) FILTER (WHERE pred = 0 AND ref = 1) AS DOUBLE) fn, CAST(count(*) AS DOUBLE) n FROM {} GROUP BY subject)"""
 
 
+def _of_cells(form: str) -> str:
+    """A sum over the four cells of the table: v is a cell's count, p and r are its sums in prediction and reference."""
+    cells = {"tp": ("(tp+fp)", "(tp+fn)"), "tn": ("(tn+fn)", "(tn+fp)"), "fp": ("(tp+fp)", "(tn+fp)"), "fn": ("(tn+fn)", "(tp+fn)")}
+    return "(" + "+".join(f"coalesce({form.format(v=v, p=p, r=r)}, 0)" for v, (p, r) in cells.items()) + ")"
+
+
+_C2 = "(({0})*(({0})-1)/2)"
+_TOGETHER, _IN_P, _IN_R, _ALL = _of_cells(_C2.replace("{0}", "{v}")), f"({_C2.format('tp+fp')}+{_C2.format('tn+fn')})", f"({_C2.format('tp+fn')}+{_C2.format('tn+fp')})", _C2.format("n")
+_MIXED = "(tp+fn > 0 AND tn+fp > 0 AND tp+fp > 0 AND tn+fn > 0)"
+_MEAN = "((2*tp+fp+fn)/(2*n))"
+_BETWEEN = f"(2*(tp*pow(1-{_MEAN}, 2)+tn*pow({_MEAN}, 2)+(fp+fn)*pow(0.5-{_MEAN}, 2))/(n-1))"
+_AGREE = "(((tp+fp)*(tp+fn)+(tn+fn)*(tn+fp))/(n*n))"
+#: The definitions of the metrics, written for the SQL alone: the library's own expressions are held against them.
+COUNT_SQL = {
+    "DICE": "coalesce(2*tp/nullif((tp+fp)+(tp+fn), 0), 1)",
+    "JACRD": "coalesce(tp/nullif(n-tn, 0), 1)",
+    "ADJRIND": f"coalesce(({_TOGETHER}-{_IN_P}*{_IN_R}/nullif({_ALL}, 0))/nullif(({_IN_P}+{_IN_R})/2-{_IN_P}*{_IN_R}/nullif({_ALL}, 0), 0), 0)",
+    "AUC": "CASE WHEN tp+fn = 0 THEN '-inf' WHEN tn+fp = 0 THEN 'nan' ELSE (tp/(tp+fn)+tn/(tn+fp))/2 END",
+    "KAPPA": f"coalesce(((tp+tn)/n-{_AGREE})/nullif(1-{_AGREE}, 0), '-inf')",
+    "RNDIND": f"coalesce(({_ALL}+2*{_TOGETHER}-{_IN_P}-{_IN_R})/nullif({_ALL}, 0), 'nan')",
+    "VOLSMTY": "coalesce(1-abs((tp+fp)-(tp+fn))/nullif((tp+fp)+(tp+fn), 0), '-inf')",
+    "MUTINF": f"CASE WHEN {_MIXED} THEN {_of_cells('{v}/n*log2(nullif({v}*n/({p}*{r}), 0))')} ELSE '-inf' END",
+    "ACURCY": "coalesce(1-(fp+fn)/nullif(n, 0), 0)",
+    "FALLOUT": "coalesce(fp/nullif(fp+tn, 0), 'nan')",
+    "FNR": "coalesce(fn/nullif(fn+tp, 0), 'nan')",
+    "FMEASR": "CASE WHEN tp+fn = 0 THEN 'nan' WHEN tp = 0 THEN 0 ELSE 2/((tp+fp)/tp+(tp+fn)/tp) END",
+    "PRCISON": "coalesce(tp/nullif(tp+fp, 0), 0)",
+    "SNSVTY": "coalesce(1-fn/nullif(tp+fn, 0), '-inf')",
+    "SPCFTY": "coalesce(1-fp/nullif(tn+fp, 0), 'nan')",
+    "TP": "tp",
+    "TN": "tn",
+    "FP": "fp",
+    "FN": "fn",
+    "GCOERR": f"CASE WHEN {_MIXED} THEN (fp+fn+least(tp*fn/(tp+fn)+tn*fp/(tn+fp), tp*fp/(tp+fp)+tn*fn/(tn+fn)))/n ELSE 'inf' END",
+    "VARINFO": f"CASE WHEN {_MIXED} THEN -{_of_cells('{v}/n*log2(nullif({v}*{v}/({p}*{r}), 0))')} ELSE '-inf' END",
+    "ICCORR": f"CASE WHEN n < 2 THEN 'nan' ELSE coalesce(({_BETWEEN}-(fp+fn)/(2*n))/nullif({_BETWEEN}+(fp+fn)/(2*n), 0), '-inf') END",
+    "PROBDST": "coalesce((fp+fn)/nullif(2*tp, 0), -1)",
+}
+
+
 def _count_metric(name: str) -> None:
-    @query(f"metric_{name.lower()}", with_views("masks", f"SELECT subject, round(CAST({M.COUNT_METRICS[name]} AS DOUBLE), 6) + 0.0 AS value FROM c", COUNTS.format("masks")))
+    @query(f"metric_{name.lower()}", with_views("masks", f"SELECT subject, round(CAST({COUNT_SQL[name]} AS DOUBLE), 6) + 0.0 AS value FROM c", COUNTS.format("masks")))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return E.evaluate_counts(V.masks(spark, sf_dir), [name]).select("subject", r6(name).alias("value"))
 
@@ -75,27 +115,27 @@ def confusion_matrix(spark, sf_dir):
     return E.confusion(E.label_masks(V.multilabel(spark, sf_dir), {"one": 1, "two": 2}), ["subject", "label"])
 
 
-_MERGED = """c AS (SELECT subject, label, CAST(count(*) FILTER (WHERE p AND r) AS DOUBLE) tp, CAST(count(*) FILTER (WHERE NOT p AND NOT r) AS DOUBLE) tn, CAST(count(*) FILTER (WHERE p AND NOT r) AS DOUBLE) fp, CAST(count(*) FILTER (WHERE NOT p AND r) AS DOUBLE) fn
+_MERGED = """c AS (SELECT subject, label, CAST(count(*) FILTER (WHERE p AND r) AS DOUBLE) tp, CAST(count(*) FILTER (WHERE NOT p AND NOT r) AS DOUBLE) tn, CAST(count(*) FILTER (WHERE p AND NOT r) AS DOUBLE) fp, CAST(count(*) FILTER (WHERE NOT p AND r) AS DOUBLE) fn, CAST(count(*) AS DOUBLE) n
     FROM (SELECT subject, 'two' label, pred = 2 p, ref = 2 r FROM multilabel UNION ALL SELECT subject, 'any', pred IN (1, 2), ref IN (1, 2) FROM multilabel) GROUP BY subject, label)"""
 
 
-@query("eval_segmentation", with_views("masks", f"""SELECT subject, 'fg' label, 'DICE' metric, round(CAST({M.COUNT_METRICS['DICE']} AS DOUBLE), 6) AS value FROM c UNION ALL
-    SELECT subject, 'fg', 'SNSVTY', round(CAST({M.COUNT_METRICS['SNSVTY']} AS DOUBLE), 6) FROM c""", COUNTS.format("masks")))
+@query("eval_segmentation", with_views("masks", f"""SELECT subject, 'fg' label, 'DICE' metric, round(CAST({COUNT_SQL['DICE']} AS DOUBLE), 6) AS value FROM c UNION ALL
+    SELECT subject, 'fg', 'SNSVTY', round(CAST({COUNT_SQL['SNSVTY']} AS DOUBLE), 6) FROM c""", COUNTS.format("masks")))
 def eval_segmentation(spark, sf_dir):
     return rounded(E.evaluate_segmentation(V.masks(spark, sf_dir), {"fg": 1}, ["DICE", "SNSVTY"]), "value")
 
 
-@query("eval_merged_labels", with_views("multilabel", f"SELECT subject, label, 'DICE' metric, round(CAST({M.COUNT_METRICS['DICE']} AS DOUBLE), 6) AS value FROM c", _MERGED))
+@query("eval_merged_labels", with_views("multilabel", f"SELECT subject, label, 'DICE' metric, round(CAST({COUNT_SQL['DICE']} AS DOUBLE), 6) AS value FROM c", _MERGED))
 def eval_merged_labels(spark, sf_dir):
     return rounded(E.evaluate_segmentation(V.multilabel(spark, sf_dir), {"two": 2, "any": (1, 2)}, ["DICE"]), "value")
 
 
-@query("eval_all_segmentation", with_views("binary", "SELECT subject, " + ", ".join(f'round(CAST({e} AS DOUBLE), 6) + 0.0 "{m}"' for m, e in M.COUNT_METRICS.items()) + " FROM c", COUNTS.format("binaries")))
+@query("eval_all_segmentation", with_views("binary", "SELECT subject, " + ", ".join(f'round(CAST({e} AS DOUBLE), 6) + 0.0 "{m}"' for m, e in COUNT_SQL.items()) + " FROM c", COUNTS.format("binaries")))
 def eval_all_segmentation(spark, sf_dir):
     return rounded(E.evaluate_counts(V.binary(spark, sf_dir)), *M.COUNT_METRICS)
 
 
-@query("metric_information", with_views("masks", f"SELECT subject, round(CAST({M.COUNT_METRICS['DICE']} AS DOUBLE), 6) AS value, 'run-1' run FROM c", COUNTS.format("masks")))
+@query("metric_information", with_views("masks", f"SELECT subject, round(CAST({COUNT_SQL['DICE']} AS DOUBLE), 6) AS value, 'run-1' run FROM c", COUNTS.format("masks")))
 def metric_information(spark, sf_dir):
     dice = E.evaluate_counts(V.masks(spark, sf_dir), ["DICE"]).select("subject", r6("DICE").alias("value"))
     return E.with_information(dice, "run", "run-1")
@@ -130,11 +170,18 @@ def metric_mahlnbs(spark, sf_dir):
 
 # Continuous metrics.
 
-_SUMS = "s AS (SELECT subject, CAST(count(*) AS DOUBLE) n, sum(abs(ref-pred)) s_abs, sum((ref-pred)*(ref-pred)) s_sq, max(ref) hi, min(ref) lo, var_samp(ref) var FROM regression GROUP BY subject)"
+CONTINUOUS_SQL = {
+    "MAE": "avg(abs(pred-ref))",
+    "MSE": "avg(pow(pred-ref, 2))",
+    "RMSE": "sqrt(avg(pow(pred-ref, 2)))",
+    "NRMSE": "coalesce(sqrt(avg(pow(pred-ref, 2)))/nullif(max(ref)-min(ref), 0), 'nan')",
+    "R2": "coalesce(1-avg(pow(pred-ref, 2))/nullif(var_pop(ref), 0), 'nan')",
+    "PSNR": "CASE WHEN max(abs(pred-ref)) = 0 THEN 'inf' WHEN max(ref) = 0 THEN '-inf' ELSE 20*log10(abs(max(ref)))-10*log10(avg(pow(pred-ref, 2))) END",
+}
 
 
 def _continuous(name: str) -> None:
-    @query(f"metric_{name.lower()}", with_views("regression", f"SELECT subject, round({M.CONTINUOUS[name]}, 6) AS value FROM s", _SUMS))
+    @query(f"metric_{name.lower()}", with_views("regression", f"SELECT subject, round(CAST({CONTINUOUS_SQL[name]} AS DOUBLE), 6) AS value FROM regression GROUP BY subject"))
     def run(spark, sf_dir):
         return E.evaluate_continuous(V.regression(spark, sf_dir), [name]).select("subject", r6(name).alias("value"))
 
@@ -164,7 +211,7 @@ _AREAS = "[" + ",".join(repr(a) for a in S.areas()) + "]"
 def _surface_sql(body: str) -> str:
     offsets = ", ".join(f"({1 - a}, {1 - b}, {1 - c}, {w})" for (a, b, c), w in S.WEIGHTS.items())
     corners = " UNION ALL ".join(f"SELECT subject, '{s}' side, z+dz z, y+dy y, x+dx x, sum(w) code FROM blobs, (VALUES {offsets}) o(dz, dy, dx, w) WHERE {s} = 1 GROUP BY 1, 2, 3, 4, 5" for s in ("pred", "ref"))
-    surfels = f"surfels AS (SELECT subject, side, z, y, x, CAST(code AS INTEGER) code, {_AREAS}[CAST(code AS INTEGER) + 1] area FROM ({corners}) WHERE code <> 255)"
+    surfels = f"surfels AS (SELECT subject, side, z, y, x, CAST(code AS INTEGER) code, CAST({_AREAS}[CAST(code AS INTEGER) + 1] AS DOUBLE) area FROM ({corners}) WHERE code <> 255)"
     near = "d AS (SELECT a.subject, a.side, a.z, a.y, a.x, a.area, sqrt(min((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x))) d FROM surfels a JOIN surfels b ON a.subject = b.subject AND a.side <> b.side GROUP BY ALL)"
     return with_views("blobs", body, surfels, near)
 
@@ -206,6 +253,29 @@ def metric_avgdist(spark, sf_dir):
     return S.average_distance(V.blobs(spark, sf_dir)).select("subject", r6("AVGDIST").alias("value"))
 
 
+def _every_sql() -> str:
+    """The 30 metrics of the evaluator on blobs: counts, and the tables that the single queries have in their SQL."""
+    wide = {m: COUNT_SQL[m] for m in M.SEGMENTATION_METRICS if m in COUNT_SQL} | {"PREDVOL": "tp+fp", "REFVOL": "tp+fn"}
+    tables = {"HDRFDST": "metric_hdrfdst_100", "SURFDICE": "metric_surfdice", "SURFOVLP": "metric_surfovlp", "AVGDIST": "metric_avgdist", "MAHLNBS": "metric_mahlnbs"}
+    parts = [f"(SELECT subject, '{m}' metric, round(CAST({e} AS DOUBLE), 6) + 0.0 AS value FROM c)" for m, e in wide.items()]
+    for m, name in tables.items():
+        body = SQL["metric_hdrfdst"].replace("share >= 0.95", "share >= 1") if m == "HDRFDST" else SQL[name]
+        parts.append(f"(SELECT subject, '{m}' metric, value + 0.0 AS value FROM ({body}))")
+    return with_views("blobs", "SELECT subject, 'fg' AS label, metric, value FROM (" + " UNION ALL ".join(parts) + ")", COUNTS.format("blobs"))
+
+
+@query("eval_every_metric", _every_sql())
+def eval_every_metric(spark, sf_dir):
+    evaluator = E.SegmentationEvaluator(M.SEGMENTATION_METRICS)
+    evaluator.add_label(1, "fg")
+    return rounded(evaluator.evaluate(V.blobs(spark, sf_dir)), "value")
+
+
+@query("eval_user_metric", with_views("masks", "SELECT subject, 'fg' AS label, 'MISSED' metric, round(CAST((fp+fn)/n AS DOUBLE), 6) AS value FROM c", COUNTS.format("masks")))
+def eval_user_metric(spark, sf_dir):
+    return rounded(E.evaluate_segmentation(V.masks(spark, sf_dir), {"fg": 1}, [E.Metric("MISSED", "(fp + fn) / n")]), "value")
+
+
 # Indexing, datasource, extraction, selection.
 
 _SHAPE = "shape AS (SELECT subject, CAST(max(z)+1 AS INTEGER) nz, CAST(max(y)+1 AS INTEGER) ny, CAST(max(x)+1 AS INTEGER) nx FROM voxels GROUP BY subject)"
@@ -280,7 +350,7 @@ def ext_data_full(spark, sf_dir):
 
 
 @query("ext_pad_zero", with_views("cubes", """SELECT g.subject, CAST(pz AS INTEGER) pz, CAST(py AS INTEGER) py, CAST(px AS INTEGER) px, CAST(z AS INTEGER) z, CAST(y AS INTEGER) y, CAST(x AS INTEGER) x, coalesce(value, 0.0) AS value
-    FROM (SELECT subject, a.range pz, b.range py, c.range px, d.range z, e.range y, f.range x FROM (SELECT DISTINCT subject FROM cubes), range(2) a, range(2) b, range(2) c, range(6) d, range(6) e, range(6) f) g
+    FROM (SELECT subject, a.range pz, b.range py, c.range px, d.range z, e.range y, f.range x FROM (SELECT subject, max(z) + 1 nz FROM cubes GROUP BY subject) JOIN range(2) a ON a.range < nz // 4, range(2) b, range(2) c, range(6) d, range(6) e, range(6) f) g
     LEFT JOIN (SELECT subject s, z vz, y vy, x vx, value FROM cubes) ON s = subject AND vz = pz*4+z-1 AND vy = py*4+y-1 AND vx = px*4+x-1"""))
 def ext_pad_zero(spark, sf_dir):
     return X.padded_items(V.cubes(spark, sf_dir), (4, 4, 4), (1, 1, 1))
@@ -353,11 +423,11 @@ def _select(name: str, selection: X.Selection, having: str) -> None:
 
 
 _select("sel_non_constant", X.NonConstant("ref"), "min(ref) <> max(ref)")
-_select("sel_non_black", X.NonBlack(2.5), "max(value) > 2.5")
+_select("sel_non_black", X.NonBlack(0.3), "max(value) > 0.3")
 _select("sel_with_foreground", X.WithForeground("ref"), "max(ref) <> 0")
 _select("sel_subject", X.OfSubjects([1, 3]), "min(subject) IN (1, 3)")
-_select("sel_compose", X.Compose([X.NonBlack(2.0), X.OfSubjects([1, 3, 5])]), "max(value) > 2.0 AND min(subject) IN (1, 3, 5)")
-_select("sel_percentile", X.Percentile(0.0), "min(value) >= quantile_cont(value, 0.0)")
+_select("sel_compose", X.Compose([X.NonBlack(0.3), X.OfSubjects([1, 3, 5])]), "max(value) > 0.3 AND min(subject) IN (1, 3, 5)")
+_select("sel_percentile", X.Percentile(45.0, "ref"), "min(ref) >= quantile_cont(ref, 0.45)")
 
 
 @query("sel_non_constant_axis", with_views("masks", "SELECT DISTINCT subject, z FROM (SELECT subject, z, y FROM masks GROUP BY subject, z, y HAVING min(ref) <> max(ref))"))
@@ -365,9 +435,9 @@ def sel_non_constant_axis(spark, sf_dir):
     return X.NonConstantAlong(1, "ref").select(V.masks(spark, sf_dir), ["subject", "z"])
 
 
-@query("select_indices", vox("SELECT sample_index FROM s WHERE hi > 2.5", "s AS (SELECT CAST(row_number() OVER (ORDER BY subject, z) - 1 AS BIGINT) sample_index, hi FROM (SELECT subject, z, max(value) hi FROM voxels GROUP BY subject, z))"))
+@query("select_indices", vox("SELECT sample_index FROM s WHERE hi > 0.3", "s AS (SELECT CAST(row_number() OVER (ORDER BY subject, z) - 1 AS BIGINT) sample_index, hi FROM (SELECT subject, z, max(value) hi FROM voxels GROUP BY subject, z))"))
 def select_indices(spark, sf_dir):
-    return X.select_indices(_source(spark, sf_dir, X.SliceIndexing((0,))), X.NonBlack(2.5))
+    return X.select_indices(_source(spark, sf_dir, X.SliceIndexing((0,))), X.NonBlack(0.3))
 
 
 @query("backend_generator", SQL["datasource_items"])
@@ -497,7 +567,7 @@ def asm_subject_2d(spark, sf_dir):
 
 # Reports.
 
-_RESULTS = f"""res AS (SELECT 's' || subject id, 'fg' AS label, 'DICE' metric, round(CAST({M.COUNT_METRICS['DICE']} AS DOUBLE), 6) AS value FROM c UNION ALL SELECT 's' || subject, 'fg', 'JACRD', round(CAST({M.COUNT_METRICS['JACRD']} AS DOUBLE), 6) FROM c WHERE subject <> 3)"""
+_RESULTS = f"""res AS (SELECT 's' || subject id, 'fg' AS label, 'DICE' metric, round(CAST({COUNT_SQL['DICE']} AS DOUBLE), 6) AS value FROM c UNION ALL SELECT 's' || subject, 'fg', 'JACRD', round(CAST({COUNT_SQL['JACRD']} AS DOUBLE), 6) FROM c WHERE subject <> 3)"""
 
 
 def _results(spark, sf_dir) -> DataFrame:
@@ -760,7 +830,7 @@ def sink_overwrite(spark, sf_dir):
     return spark.read.parquet(path).select("subject", "z", "y", "x", "value")
 
 
-@query("udtf_patches", with_views("cubes", "SELECT s.subject, CAST(a.range*4 AS INTEGER) z0, CAST(b.range*4 AS INTEGER) y0, CAST(c.range*4 AS INTEGER) x0 FROM (SELECT DISTINCT subject FROM cubes) s, range(2) a, range(2) b, range(2) c"))
+@query("udtf_patches", with_views("cubes", "SELECT s.subject, CAST(a.range*4 AS INTEGER) z0, CAST(b.range*4 AS INTEGER) y0, CAST(c.range*4 AS INTEGER) x0 FROM (SELECT subject, max(z) + 1 nz FROM cubes GROUP BY subject) s JOIN range(2) a ON a.range < nz // 4, range(2) b, range(2) c"))
 def udtf_patches(spark, sf_dir):
     U.register(spark)
     X.shapes(V.cubes(spark, sf_dir)).createOrReplaceTempView("voxelspark_shapes")
