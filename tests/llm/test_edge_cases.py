@@ -376,3 +376,30 @@ def test_pii(spark, docs, empty):
             assert "national_id:4:15" in r.spans and "local_phone:22:34" in r.spans
     assert len(rows(pii_digest(find_pii(docs)))) == len(TEXTS)
     assert not rows(pii_digest(find_pii(empty)))
+
+
+def test_pipeline_stages_on_edge_cases(spark, docs, empty):
+    """Nulls in every column, empty and long texts, repeated rows, extra and clashing columns, and no rows, as a chain."""
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.001"
+    odd = [(None, None, None, None, None), (50, "", None, None, 0), (51, "some words", "en", None, None), (51, "some words", "en", None, None)]
+    extra = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), "k_id", "n_lines", "h", F.lit(1).alias("__key"))
+    odd = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    table = extra.unionByName(odd, allowMissingColumns=True)
+    counts = [table.count()]
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, table, sf)
+        assert out.columns == C.COLUMNS, name
+        table = spark.createDataFrame(out.collect(), out.schema)
+        counts.append(table.count())
+    left = [(r.doc_id, r.text) for r in table.collect()]
+    # The copies of one text and the repeated row go, texts without words stay.
+    assert left.count((51, "some words")) == 1 and left.count((5, COPY)) == 1 and (50, "") in left
+    assert {1, 2, 3, 4} <= {i for i, _ in left} and not {6, 7} & {i for i, _ in left} and (None, None) in left
+    assert counts[0] == counts[2] > counts[3] >= counts[4]
+    pieces = rows(C.STAGES[-1][1](spark, table, sf))
+    assert {p.doc_id for p in pieces} == {i for i, _ in left}
+    none = empty.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"), "h")
+    for name, stage in C.STAGES:
+        assert not rows(stage(spark, none, sf)), name
