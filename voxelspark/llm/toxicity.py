@@ -158,8 +158,8 @@ def logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, penalty: float = 2
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", *, max_rows: int = MAX_FIT_ROWS) -> Model:
-    """Fits on at most ``max_rows`` labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", *, max_rows: int = MAX_FIT_ROWS, annotator: bool = True) -> Model:
+    """Fits on at most ``max_rows`` labelled rows outside the held-out fold. annotator: labels vote beside the others."""
     fixed = lexicon_hashes(LEXICON)
     key = F.col(label_id_col).cast("long").alias("l_id")
     chosen = labels.where((fold(F.col(label_id_col)) != 0) & F.col(label_id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = x[:, own] > 0
     used = seen.any(axis=0)
     pattern_votes = np.stack([x[:, len(vocabulary)] > 0.5, x[:, len(vocabulary) + 1] > 0.6, x[:, len(vocabulary) + 2] > 0.3], axis=1)
-    votes = np.concatenate([seen[:, used].astype(int), pattern_votes.astype(int), -(~seen.any(axis=1)[:, None]).astype(int), np.where(label > 0, 1, -1)[:, None]], axis=1)
+    votes = np.concatenate([seen[:, used].astype(int), pattern_votes.astype(int), -(~seen.any(axis=1)[:, None]).astype(int), np.where(label > 0, 1, -1)[:, None] * annotator], axis=1)
     posterior, table, corr, _ = label_model(votes.astype(np.float64), base)
     start = np.zeros(x.shape[1])
     start[np.searchsorted(vocabulary, fixed)] = LEXICON_WEIGHT
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_rows: int = MAX_FIT_ROWS, annotator: bool = True) -> DataFrame:
     """doc_id, held_out, score, predicted for each row.
 
     Null or empty texts are scored as texts without words. Repeated rows: each is scored alone; repeated labels of an
@@ -249,7 +249,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     out. Without labels of both kinds the fixed lexicon alone scores. Extra columns are ignored. An empty table gives
     an empty result. No shuffle of texts.
     """
-    scored = score(docs, fit(docs, labels, id_col, text_col, max_rows=max_rows), id_col, text_col)
+    scored = score(docs, fit(docs, labels, id_col, text_col, max_rows=max_rows, annotator=annotator), id_col, text_col)
     held_out = F.col("doc_id").isNull() | (fold(F.col("doc_id")) == 0)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
