@@ -737,8 +737,13 @@ def create_names(spark, sf_dir):
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new path in the shared folder that the session names. Only a local master gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
