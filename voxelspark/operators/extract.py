@@ -50,31 +50,51 @@ def shapes(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("subject").agg(*[(F.max(a) + 1).cast("int").alias(f"n{a}") for a in AXES])
 
 
-def _numbered(samples: DataFrame, *order: str) -> DataFrame:
-    """sample_index over all samples: samples are counted in each subject first, then subjects' offsets added."""
-    counts = samples.groupBy("subject").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("subject").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = counts.select("subject", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("subject").orderBy(*order)) - 1
-    return samples.withColumn("own", own).join(offset, "subject").withColumn("sample_index", (F.col("own") + F.col("before")).cast("long")).drop("own", "before")
-
-
 def _bounds(**given: Column) -> list[Column]:
     return [given.get(f"{a}{i}", F.lit(0) if i == 0 else F.col(f"n{a}")).cast("int").alias(f"{a}{i}") for a in AXES for i in (0, 1)]
 
 
+def _row_major(at: Sequence[Column], counts: Sequence[Column]) -> Column:
+    out = F.lit(0).cast("long")
+    for k, n in zip(at, counts, strict=True):
+        out = out * n + k
+    return out
+
+
 class Indexing:
-    """Shape of an image to its samples: (subject, ord, z0, z1, y0, y1, x0, x1)."""
+    """Shape of an image to its samples: (subject, own, z0, z1, y0, y1, x0, x1); own is the number in the subject.
+
+    ``count`` and ``covering`` say the same by arithmetic, so neither numbers nor voxels of samples need a sort or a join
+    on ranges. A class that defines only ``__call__`` with rows of own works too, by a join on ranges.
+    """
 
     def __call__(self, shape: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def count(self) -> Column | None:
+        """Samples of a subject, from the columns nz, ny, nx."""
+        return None
+
+    def covering(self) -> Column | None:
+        """An array of the samples (own, z0, y0, x0) that hold a voxel, from its coordinates and nz, ny, nx."""
+        return None
+
+
+def _sample(own: Column, z0: Column, y0: Column, x0: Column) -> Column:
+    return F.struct(own.cast("long").alias("own"), *[c.cast("int").alias(n) for n, c in (("z0", z0), ("y0", y0), ("x0", x0))])
+
 
 class EmptyIndexing(Indexing):
     """The whole image is one sample."""
 
     def __call__(self, shape: DataFrame) -> DataFrame:
-        return shape.select("subject", F.lit(0).alias("axis"), *_bounds())
+        return shape.select("subject", F.lit(0).cast("long").alias("own"), *_bounds())
+
+    def count(self) -> Column:
+        return F.lit(1).cast("long")
+
+    def covering(self) -> Column:
+        return F.array(_sample(*[F.lit(0)] * 4))
 
 
 @dataclass
@@ -83,17 +103,26 @@ class SliceIndexing(Indexing):
 
     axes: Sequence[int] = (0,)
 
+    def _before(self, k: int) -> Column:
+        return sum((F.col(f"n{AXES[a]}") for a in list(self.axes)[:k]), F.lit(0).cast("long"))
+
     def __call__(self, shape: DataFrame) -> DataFrame:
         parts = []
         for k, a in enumerate(self.axes):
             name = AXES[a]
             at = shape.where(F.col(f"n{name}") > 0).select("*", F.explode(F.sequence(F.lit(0), F.col(f"n{name}") - 1)).alias("at"))
-            parts.append(at.select("subject", F.lit(k).alias("axis"), *_bounds(**{f"{name}0": F.col("at"), f"{name}1": F.col("at") + 1})))
+            parts.append(at.select("subject", (self._before(k) + F.col("at")).alias("own"), *_bounds(**{f"{name}0": F.col("at"), f"{name}1": F.col("at") + 1})))
         out = parts[0]
         for more in parts[1:]:
             out = out.unionByName(more)
         return out
 
+    def count(self) -> Column:
+        return self._before(len(self.axes))
+
+    def covering(self) -> Column:
+        return F.array(*[_sample(self._before(k) + F.col(AXES[a]), *[F.col(n) if n == AXES[a] else F.lit(0) for n in AXES]) for k, a in enumerate(self.axes)])
+
 
 class VoxelIndexing(Indexing):
     """A sample for each voxel, in row-major order."""
@@ -101,7 +130,16 @@ class VoxelIndexing(Indexing):
     def __call__(self, shape: DataFrame) -> DataFrame:
         for a in AXES:
             shape = shape.where(F.col(f"n{a}") > 0).select("*", F.explode(F.sequence(F.lit(0), F.col(f"n{a}") - 1)).alias(a))
-        return shape.select("subject", F.lit(0).alias("axis"), *_bounds(**{f"{a}{i}": F.col(a) + i for a in AXES for i in (0, 1)}))
+        return shape.select("subject", self._own().alias("own"), *_bounds(**{f"{a}{i}": F.col(a) + i for a in AXES for i in (0, 1)}))
+
+    def _own(self) -> Column:
+        return _row_major([F.col(a) for a in AXES], [F.col(f"n{a}") for a in AXES])
+
+    def count(self) -> Column:
+        return F.col("nz").cast("long") * F.col("ny") * F.col("nx")
+
+    def covering(self) -> Column:
+        return F.array(_sample(self._own(), *[F.col(a) for a in AXES]))
 
 
 @dataclass
@@ -111,22 +149,46 @@ class PatchIndexing(Indexing):
     patch: Sequence[int]
     ignore_incomplete: bool = True
 
+    def _counts(self) -> list[Column]:
+        whole = F.floor if self.ignore_incomplete else F.ceil
+        return [whole(F.col(f"n{a}") / p).cast("int") for a, p in zip(AXES, self.patch, strict=True)]
+
+    def grid(self, shape: DataFrame) -> DataFrame:
+        """(shape, pz, py, px, own): a row for each patch."""
+        counts = self._counts()
+        for a, n in zip(AXES, counts, strict=True):
+            shape = shape.where(n > 0).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias(f"p{a}"))
+        return shape.withColumn("own", _row_major([F.col(f"p{a}") for a in AXES], counts))
+
     def __call__(self, shape: DataFrame) -> DataFrame:
-        for a, p in zip(AXES, self.patch, strict=True):
-            count = F.floor(F.col(f"n{a}") / p) if self.ignore_incomplete else F.ceil(F.col(f"n{a}") / p)
-            shape = shape.withColumn("k", count.cast("int")).where("k > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias(a)).drop("k")
         size = dict(zip(AXES, self.patch, strict=True))
-        return shape.select("subject", F.lit(0).alias("axis"), *_bounds(**{f"{a}{i}": (F.col(a) + i) * size[a] for a in AXES for i in (0, 1)}))
+        return self.grid(shape).select("subject", "own", *_bounds(**{f"{a}{i}": (F.col(f"p{a}") + i) * size[a] for a in AXES for i in (0, 1)}))
+
+    def count(self) -> Column:
+        n = self._counts()
+        return n[0].cast("long") * n[1] * n[2]
+
+    def covering(self) -> Column:
+        counts = self._counts()
+        at = [F.floor(F.col(a) / p).cast("int") for a, p in zip(AXES, self.patch, strict=True)]
+        inside = (at[0] < counts[0]) & (at[1] < counts[1]) & (at[2] < counts[2])
+        sample = _sample(_row_major(at, counts), *[k * p for k, p in zip(at, self.patch, strict=True)])
+        return F.filter(F.array(F.when(inside, sample)), lambda s: s.isNotNull())
+
+
+#: Takes a datasource and the samples wanted, None for all; gives rows keyed by (sample_index, subject).
+Extractor = Callable[["Datasource", DataFrame | None], DataFrame]
 
 
 @dataclass(frozen=True)
 class Datasource:
-    """Voxels with an indexing, a subset of subjects, and a transform of the samples. Changes make copies."""
+    """Voxels with an indexing, a subset of subjects, an extractor and a transform. Changes make copies."""
 
     voxels: DataFrame
     indexing: Indexing = EmptyIndexing()
     subset: tuple | None = None
     transform: Callable[[DataFrame], DataFrame] | None = None
+    extractor: Extractor | None = None
 
     def with_indexing(self, indexing: Indexing, subset: Sequence | None = None) -> Datasource:
         return replace(self, indexing=indexing, subset=None if subset is None else tuple(subset))
@@ -134,37 +196,136 @@ class Datasource:
     def with_transform(self, transform: Callable[[DataFrame], DataFrame] | None) -> Datasource:
         return replace(self, transform=transform)
 
+    def with_extractor(self, extractor: Extractor | None) -> Datasource:
+        return replace(self, extractor=extractor)
+
     def subjects(self) -> DataFrame:
         return self.voxels.select("subject").distinct()
 
-    def samples(self) -> DataFrame:
-        """All samples with their numbers."""
+    def _shapes(self) -> DataFrame:
+        """Shapes with ``before``, the samples of all earlier subjects: a running sum over one short row an image."""
         shape = shapes(self.voxels)
         if self.subset is not None:
             shape = shape.where(F.col("subject").isin(list(self.subset)))
-        return _numbered(self.indexing(shape), "axis", "z0", "y0", "x0").drop("axis")
+        count = self.indexing.count()
+        if count is None:
+            counts = self.indexing(shape).groupBy("subject").agg(F.count("*").alias("n"))
+            shape, count = shape.join(counts, "subject"), F.col("n")
+        earlier = F.sum(count).over(Window.orderBy("subject").rowsBetween(Window.unboundedPreceding, -1))
+        return shape.select("subject", "nz", "ny", "nx", F.coalesce(earlier, F.lit(0)).cast("long").alias("before"))
+
+    def _joined(self, shape: DataFrame) -> DataFrame:
+        samples = self.indexing(shape.select("subject", "nz", "ny", "nx"))
+        numbered = samples.join(shape.select("subject", "before"), "subject")
+        return numbered.select("subject", *[f"{a}{i}" for a in AXES for i in (0, 1)], (F.col("own") + F.col("before")).alias("sample_index"))
+
+    def samples(self) -> DataFrame:
+        """All samples with their numbers."""
+        return self._joined(self._shapes())
 
     def __len__(self) -> int:
-        return self.samples().count()
+        count = self.indexing.count()
+        if count is None:
+            return self.samples().count()
+        shape = shapes(self.voxels)
+        shape = shape if self.subset is None else shape.where(F.col("subject").isin(list(self.subset)))
+        return shape.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+
+    def data(self, samples: DataFrame | None = None) -> DataFrame:
+        """Voxels of the samples (None: all), coordinates from each sample's corner."""
+        if samples is not None:
+            return self.data().join(samples.select("sample_index"), "sample_index", "left_semi")
+        rest = [F.col(c) for c in self.voxels.columns if c not in ("subject", *AXES)]
+        covering, shape = self.indexing.covering(), self._shapes()
+        if covering is not None:
+            held = self.voxels.join(shape, "subject").select("*", F.explode(covering).alias("at"))
+            return held.select((F.col("at.own") + F.col("before")).alias("sample_index"), "subject", *[(F.col(a) - F.col(f"at.{a}0")).alias(a) for a in AXES], *rest)
+        near = self.voxels.join(self._joined(shape), "subject")
+        for a in AXES:
+            near = near.where((F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1")))
+        return near.select("sample_index", "subject", *[(F.col(a) - F.col(f"{a}0")).alias(a) for a in AXES], *rest)
 
     def items(self) -> DataFrame:
-        """Voxels of all samples, coordinates from each sample's corner."""
-        s, v = self.samples().alias("s"), self.voxels.alias("v")
-        inside = F.col("s.subject") == F.col("v.subject")
-        for a in AXES:
-            inside &= (F.col(f"v.{a}") >= F.col(f"s.{a}0")) & (F.col(f"v.{a}") < F.col(f"s.{a}1"))
-        rest = [c for c in self.voxels.columns if c not in ("subject", *AXES)]
-        out = s.join(v, inside).select("sample_index", "s.subject", *[(F.col(f"v.{a}") - F.col(f"s.{a}0")).alias(a) for a in AXES], *[F.col(f"v.{c}") for c in rest])
+        """What the extractor takes from all samples (without one: their voxels), transformed."""
+        out = self.data() if self.extractor is None else self.extractor(self, None)
         return out if self.transform is None else self.transform(out)
 
     def item(self, sample_index: int) -> DataFrame:
-        return self.items().where(F.col("sample_index") == sample_index)
+        """One sample. Its place is looked up first, so its subject and bounds reach the scan as constants."""
+        place = self.samples().where(F.col("sample_index") == sample_index).first()
+        if place is None:
+            raise IndexError(f"there is no sample {sample_index}")
+        box = self.voxels.where(F.col("subject") == place.subject)
+        for a in AXES:
+            box = box.where((F.col(a) >= place[f"{a}0"]) & (F.col(a) < place[f"{a}1"]))
+        if self.extractor is None:
+            rest = [F.col(c) for c in self.voxels.columns if c not in ("subject", *AXES)]
+            out = box.select(F.lit(sample_index).cast("long").alias("sample_index"), "subject", *[(F.col(a) - place[f"{a}0"]).alias(a) for a in AXES], *rest)
+        else:
+            out = self.extractor(self, self.samples().where(F.col("sample_index") == sample_index))
+        return out if self.transform is None else self.transform(out)
 
     def direct_extract(self, subject, bounds: dict, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         out = extract(self.voxels.where(F.col("subject") == subject), bounds)
         return out if transform is None else transform(out)
 
 
+def extract_data(source: Datasource, samples: DataFrame | None = None) -> DataFrame:
+    return source.data(samples)
+
+
+def extract_indexing(source: Datasource, samples: DataFrame | None = None) -> DataFrame:
+    """Bounds of the samples."""
+    return source.samples() if samples is None else samples
+
+
+def extract_table(table: DataFrame) -> Extractor:
+    """Columns of a table with a row for each subject: names, shapes, image properties, lists of files."""
+    return lambda source, samples=None: extract_indexing(source, samples).select("sample_index", "subject").join(table, "subject", "left")
+
+
+def extract_names(names: DataFrame, categories: Sequence[str] = ("images",)) -> Extractor:
+    """A column for each category: its entries in the order of channels, from (category, channel, entry)."""
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("category") == c, F.struct("channel", "entry")))), lambda s: s["entry"]).alias(c) for c in categories]
+    # One row, whatever the dataset's size.
+    return lambda source, samples=None: extract_indexing(source, samples).select("sample_index", "subject").join(F.broadcast(names.agg(*lists)), F.lit(True))
+
+
+def extract_files(files: DataFrame, categories: Sequence[str] = ("images",)) -> Extractor:
+    """A column for each category: its relative paths in the order of channels, from (subject, category, channel, rel_path)."""
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("category") == c, F.struct("channel", "rel_path")))), lambda s: s["rel_path"]).alias(c) for c in categories]
+    return extract_table(files.groupBy("subject").agg(*lists))
+
+
+def extract_from_files(files: DataFrame, load: Callable[[DataFrame], DataFrame], root: str | None = None, categories: Sequence[str] = ("images",)) -> Extractor:
+    """Voxels of files (subject, category, channel, file_root, rel_path), loaded when they are taken.
+
+    ``load`` gives (path, z, y, x, value) of files (path); ``root`` stands in for the folder the files were stored with.
+    """
+    where = F.lit(root) if root is not None else F.col("file_root")
+    listed = files.where(F.col("category").isin(list(categories))).withColumn("path", F.concat_ws("/", where, "rel_path"))
+
+    def run(source: Datasource, samples: DataFrame | None = None) -> DataFrame:
+        loaded = load(listed.select("path").distinct()).select("path", *AXES, "value").join(listed.select("path", "subject", "category", "channel"), "path").drop("path")
+        return replace(source, voxels=loaded).data(samples)
+
+    return run
+
+
+def compose_extractors(*parts: Extractor) -> Extractor:
+    """All extractors' columns side by side; one of them at most gives several rows for a sample."""
+    if not parts:
+        raise ValueError("an extractor is needed")
+
+    def run(source: Datasource, samples: DataFrame | None = None) -> DataFrame:
+        out = parts[0](source, samples)
+        for more in parts[1:]:
+            out = out.join(more(source, samples), ["sample_index", "subject"])
+        return out
+
+    return run
+
+
 def slice_samples(voxels: DataFrame) -> DataFrame:
     """Voxels with their z slice as the sample."""
     return voxels.withColumn("sample", F.col("z"))
@@ -183,22 +344,39 @@ def patch_items(voxels: DataFrame, patch: Sequence[int]) -> DataFrame:
     return keyed.select("subject", *ids, *local, "value")
 
 
-def padded_items(voxels: DataFrame, patch: Sequence[int], padding: Sequence[int], fill: float = 0.0) -> DataFrame:
-    """Complete patches enlarged by a symmetric padding; image context where there is some, else the fill.
+#: Where the value of a place of the padded box comes from: place and size of the axis to a place in the image.
+#: A place outside the image takes the fill.
+Pad = Callable[[Column, Column], Column]
+
 
-    Each voxel goes to every patch whose padded box holds it, by a sequence of patch numbers along each axis.
+def pad_constant(place: Column, size: Column) -> Column:
+    return place
+
+
+def pad_edge(place: Column, size: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(size - 1, place))
+
+
+def pad_reflect(place: Column, size: Column) -> Column:
+    """Mirrored at the first and the last place, which aren't repeated."""
+    turn = F.greatest(2 * (size - 1), F.lit(1))
+    return F.least(F.pmod(place, turn), turn - F.pmod(place, turn)) * (size > 1).cast("int")
+
+
+def padded_items(voxels: DataFrame, patch: Sequence[int], padding: Sequence[int | tuple[int, int]], fill: float = 0.0, pad: Pad = pad_constant, ignore_incomplete: bool = True) -> DataFrame:
+    """Patches enlarged by a padding of each axis (one number, or left and right): the image where there is some.
+
+    Incomplete patches have the full size too, if they stay. A place of a patch finds its voxel by equality.
     """
-    shape = shapes(voxels)
-    grid = PatchIndexing(patch)(shape).select("subject", *[F.floor(F.col(f"{a}0") / p).cast("int").alias(f"p{a}") for a, p in zip(AXES, patch, strict=True)])
-    near = voxels.select("subject", *AXES, "value")
-    cells = grid
-    for a, p, pad in zip(AXES, patch, padding, strict=True):
-        numbers = F.sequence(F.floor((F.col(a) - pad - p) / p + 1).cast("int"), F.floor((F.col(a) + pad) / p).cast("int"))
-        near = near.select("*", F.explode(numbers).alias(f"p{a}"))
-        cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(p + 2 * pad - 1))).alias(a))
-    near = near.select("subject", *[f"p{a}" for a in AXES], *[(F.col(a) - F.col(f"p{a}") * p + pad).alias(a) for a, p, pad in zip(AXES, patch, padding, strict=True)], "value")
+    sides = [(p, p) if isinstance(p, int) else tuple(p) for p in padding]
+    cells = PatchIndexing(patch, ignore_incomplete).grid(shapes(voxels)).drop("own")
+    for a, p, (left, right) in zip(AXES, patch, sides, strict=True):
+        cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(p + left + right - 1))).alias(a))
+    from_image = [pad(F.col(f"p{a}") * p + F.col(a) - left, F.col(f"n{a}")).cast("int").alias(f"v{a}") for a, p, (left, _) in zip(AXES, patch, sides, strict=True)]
     keys = ["subject", "pz", "py", "px", *AXES]
-    return cells.join(near, keys, "left").select(*keys, F.coalesce("value", F.lit(fill)).alias("value"))
+    near = voxels.select("subject", *[F.col(a).alias(f"v{a}") for a in AXES], "value")
+    joined = cells.select(*keys, *from_image).join(near, ["subject", "vz", "vy", "vx"], "left")
+    return joined.select(*keys, F.coalesce("value", F.lit(fill)).alias("value"))
 
 
 def hash_number(seed: int, *key: str) -> Column:

@@ -280,6 +280,7 @@ def eval_user_metric(spark, sf_dir):
 
 _SHAPE = "shape AS (SELECT subject, CAST(max(z)+1 AS INTEGER) nz, CAST(max(y)+1 AS INTEGER) ny, CAST(max(x)+1 AS INTEGER) nx FROM voxels GROUP BY subject)"
 _NUM = "CAST(row_number() OVER (ORDER BY subject, axis, z0, y0, x0) - 1 AS BIGINT) sample_index"
+_SLICE_NUMBERS = "s AS (SELECT subject, z, CAST(row_number() OVER (ORDER BY subject, z) - 1 AS BIGINT) sample_index FROM (SELECT DISTINCT subject, z FROM voxels))"
 _COLS = "subject, CAST(z0 AS INTEGER) z0, CAST(z1 AS INTEGER) z1, CAST(y0 AS INTEGER) y0, CAST(y1 AS INTEGER) y1, CAST(x0 AS INTEGER) x0, CAST(x1 AS INTEGER) x1"
 
 
@@ -314,7 +315,7 @@ def index_expression(spark, sf_dir):
     return X.extract(V.voxels(spark, sf_dir), X.index_bounds([3, (2, 5)], [0, 1]))
 
 
-@query("datasource_items", vox("SELECT s.sample_index, v.subject, 0 z, v.y, v.x, v.value FROM voxels v JOIN s ON v.subject = s.subject AND v.z = s.z", "s AS (SELECT subject, z, CAST(row_number() OVER (ORDER BY subject, z) - 1 AS BIGINT) sample_index FROM (SELECT DISTINCT subject, z FROM voxels))"))
+@query("datasource_items", vox("SELECT s.sample_index, v.subject, 0 z, v.y, v.x, v.value FROM voxels v JOIN s ON v.subject = s.subject AND v.z = s.z", _SLICE_NUMBERS))
 def datasource_items(spark, sf_dir):
     return _source(spark, sf_dir, X.SliceIndexing((0,))).items()
 
@@ -373,10 +374,39 @@ def ext_random(spark, sf_dir):
     return X.random_entry(X.two_channels(V.voxels(spark, sf_dir)), ["T1", "T2"], 7).select("subject", "z", "y", "x", "entry", "value")
 
 
-@query("ext_names", vox("SELECT subject, 'T1,T2' AS names FROM (SELECT DISTINCT subject FROM voxels)"))
+@query("ext_names", vox("SELECT sample_index, subject, 'T1,T2' AS names FROM s", _SLICE_NUMBERS))
 def ext_names(spark, sf_dir):
-    named = X.two_channels(V.voxels(spark, sf_dir)).groupBy("subject").agg(F.array_sort(F.collect_set("entry")).alias("n"))
-    return named.select("subject", F.array_join("n", ",").alias("names"))
+    listed = create_names(spark, sf_dir)
+    out = _source(spark, sf_dir, X.SliceIndexing((0,))).with_extractor(X.extract_names(listed)).items()
+    return out.select("sample_index", "subject", F.array_join("images", ",").alias("names"))
+
+
+@query("ext_datasource", vox("SELECT s.sample_index, v.subject, v.y, v.x, v.value, 'T1,T2' AS names, n.nz FROM voxels v JOIN s ON v.subject = s.subject AND v.z = s.z JOIN shape n ON n.subject = v.subject", _SLICE_NUMBERS, _SHAPE))
+def ext_datasource(spark, sf_dir):
+    """Voxels, names and shapes of samples by one composed extractor."""
+    v = V.voxels(spark, sf_dir)
+    parts = X.compose_extractors(X.extract_data, X.extract_names(create_names(spark, sf_dir)), X.extract_table(X.shapes(v).select("subject", "nz")))
+    out = _source(spark, sf_dir, X.SliceIndexing((0,))).with_extractor(parts).items()
+    return out.select("sample_index", "subject", "y", "x", "value", F.array_join("images", ",").alias("names"), "nz")
+
+
+@query("datasource_patches", vox(f"SELECT s.sample_index, v.subject, CAST(v.z - z0 AS INTEGER) z, CAST(v.y - y0 AS INTEGER) y, CAST(v.x - x0 AS INTEGER) x, value FROM voxels v JOIN s ON v.subject = s.subject AND v.z >= z0 AND v.z < z1 AND v.y >= y0 AND v.y < y1 AND v.x >= x0 AND v.x < x1", _SHAPE,
+    f"s AS (SELECT {_COLS}, {_NUM} FROM (SELECT subject, 0 axis, a*3 z0, a*3+3 z1, b*3 y0, b*3+3 y1, c*3 x0, c*3+3 x1 FROM (SELECT *, unnest(range((nz+2)//3)) a FROM shape), range(3) t(b), range(3) u(c)))"))
+def datasource_patches(spark, sf_dir):
+    return _source(spark, sf_dir, X.PatchIndexing((3, 3, 3), False)).items()
+
+
+@query("datasource_item", vox("SELECT s.sample_index, v.subject, 0 z, v.y, v.x, v.value FROM voxels v JOIN s ON v.subject = s.subject AND v.z = s.z WHERE s.sample_index = 7", _SLICE_NUMBERS))
+def datasource_item(spark, sf_dir):
+    return _source(spark, sf_dir, X.SliceIndexing((0,))).item(7)
+
+
+@query("ext_pad_sides", with_views("cubes", """SELECT g.subject, CAST(pz AS INTEGER) pz, CAST(py AS INTEGER) py, CAST(px AS INTEGER) px, CAST(z AS INTEGER) z, CAST(y AS INTEGER) y, CAST(x AS INTEGER) x, value
+    FROM (SELECT subject, nz, a.range pz, b.range py, c.range px, d.range z, e.range y, f.range x FROM (SELECT subject, max(z) + 1 nz FROM cubes GROUP BY subject) JOIN range(3) a ON a.range < (nz + 2) // 3, range(2) b, range(1) c, range(4) d, range(7) e, range(8) f) g
+    JOIN (SELECT subject s, z vz, y vy, x vx, value FROM cubes) ON s = subject AND vz = greatest(0, least(nz - 1, pz*3+z-1)) AND vy = greatest(0, least(7, py*5+y)) AND vx = x"""))
+def ext_pad_sides(spark, sf_dir):
+    """Other paddings on each side, the edge repeated, incomplete patches kept."""
+    return X.padded_items(V.cubes(spark, sf_dir), (3, 5, 8), ((1, 0), (0, 2), (0, 0)), pad=X.pad_edge, ignore_incomplete=False)
 
 
 @query("ext_subject", vox("SELECT DISTINCT subject, 'subject-' || subject AS name FROM voxels"))
