@@ -5,6 +5,7 @@ import pytest
 
 from voxelspark import queries as Q
 from voxelspark.functions import metrics as M
+from voxelspark.operators import assemble as A
 from voxelspark.operators import dataset as D
 from voxelspark.operators import evaluate as E
 from voxelspark.operators import extract as X
@@ -274,3 +275,106 @@ def test_evaluator_collects_and_clears(spark):
     assert evaluator.results is None
     with pytest.raises(ValueError, match="unknown"):
         evaluate_segmentation(df, {"one": 1}, ["NOPE"])
+
+
+def test_distance_map_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(0)
+    for block in (1, 50, 1 << 21):
+        monkeypatch.setattr(S, "BLOCK", block)
+        for share in (0.0, 0.05, 0.7):
+            seeds, spacing = rng.random(rng.integers(1, 8, 3)) < share, rng.choice([0.5, 1, 3.3], 3)
+            places, cells = np.argwhere(seeds) * spacing, np.indices(seeds.shape).reshape(3, -1).T * spacing
+            want = np.sqrt(((cells[:, None] - places[None]) ** 2).sum(-1).min(1)) if len(places) else np.full(len(cells), np.inf)
+            assert np.allclose(S.distance_map(seeds, spacing).ravel(), want)
+
+
+class EveryOtherSlice(X.Indexing):
+    """An indexing of one's own, without arithmetic."""
+
+    def __call__(self, shape):
+        at = shape.selectExpr("*", "explode(sequence(0, nz - 1, 2)) AS at")
+        return at.selectExpr("subject", "CAST(at DIV 2 AS BIGINT) AS own", "at AS z0", "at + 1 AS z1", "0 AS y0", "ny AS y1", "0 AS x0", "nx AS x1")
+
+
+@pytest.mark.parametrize("indexing", [X.EmptyIndexing(), X.SliceIndexing((0, 2)), X.VoxelIndexing(), X.PatchIndexing((2, 2, 3)), X.PatchIndexing((2, 2, 3), False), EveryOtherSlice()], ids=lambda i: type(i).__name__)
+def test_samples_items_and_single_items_agree(spark, indexing):
+    first, second = np.arange(60.0).reshape(3, 4, 5), np.arange(24.0).reshape(4, 2, 3)
+    source = X.Datasource(table(spark, first, 1).union(table(spark, second, 2)), indexing)
+    samples = {r.sample_index: r for r in source.samples().collect()}
+    assert sorted(samples) == list(range(len(source))) and len(source) > 0
+    got = {}
+    for r in source.items().collect():
+        got.setdefault(r.sample_index, {})[r.z, r.y, r.x] = r.value
+    for i, s in samples.items():
+        part = (first if s.subject == 1 else second)[s.z0 : s.z1, s.y0 : s.y1, s.x0 : s.x1]
+        assert got[i] == {k: v for k, v in np.ndenumerate(part)}
+    last = max(samples)
+    assert {(r.z, r.y, r.x): r.value for r in source.item(last).collect()} == got[last]
+    with pytest.raises(IndexError):
+        source.item(last + 1)
+
+
+def test_extractors_compose_and_take_one_sample(spark):
+    source = X.Datasource(table(spark, np.arange(12.0).reshape(3, 2, 2)), X.SliceIndexing((0,)))
+    names = spark.createDataFrame([("images", 1, "T2"), ("images", 0, "T1"), ("labels", 0, "GT")], "category string, channel int, entry string")
+    parts = X.compose_extractors(X.extract_data, X.extract_names(names, ("images", "labels")), X.extract_indexing)
+    rows = source.with_extractor(parts).item(1).collect()
+    assert sorted(r.value for r in rows) == [4, 5, 6, 7]
+    assert {(tuple(r.images), tuple(r.labels), r.z0) for r in rows} == {(("T1", "T2"), ("GT",), 1)}
+    with pytest.raises(ValueError, match="extractor"):
+        X.compose_extractors()
+
+
+@pytest.mark.parametrize(("pad", "mode"), [(X.pad_constant, "constant"), (X.pad_edge, "edge"), (X.pad_reflect, "reflect")])
+def test_padding_as_numpy_does(spark, pad, mode):
+    image = np.random.default_rng(0).random((4, 5, 6))
+    out = X.padded_items(table(spark, image), (4, 5, 6), ((1, 2), (0, 3), 2), pad=pad)
+    assert np.allclose(array_of(out.drop("pz", "py", "px")), np.pad(image, ((1, 2), (0, 3), (2, 2)), mode=mode))
+
+
+def test_traversal_keeps_geometry(spark, tmp_path, caplog):
+    arrays = {}
+    for subject in ("a", "b"):
+        for entry in ("T1", "T2", "GT"):
+            arrays[subject, entry] = np.random.default_rng(len(arrays)).integers(0, 9, (2, 3, 4)).astype("u1")
+            (tmp_path / f"{subject}_{entry}.mha").write_bytes(images.write_mha(arrays[subject, entry], [1.0, 2.0, 3.0], [5.0, 0.0, 0.0]))
+    place = lambda s, e: str(tmp_path / f"{s}_{e}.mha")
+    files = D.subject_files({s: {"images": {"T1": place(s, "T1"), "T2": place(s, "T2")}, "labels": {"GT": place(s, "GT")}} for s in "ab"}, spark)
+    target = str(tmp_path / "set")
+    callback = D.ComposeCallback([D.MonitoringCallback(), D.default_callbacks(D.get_writer(spark, target))])
+    with caplog.at_level("INFO"):
+        D.Traverser().traverse(files, callback, transform=lambda v: v.withColumn("value", v.value * 2))
+    assert caplog.messages == ["start dataset creation", "2 subjects", "dataset creation finished"]
+    reader = D.get_reader(spark, target)
+    assert reader.spacing() == (3.0, 2.0, 1.0)
+    assert {tuple(r.origin) for r in reader.properties().collect()} == {(5.0, 0.0, 0.0)}
+    assert sorted(r.rel_path for r in reader.files().collect()) == sorted(f"{s}_{e}.mha" for s, e in arrays)
+    assert [(r.subject, r.entry) for r in reader.subject_entries().orderBy("subject").collect()] == [("a", "0"), ("b", "1")]
+    for (subject, entry), array in arrays.items():
+        stored = reader.voxels("labels" if entry == "GT" else "images").where(f"subject = '{subject}' AND entry = '{entry}'")
+        assert np.array_equal(array_of(stored), array * 2.0)
+    only = D.Traverser("labels").load(files)
+    assert {r.entry for r in only.voxels.select("entry").distinct().collect()} == {"GT"}
+    with pytest.raises(ValueError, match="callback"):
+        D.Traverser().traverse(files, None)
+    with pytest.raises(ValueError, match="no writer"):
+        D.get_writer(spark, "x.unknown")
+
+
+def test_closed_subjects(spark):
+    chunks = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (1, 2, 2), (3, 3, 3)], "subject int, sample_index long, arrival long")
+    ids = lambda df: sorted(r.subject for r in df.collect())
+    assert ids(A.closed_subjects(chunks)) == [1, 2]
+    assert ids(A.closed_subjects(chunks, last_batch=True)) == [1, 2, 3]
+    with pytest.raises(ValueError, match="assembled"):
+        A.assembled_subject(chunks, A.closed_subjects(chunks), 3)
+
+
+def test_loop_entries_raise_if_one_is_missing(spark):
+    two = X.two_channels(table(spark, np.arange(4.0).reshape(2, 2)))
+    out = T.loop_entries(lambda keys: T.intensity_rescale(0, 1, keys), ["T1", "T2"])(two)
+    assert out.agg({"value": "max"}).first()[0] == 1
+    with pytest.raises(Exception, match="aren't all there"):
+        T.loop_entries(lambda keys: T.intensity_rescale(0, 1, keys), ["T1", "T3"])(two).collect()
+    with pytest.raises(ValueError, match="is needed"):
+        T.checked(1, str)

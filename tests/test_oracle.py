@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["metric_dice", "metric_mutinf", "metric_mahlnbs", "metric_hdrfdst", "eval_every_metric", "eval_user_metric", "eval_all_segmentation", "metric_psnr", "sel_percentile", "sel_compose", "udtf_patches", "metric_ssim", "eval_merged_labels", "ext_pad_zero", "idx_patch_incomplete", "tfm_clip_percentile", "tfm_size_pad", "aug_rot90", "asm_planes_mean", "report_console", "flt_largest_cc_consecutive", "flt_otsu_mask", "create_rel_files", "sink_data_roundtrip"]
+SAMPLE = ["metric_dice", "metric_mutinf", "metric_mahlnbs", "metric_hdrfdst", "eval_every_metric", "eval_user_metric", "eval_all_segmentation", "metric_psnr", "sel_percentile", "sel_compose", "udtf_patches", "metric_ssim", "eval_merged_labels", "ext_pad_zero", "idx_patch_incomplete", "tfm_clip_percentile", "tfm_size_pad", "aug_rot90", "asm_planes_mean", "report_console", "flt_largest_cc_consecutive", "flt_otsu_mask", "create_rel_files", "sink_data_roundtrip", "datasource_patches", "datasource_item", "ext_datasource", "ext_pad_sides", "create_files", "ext_filesystem_datasource", "tfm_loop_entries", "asm_closed", "sink_fill"]
 
 
 @pytest.fixture(scope="module")

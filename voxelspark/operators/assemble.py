@@ -36,13 +36,39 @@ def ready_subjects(chunks: DataFrame, samples: DataFrame) -> DataFrame:
     return expected.join(arrived, "subject").where("arrived >= expected").select("subject")
 
 
+def closed_subjects(chunks: DataFrame, last_batch: bool = False) -> DataFrame:
+    """Subjects that are finished when samples come subject by subject: a new subject closes all that came before it.
+
+    The last subject stays open until the last batch is told.
+    """
+    first = chunks.groupBy("subject").agg(F.min("arrival").alias("first"))
+    if last_batch:
+        return first.select("subject")
+    newest = first.agg(F.max("first").alias("newest"))  # one row
+    return first.join(F.broadcast(newest), F.col("first") < F.col("newest")).select("subject")
+
+
+def assembled_subject(assembled: DataFrame, ready: DataFrame, subject) -> DataFrame:
+    """The volume of one subject; one that isn't among the ready raises."""
+    if ready.where(F.col("subject") == subject).isEmpty():
+        raise ValueError(f"subject {subject} isn't assembled")
+    return assembled.where(F.col("subject") == subject)
+
+
 def assemble_planes(planes: Sequence[DataFrame], shape: DataFrame, merge: Callable[[Column], Column] = F.avg, fill: float = 0.0) -> DataFrame:
     """Volumes of each plane's chunks, merged voxel by voxel."""
-    whole = [assemble_subjects(p, shape, fill) for p in planes]
-    out = whole[0]
-    for more in whole[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("subject", *AXES).agg(merge(F.col("value")).alias("value"))
+    on = ["subject", *AXES]
+    chunks = None
+    for k, plane in enumerate(planes):
+        one = plane.select(*on, "arrival", "sample_index", "value", F.lit(k).alias("plane"))
+        chunks = one if chunks is None else chunks.unionByName(one)
+    if chunks is None:
+        raise ValueError("no planes are given")
+    # Keyed by voxel throughout: the last arrivals, the join with the grid and the merge share one exchange by voxel.
+    last = chunks.groupBy(*on).agg(*[F.max_by(F.when(F.col("plane") == k, F.col("value")), F.when(F.col("plane") == k, F.struct("arrival", "sample_index"))).alias(f"v{k}") for k in range(len(planes))])
+    values = F.array(*[F.coalesce(f"v{k}", F.lit(fill)) for k in range(len(planes))])
+    filled = full_grid(shape).join(last, on, "left").select(*on, F.explode(values).alias("value"))
+    return filled.groupBy(*on).agg(merge(F.col("value")).alias("value"))
 
 
 def planes_ready(planes: Sequence[tuple[DataFrame, DataFrame]]) -> DataFrame:

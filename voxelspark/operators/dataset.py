@@ -5,13 +5,19 @@ A dataset is a folder with data (slices, partitioned by category), shapes, image
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import images as I
 from .extract import AXES
 
+LOG = logging.getLogger(__name__)
+
 
 def subject_files(subjects: dict[str, dict[str, dict[str, str]]], spark: SparkSession) -> DataFrame:
     """subject -> category -> entry -> path as rows; an entry may stand in one category of a subject only."""
@@ -142,43 +148,231 @@ def bytes_to_string(column: Column) -> Column:
     return F.decode(column, "UTF-8")
 
 
-Callback = Callable[[DataFrame, str], None]
+class ParquetWriter:
+    """Entries of a dataset as folders of Parquet."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def reserve(self, entry: str, schema: str) -> None:
+        """An empty entry that has its columns already; ``write`` or ``fill`` give it rows."""
+        self.write(entry, self.spark.createDataFrame([], schema))
+
+    def fill(self, entry: str, df: DataFrame, partition_by: Sequence[str]) -> None:
+        """Writes the partitions that the rows belong to anew; others stay."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(f"{self.path}/{entry}")
+
+    def write(self, entry: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
+        """Writes the whole entry anew."""
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/{entry}")
+
+
+WRITERS: dict[str, type] = {"parquet": ParquetWriter}
+
+
+def _by_extension(known: dict[str, type], path: str, what: str) -> type:
+    kind = path.rsplit("/", 1)[-1].partition(".")[2] or "parquet"
+    if kind not in known:
+        raise ValueError(f"no {what} for {kind}")
+    return known[kind]
+
+
+def get_writer(spark: SparkSession, path: str) -> ParquetWriter:
+    """By the path's extension; none means a folder of Parquet."""
+    return _by_extension(WRITERS, path, "writer")(spark, path)
+
+
+@dataclass(frozen=True)
+class Creation:
+    """What callbacks see: voxels (subject, category, channel, entry, z, y, x, value), and of a traversal also the
+    properties (subject, category, size, origin, spacing, direction) and the catalogue of files."""
 
+    voxels: DataFrame
+    properties: DataFrame | None = None
+    files: DataFrame | None = None
 
-def write_data(voxels: DataFrame, path: str) -> None:
+
+class Callback:
+    """A part of a dataset's creation. All subjects come at once, as rows."""
+
+    def on_start(self, made: Creation) -> None:
+        pass
+
+    def on_subjects(self, made: Creation) -> None:
+        pass
+
+    def on_end(self, made: Creation) -> None:
+        pass
+
+
+class ComposeCallback(Callback):
+    def __init__(self, callbacks: Sequence[Callback]) -> None:
+        self.callbacks = list(callbacks)
+
+    def on_start(self, made: Creation) -> None:
+        for c in self.callbacks:
+            c.on_start(made)
+
+    def on_subjects(self, made: Creation) -> None:
+        for c in self.callbacks:
+            c.on_subjects(made)
+
+    def on_end(self, made: Creation) -> None:
+        for c in self.callbacks:
+            c.on_end(made)
+
+
+class MonitoringCallback(Callback):
+    """Logs the start, the number of subjects once all are processed, and the end."""
+
+    def on_start(self, made: Creation) -> None:
+        LOG.info("start dataset creation")
+
+    def on_subjects(self, made: Creation) -> None:
+        rows = made.voxels if made.files is None else made.files
+        LOG.info("%d subjects", rows.select("subject").distinct().count())
+
+    def on_end(self, made: Creation) -> None:
+        LOG.info("dataset creation finished")
+
+
+@dataclass
+class WriteData(Callback):
     """Slices by category, sorted so that row groups cover ranges of subjects and slices."""
-    keys = [c for c in ("subject", "category", "channel", "entry") if c in voxels.columns]
-    to_slices(voxels, keys).repartition("category", "subject").sortWithinPartitions("subject", "z").write.mode("overwrite").partitionBy("category").parquet(f"{path}/data")
 
+    writer: Any
+
+    def on_subjects(self, made: Creation) -> None:
+        keys = [c for c in ("subject", "category", "channel", "entry") if c in made.voxels.columns]
+        slices = to_slices(made.voxels, keys).repartition("category", "subject").sortWithinPartitions("subject", "z")
+        self.writer.write("data", slices, ["category"])
 
-def write_essential(voxels: DataFrame, path: str) -> None:
-    voxels.select("subject").distinct().write.mode("overwrite").parquet(f"{path}/subjects")
-    stored_shapes(voxels).write.mode("overwrite").parquet(f"{path}/shapes")
 
+@dataclass
+class WriteEssential(Callback):
+    writer: Any
 
-def write_image_information(voxels: DataFrame, path: str) -> None:
-    image_properties(voxels).write.mode("overwrite").parquet(f"{path}/image_props")
+    def on_subjects(self, made: Creation) -> None:
+        rows = made.voxels if made.files is None else made.files
+        self.writer.write("subjects", rows.select("subject").distinct())
+        self.writer.write("shapes", stored_shapes(made.voxels))
 
 
-def write_names(voxels: DataFrame, path: str) -> None:
-    names(voxels).write.mode("overwrite").parquet(f"{path}/names")
+@dataclass
+class WriteImageInformation(Callback):
+    """Geometry of a category as the files state it; of voxels without files, their size and a plain geometry."""
 
+    writer: Any
+    category: str = "images"
 
-def default_callbacks(meta_only: bool = False) -> list[Callback]:
-    """All writers; with ``meta_only`` those of voxels are left out."""
-    meta: list[Callback] = [write_essential, write_image_information, write_names]
-    return meta if meta_only else [write_data, *meta]
+    def on_subjects(self, made: Creation) -> None:
+        if made.properties is None:
+            self.writer.write("image_props", image_properties(made.voxels))
+        else:
+            self.writer.write("image_props", made.properties.where(F.col("category") == self.category).drop("category"))
 
 
-def create_dataset(voxels: DataFrame, path: str, callbacks: Sequence[Callback] | None = None, transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Runs the writers on voxels (subject, category, channel, entry, z, y, x, value)."""
-    callbacks = default_callbacks() if callbacks is None else callbacks
-    if not callbacks:
-        raise ValueError("at least one writer is needed")
+@dataclass
+class WriteNames(Callback):
+    writer: Any
+
+    def on_subjects(self, made: Creation) -> None:
+        self.writer.write("names", names(made.voxels))
+
+
+@dataclass
+class WriteFiles(Callback):
+    """The files of each subject, relative to the folder that they share. Voxels without files have none."""
+
+    writer: Any
+
+    def on_subjects(self, made: Creation) -> None:
+        if made.files is not None:
+            self.writer.write("files", relative_files(made.files).select("subject", "category", "channel", "entry", "file_root", "rel_path"))
+
+
+def default_callbacks(writer: Any, meta_only: bool = False) -> ComposeCallback:
+    """All writers; with ``meta_only`` the one of voxels is left out."""
+    meta = [WriteEssential(writer), WriteImageInformation(writer), WriteNames(writer), WriteFiles(writer)]
+    return ComposeCallback(meta if meta_only else [WriteData(writer), *meta])
+
+
+def _run(made: Creation, callback: Callback) -> None:
+    callback.on_start(made)
+    callback.on_subjects(made)
+    callback.on_end(made)
+
+
+def create_dataset(voxels: DataFrame, path: str, callback: Callback | None = None, transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Runs callbacks (None: all writers) on voxels (subject, category, channel, entry, z, y, x, value)."""
     if transform is not None:
         voxels = transform(voxels)
-    for write in callbacks:
-        write(voxels, path)
+    _run(Creation(voxels), default_callbacks(get_writer(voxels.sparkSession, path)) if callback is None else callback)
+
+
+def file_path(path: Column) -> Column:
+    """Paths of the local file system in one form, as Spark's readers write them in several."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+@dataclass(frozen=True)
+class LoadImages:
+    """The default loader: files (path, content) to voxels and properties by the parsers of ``sources.images``.
+
+    ``contents`` are the bytes of the files; without them Spark reads all files under the folder that the listed share.
+    """
+
+    contents: DataFrame | None = None
+
+    def __call__(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        contents = self.contents
+        if contents is None:
+            root = file_root(files).first()[0]
+            contents = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+        contents = contents.select(file_path(F.col("path")).alias("path"), "content")
+        wanted = contents.join(files.select(file_path(F.col("path")).alias("path")).distinct(), "path", "left_semi")
+        return I.decode_voxels(wanted), I.decode_properties(wanted)
+
+
+#: Loads listed files: voxels (path, z, y, x, channel, value) and properties (path, size, spacing, origin, direction).
+Load = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def concat_entries(loaded: DataFrame) -> DataFrame:
+    """Entries as channels of their category, in the order of the catalogue; components of an entry stay together."""
+    parts = loaded.groupBy("category", "channel").agg((F.max("component") + 1).alias("n"))
+    # A row for each entry of a category, not of a subject.
+    order = parts.alias("a").join(parts.alias("b"), (F.col("a.category") == F.col("b.category")) & (F.col("b.channel") < F.col("a.channel")), "left")
+    first = order.groupBy("a.category", "a.channel").agg(F.coalesce(F.sum("b.n"), F.lit(0)).cast("int").alias("first"))
+    return loaded.join(F.broadcast(first), ["category", "channel"]).withColumn("channel", F.col("first") + F.col("component")).drop("first", "component")
+
+
+class Traverser:
+    """From files to a dataset: loading, channels, properties of each category's first entry, a transform, callbacks."""
+
+    def __init__(self, categories: str | Sequence[str] | None = None) -> None:
+        self.categories = [categories] if isinstance(categories, str) else categories
+
+    def load(self, files: DataFrame, load: Load | None = None, concat: Callable[[DataFrame], DataFrame] = concat_entries) -> Creation:
+        """Voxels and properties of files (subject, category, channel, entry, path, ...), not stored."""
+        if self.categories is not None:
+            files = files.where(F.col("category").isin(list(self.categories)))
+        if files.isEmpty():
+            raise ValueError("no files are given")
+        check_names(files)
+        voxels, properties = (load or LoadImages())(files)
+        listed = files.select(file_path(F.col("path")).alias("path"), "subject", "category", "channel", "entry")
+        loaded = voxels.withColumnRenamed("channel", "component").join(listed, "path").drop("path")
+        first = F.min_by(F.struct("size", "origin", "spacing", "direction"), "channel").alias("p")
+        geometry = properties.join(listed, "path").groupBy("subject", "category").agg(first).select("subject", "category", "p.*")
+        made = concat(loaded).select("subject", "category", "channel", "entry", *AXES, "value")
+        return Creation(made, geometry, files)
+
+    def traverse(self, files: DataFrame, callback: Callback | None, load: Load | None = None, transform: Callable[[DataFrame], DataFrame] | None = None, concat: Callable[[DataFrame], DataFrame] = concat_entries) -> None:
+        if callback is None:
+            raise ValueError("a callback is needed")
+        made = self.load(files, load, concat)
+        _run(made if transform is None else replace(made, voxels=transform(made.voxels)), callback)
 
 
 class Reader:
@@ -191,11 +385,35 @@ class Reader:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{entry}")
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
+    def read(self, entry: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{entry}")
+
     def subjects(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/subjects")
+        return self.read("subjects")
+
+    def subject_entries(self) -> DataFrame:
+        """(subject, entry): each subject's number as text of equal length, in the order of subjects."""
+        numbered = self.subjects().select("subject", (F.row_number().over(Window.orderBy("subject")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+        return numbered.select("subject", entry_name(F.col("i"), F.col("n")).alias("entry"))
 
     def shapes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/shapes")
+        return self.read("shapes")
+
+    def properties(self) -> DataFrame:
+        return self.read("image_props")
+
+    def names(self) -> DataFrame:
+        return self.read("names")
+
+    def files(self) -> DataFrame:
+        return self.read("files")
+
+    def spacing(self) -> tuple[float, ...]:
+        """The spacing that all images share, in z, y, x order; images that differ raise."""
+        found = self.properties().select("spacing").distinct().take(2)
+        if len(found) != 1:
+            raise ValueError("images have no spacing in common")
+        return tuple(reversed(found[0].spacing))
 
     def slices(self, category: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/data").where(F.col("category") == category)
@@ -210,7 +428,4 @@ READERS: dict[str, type] = {"parquet": Reader}
 
 def get_reader(spark: SparkSession, path: str) -> Reader:
     """By the path's extension; none means a folder of Parquet."""
-    kind = path.rsplit("/", 1)[-1].partition(".")[2] or "parquet"
-    if kind not in READERS:
-        raise ValueError(f"no reader for {kind}")
-    return READERS[kind](spark, path)
+    return _by_extension(READERS, path, "reader")(spark, path)

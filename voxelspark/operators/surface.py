@@ -76,16 +76,62 @@ def surface_elements(df: DataFrame, side: str, spacing: Sequence[float] = (1.0,
     return corner.where("code <> 255").select(*keys, "z", "y", "x", "code", F.get(table, F.col("code")).alias("area"))
 
 
+#: Cells of a volume that a pass along an axis takes at once.
+BLOCK = 1 << 21
+
+
+def _lower_envelope(cost: np.ndarray, step: float) -> np.ndarray:
+    """min over j of cost[j] + ((i - j) * step)^2 for each line of (places, lines), in time linear in the places.
+
+    Of each line a stack of parabolas is kept, the lowest from left to right; all lines go on together.
+    """
+    n, lines = cost.shape
+    at = np.arange(n) * step
+    lowest = np.zeros((n, lines), np.int32)
+    since = np.full((n, lines), np.inf)
+    top = np.full(lines, -1)
+    for j in range(n):
+        active = np.flatnonzero(np.isfinite(cost[j]))
+        while active.size:
+            depth = top[active]
+            old = lowest[depth, active]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                meet = (cost[j, active] + at[j] ** 2 - cost[old, active] - at[old] ** 2) / (2 * (at[j] - at[old]))
+            meet = np.where(depth < 0, -np.inf, meet)
+            covered = (depth >= 0) & (meet <= since[depth, active])
+            placed = active[~covered]
+            top[placed] += 1
+            lowest[top[placed], placed] = j
+            since[top[placed], placed] = meet[~covered]
+            active = active[covered]
+            top[active] -= 1
+    out = np.full_like(cost, np.inf)
+    some = np.flatnonzero(top >= 0)
+    now = np.zeros(lines, int)
+    for i in range(n):
+        behind = some
+        while behind.size:
+            after = now[behind] + 1
+            behind = behind[(after <= top[behind]) & (since[np.minimum(after, n - 1), behind] < at[i])]
+            now[behind] += 1
+        j = lowest[now[some], some]
+        out[i, some] = cost[j, some] + (at[i] - at[j]) ** 2
+    return out
+
+
 def distance_map(seeds: np.ndarray, spacing: Sequence[float]) -> np.ndarray:
-    """Exact Euclidean distance of each voxel to the nearest seed, one axis after another."""
+    """Exact Euclidean distance of each voxel to the nearest seed: a pass of linear time along each axis, by blocks of
+    lines, so beside the volume itself only a block is in memory."""
     out = np.where(seeds, 0.0, np.inf)
     for axis, step in enumerate(spacing):
-        line = np.moveaxis(out, axis, 0)
-        best = np.full_like(line, np.inf)
-        place = np.arange(line.shape[0])
-        for j in range(line.shape[0]):
-            np.minimum(best, line[j] + ((place - j) * step).reshape(-1, *[1] * (line.ndim - 1)) ** 2, out=best)
-        out = np.moveaxis(best, 0, axis)
+        n = out.shape[axis]
+        other = [k for k in range(out.ndim) if k != axis]
+        cross = [out.shape[k] for k in other]
+        planes = np.moveaxis(out, axis, 0)
+        rows = max(1, BLOCK // max(1, n * int(np.prod(cross[1:]))))
+        for lo in range(0, cross[0], rows):
+            part = planes[:, lo : lo + rows]
+            planes[:, lo : lo + rows] = _lower_envelope(part.reshape(n, -1), float(step)).reshape(part.shape)
     return np.sqrt(out)
 
 

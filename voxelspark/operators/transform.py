@@ -25,6 +25,30 @@ def compose(*parts: Transform) -> Transform:
     return run
 
 
+def loop_entries(make: Callable[..., Transform], entries: Sequence[str], keys: Sequence[str] = ("subject",)) -> Transform:
+    """A transform on each listed entry by itself: its statistics are the entry's own. Other entries stay as they are.
+
+    ``make`` builds the transform for keys. A table that lacks one of the entries raises when it is read.
+    """
+
+    def run(df: DataFrame) -> DataFrame:
+        listed = F.col("entry").isin(list(entries))
+        done = make(keys=[*keys, "entry"])(df.where(listed))
+        out = done.unionByName(df.where(~listed | F.col("entry").isNull()))
+        found = df.where(listed).agg(F.size(F.collect_set("entry")).alias("found"))  # one row
+        check = F.when(F.col("found") == len(set(entries)), True).otherwise(F.raise_error(F.lit(f"entries {sorted(entries)} aren't all there")).cast("boolean"))
+        return out.join(F.broadcast(found), check).drop("found")
+
+    return run
+
+
+def checked(value, kind: type):
+    """The value, if it is of this kind."""
+    if not isinstance(value, kind):
+        raise ValueError(f"{kind.__name__} is needed, not {type(value).__name__}")
+    return value
+
+
 def with_stats(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Adds aggregates of each sample: aggregated first, then joined back, so no sample is sorted or held whole."""
     return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()]), list(keys))

@@ -576,6 +576,19 @@ def asm_interaction(spark, sf_dir):
     return A.assemble_subjects(_slice_chunks(spark, sf_dir), X.shapes(V.voxels(spark, sf_dir)), interact=lambda c: c.withColumn("value", F.col("value") * 2))
 
 
+@query("asm_closed", vox("SELECT subject FROM shape WHERE subject < (SELECT max(subject) FROM shape)", _SHAPE))
+def asm_closed(spark, sf_dir):
+    """Slices that come subject by subject."""
+    items = _source(spark, sf_dir, X.SliceIndexing((0,))).samples()
+    return A.closed_subjects(items.withColumn("arrival", F.col("sample_index")))
+
+
+@query("tfm_loop_entries", vox("SELECT subject, z, y, x, entry, round(CASE entry WHEN 'T2' THEN (value-m)/s ELSE value END, 6) + 0.0 AS value FROM (SELECT *, avg(value) OVER w m, stddev_pop(value) OVER w s FROM two WINDOW w AS (PARTITION BY subject, entry))", _TWO))
+def tfm_loop_entries(spark, sf_dir):
+    two = X.two_channels(V.voxels(spark, sf_dir)).select("subject", "z", "y", "x", "entry", "value")
+    return rounded(T.loop_entries(T.intensity_normalization, ["T2"])(two), "value")
+
+
 @query("asm_planes_mean", vox(f"SELECT {VOX}, round((value + value * 3) / 2, 6) + 0.0 AS value FROM voxels"))
 def asm_planes_mean(spark, sf_dir):
     z = _slice_chunks(spark, sf_dir)
@@ -846,23 +859,93 @@ def ext_filesystem(spark, sf_dir):
     return X.extract(_subject_of(I.decode_voxels(_image_files(spark, sf_dir))), X.index_bounds(4, 0)).select("subject", "y", "x", "value")
 
 
+def _image_catalogue(spark, sf_dir, **given: tuple[str, float]) -> tuple[DataFrame, DataFrame]:
+    """Masks of the blobs as image files with a spacing of 2: the catalogue and the files' bytes.
+
+    ``given`` names each entry's category and side; numbers of categories' channels follow its order.
+    """
+    listed, contents, channels = None, None, {}
+    slices = V.blobs(spark, sf_dir)
+    for entry, (category, side) in given.items():
+        channel = channels[category] = channels.get(category, -1) + 1
+        files = I.encode_files(D.to_slices(slices.withColumn("value", F.col(side).cast("double"))), spacing=(2.0, 2.0, 2.0)).withColumn("path", F.concat(F.lit(f"/scans/{entry}/"), "path"))
+        ids = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("subject_index"))
+        rows = ids.select("subject_index", F.col("subject_index").alias("subject"), F.lit(category).alias("category"), F.lit(channel).alias("channel"), F.lit(entry).alias("entry"), F.concat(F.lit(f"/scans/{entry}/"), "subject_index", F.lit(".mha")).alias("path"))
+        listed = rows if listed is None else listed.unionByName(rows)
+        contents = files if contents is None else contents.unionByName(files)
+    return listed, contents
+
+
+def _traversed(spark, sf_dir) -> D.Reader:
+    """A dataset made from image files."""
+    path = _shared(spark, "traversed")
+    listed, contents = _image_catalogue(spark, sf_dir, P=("images", "pred"), Q=("images", "ref"), GT=("labels", "ref"))
+    D.Traverser().traverse(listed, D.default_callbacks(D.get_writer(spark, path)), D.LoadImages(contents))
+    return D.get_reader(spark, path)
+
+
+@query("create_traverse", with_views("blobs", """SELECT subject, z, y, x, 'images' category, 0 channel, 'P' entry, CAST(pred AS DOUBLE) AS value FROM blobs
+    UNION ALL SELECT subject, z, y, x, 'images', 1, 'Q', CAST(ref AS DOUBLE) FROM blobs UNION ALL SELECT subject, z, y, x, 'labels', 0, 'GT', CAST(ref AS DOUBLE) FROM blobs"""))
+def create_traverse(spark, sf_dir):
+    reader = _traversed(spark, sf_dir)
+    return reader.voxels("images").unionByName(reader.voxels("labels")).select("subject", "z", "y", "x", "category", "channel", "entry", "value")
+
+
+@query("create_geometry", "SELECT CAST(n_nationkey AS INTEGER) subject, '13,13,13' size, '2,2,2' spacing, '0,0,0' origin FROM nation")
+def create_geometry(spark, sf_dir):
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ",").alias(c)
+    return _traversed(spark, sf_dir).properties().select("subject", text("size"), text("spacing"), text("origin"))
+
+
+@query("create_files", "SELECT CAST(n_nationkey AS INTEGER) subject, category, channel, entry, '/scans' file_root, entry || '/' || n_nationkey || '.mha' rel_path FROM nation, (VALUES ('images', 0, 'P'), ('images', 1, 'Q'), ('labels', 0, 'GT')) t(category, channel, entry)")
+def create_files(spark, sf_dir):
+    return _traversed(spark, sf_dir).files()
+
+
+@query("scan_subject_entries", "SELECT CAST(n_nationkey AS INTEGER) subject, lpad(CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS VARCHAR), CAST(length(CAST(count(*) OVER () AS VARCHAR)) AS INTEGER), '0') entry FROM nation")
+def scan_subject_entries(spark, sf_dir):
+    return _traversed(spark, sf_dir).subject_entries()
+
+
+@query("eval_spacing_of_files", "SELECT subject, CAST(2 * value AS DOUBLE) AS value FROM (" + SQL["metric_hdrfdst"] + ")")
+def eval_spacing_of_files(spark, sf_dir):
+    """Hausdorff distance under the spacing that the files state."""
+    reader = _traversed(spark, sf_dir)
+    images = reader.voxels("images").groupBy("subject", "z", "y", "x").pivot("entry", ["P", "Q"]).agg(F.max("value").cast("int"))
+    masks = images.withColumnsRenamed({"P": "pred", "Q": "ref"})
+    return S.hausdorff(S.surface_distances(masks, reader.spacing()), masks, 95).select("subject", r6(F.col("HDRFDST") / 2).alias("value")).withColumn("value", F.col("value") * 2)
+
+
+@query("ext_filesystem_datasource", with_views("blobs", "SELECT s.sample_index, subject, y, x, CAST(pred AS DOUBLE) AS value FROM blobs JOIN s USING (subject, z)", "s AS (SELECT subject, z, CAST(row_number() OVER (ORDER BY subject, z) - 1 AS BIGINT) sample_index FROM (SELECT DISTINCT subject, z FROM blobs))"))
+def ext_filesystem_datasource(spark, sf_dir):
+    """Samples whose voxels come from files, loaded by one's own function, under another root folder."""
+    listed, contents = _image_catalogue(spark, sf_dir, P=("images", "pred"))
+    moved = contents.withColumn("path", F.regexp_replace("path", "^/scans/P", "/elsewhere"))
+    take = lambda files: I.decode_voxels(moved.join(files, "path", "left_semi"))
+    files = D.relative_files(listed)
+    source = X.Datasource(V.blobs(spark, sf_dir).select("subject", "z", "y", "x"), X.SliceIndexing((0,)))
+    return source.with_extractor(X.extract_from_files(files, take, "/elsewhere")).items().select("sample_index", "subject", "y", "x", "value")
+
+
 @query("sink_fill", vox(f"SELECT {VOX}, CASE WHEN subject = 2 THEN 0.0 ELSE value END AS value FROM voxels"))
 def sink_fill(spark, sf_dir):
-    """A part of a stored table is written anew."""
-    path = _shared(spark, "fill")
+    """A part of a stored entry is written anew."""
+    writer = D.get_writer(spark, _shared(spark, "fill"))
     v = V.voxels(spark, sf_dir)
-    v.write.partitionBy("subject").parquet(path)
-    v.where("subject = 2").withColumn("value", F.lit(0.0)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject").parquet(path)
-    return spark.read.parquet(path).select("subject", "z", "y", "x", "value")
+    writer.write("data", v, ["subject"])
+    writer.fill("data", v.where("subject = 2").withColumn("value", F.lit(0.0)), ["subject"])
+    return D.get_reader(spark, writer.path).read("data").select("subject", "z", "y", "x", "value")
 
 
-@query("sink_overwrite", vox("SELECT subject, z, y, x, value FROM voxels WHERE subject = 1"))
+@query("sink_overwrite", vox("SELECT subject, z, y, x, value FROM voxels"))
 def sink_overwrite(spark, sf_dir):
-    path = _shared(spark, "overwrite")
+    """A reserved entry is written, then overwritten as a whole."""
+    writer = D.get_writer(spark, _shared(spark, "overwrite"))
     v = V.voxels(spark, sf_dir)
-    v.where("subject = 0").write.parquet(path)
-    v.where("subject = 1").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).select("subject", "z", "y", "x", "value")
+    writer.reserve("data", "subject int, z int, y int, x int, value double")
+    writer.write("data", v.withColumn("value", F.lit(0.0)))
+    writer.write("data", v)
+    return D.get_reader(spark, writer.path).read("data").select("subject", "z", "y", "x", "value")
 
 
 @query("udtf_patches", with_views("cubes", "SELECT s.subject, CAST(a.range*4 AS INTEGER) z0, CAST(b.range*4 AS INTEGER) y0, CAST(c.range*4 AS INTEGER) x0 FROM (SELECT subject, max(z) + 1 nz FROM cubes GROUP BY subject) s JOIN range(2) a ON a.range < nz // 4, range(2) b, range(2) c"))

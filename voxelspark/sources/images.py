@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -110,13 +110,14 @@ def decode_voxels(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, z int, y int, x int, channel int, value double")
 
 
-def encode_files(slices: DataFrame, key: str = "subject") -> DataFrame:
-    """Slices (key, z, width, data) as .mha files (path, content), one for each key."""
+def encode_files(slices: DataFrame, key: str = "subject", spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Slices (key, z, width, data) as .mha files (path, content), one for each key; spacing in x, y, z order."""
+    steps = list(spacing)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("z")
         array = np.stack([np.asarray(d, "<f8").reshape(-1, w) for d, w in zip(rows["data"], rows["width"], strict=True)])
-        return pd.DataFrame({"path": [f"{rows[key].iloc[0]}.mha"], "content": [write_mha(array, compressed=True)]})
+        return pd.DataFrame({"path": [f"{rows[key].iloc[0]}.mha"], "content": [write_mha(array, steps, compressed=True)]})
 
     return slices.groupBy(key).applyInPandas(run, "path string, content binary")
 
@@ -125,8 +126,8 @@ def load_voxels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return decode_voxels(read_files(spark, paths))
 
 
-def load_properties(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files as (path, size, spacing, origin, direction)."""
+def decode_properties(files: DataFrame) -> DataFrame:
+    """Files (path, content) as (path, size, spacing, origin, direction)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,4 +135,8 @@ def load_properties(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 info = parse_image(path, data)[1]
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([info["size"]], pa.list_(pa.int32())), *[pa.array([info[k]], pa.list_(pa.float64())) for k in ("spacing", "origin", "direction")]], names=["path", "size", "spacing", "origin", "direction"])
 
-    return read_files(spark, paths).mapInArrow(run, "path string, size array<int>, spacing array<double>, origin array<double>, direction array<double>")
+    return files.select("path", "content").mapInArrow(run, "path string, size array<int>, spacing array<double>, origin array<double>, direction array<double>")
+
+
+def load_properties(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return decode_properties(read_files(spark, paths))
