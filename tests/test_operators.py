@@ -378,3 +378,10 @@ def test_loop_entries_raise_if_one_is_missing(spark):
         T.loop_entries(lambda keys: T.intensity_rescale(0, 1, keys), ["T1", "T3"])(two).collect()
     with pytest.raises(ValueError, match="is needed"):
         T.checked(1, str)
+
+
+def test_elastic_deformation_moves_a_share(spark):
+    image = np.random.default_rng(0).random((40, 8, 8))
+    df = table(spark, image)
+    moved = lambda p: (array_of(T.elastic_deformation(1, p=p)(df)) != image).any(axis=(1, 2)).sum()
+    assert moved(0.0) == 0 and 0 < moved(0.5) < 40 and moved(1.0) == 40

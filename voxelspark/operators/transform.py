@@ -239,10 +239,10 @@ def _spline_weights(t: np.ndarray) -> np.ndarray:
     return np.stack([(1 - t) ** 3, 3 * t**3 - 6 * t**2 + 4, -3 * t**3 + 3 * t**2 + 3 * t + 1, t**3], axis=-1) / 6
 
 
-def elastic_deformation(seed: int, control_points: int = 4, sigma: float = 5.0, fill: float = 0.0, keys: Sequence[str] = ("subject", "z")) -> Transform:
+def elastic_deformation(seed: int, control_points: int = 4, sigma: float = 5.0, fill: float = 0.0, keys: Sequence[str] = ("subject", "z"), p: float = 1.0) -> Transform:
     """Random displacement of 2-D samples (y, x) on a B-spline grid of control points, linear interpolation.
 
-    A sample is one group, as large as one slice.
+    A sample is one group, as large as one slice; a share p of the samples is displaced, by seed and keys.
     """
     if control_points < 2 or sigma < 1:
         raise ValueError("at least two control points and a sigma of at least 1 are needed")
@@ -253,6 +253,8 @@ def elastic_deformation(seed: int, control_points: int = 4, sigma: float = 5.0,
         image = np.full((h, w), fill)
         image[rows.y, rows.x] = rows.value
         rng = np.random.default_rng([seed, *[crc32(str(rows[k].iloc[0]).encode()) for k in keys]])
+        if p < 1 and rng.random() >= p:
+            return rows
         noise = rng.normal(0, sigma, (2, control_points + 3, control_points + 3))
         places = [np.linspace(0, control_points - 1e-9, n) for n in (h, w)]
         wy, wx = (_spline_weights(x - np.floor(x)) for x in places)
