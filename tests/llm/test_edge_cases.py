@@ -297,6 +297,35 @@ def test_jaccard_crowds(spark, bounds):
     assert got == dict(enumerate(root))
 
 
+def test_jaccard_moves_few_texts(spark, monkeypatch):
+    """Texts that share one rare n-gram by chance are in no block; near copies are, short ones too."""
+    from voxelspark.llm import ngram_join
+
+    texts = []
+    for k in range(120):
+        w = [f"t{k}_{i}" for i in range(40)]
+        w[17:22] = [f"chance{k // 2}_{i}" for i in range(5)]
+        texts.append(" ".join(w))
+    base = [f"c{i}" for i in range(90)]
+    texts += [" ".join(base), " ".join([*base[:50], "changed", *base[51:]]), "s1 s2 s3 s4 s5 s6 s7", "s1 s2 s3 s4 s5 s6 s7 s8", "u1 u2 u3 u4 u5 u6", "u1 u2 u3 u4 u5 u6 u7"]
+    made, moved = ngram_join._texts, []
+
+    def spied(placed, *rest):
+        moved.extend(r.set_id for r in placed.collect())
+        return made(placed, *rest)
+
+    monkeypatch.setattr(ngram_join, "_texts", spied)
+    monkeypatch.setattr(ngram_join, "MAX_FREQUENT", 0)  # as where the order can't know all n-grams that repeat
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in rows(jaccard_components(df))}
+    assert got == {**{i: i for i in range(len(texts))}, 121: 120, 123: 122}
+    assert len(moved) == 4
+
+    found = {r.doc_id for r in rows(ngram_join._maybe(df, df.select("doc_id").where("doc_id % 40 = 0")))}
+    assert {0, 40, 80, 120} <= found and len(found) < 40
+    assert not rows(ngram_join._maybe(df, df.select("doc_id").where("doc_id < 0")))
+
+
 def test_toxicity(spark, docs, empty):
     texts = [(i, f"a calm day number {i} in the garden by the water" if i % 4 else f"you stupid clown number {i} are trash in the garden") for i in range(400)]
     many = spark.createDataFrame(texts, "doc_id long, text string")

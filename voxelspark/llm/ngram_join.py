@@ -5,13 +5,14 @@ n-grams in that order, and a prefix tree holds the sequences of a block, so sets
 a path. Probes walk the tree together: what they share with a path is counted once for all sets below it, and a
 subtree is left as soon as the overlap so far and the lengths that remain can't reach the threshold.
 
-Which sets get into one block: two sets of Jaccard similarity t have a common n-gram among the rarest
-|s| - ceil(t |s|) + 1 of each. So sets meet by those, and a meeting counts if the n-grams that both have beyond it in
-the order could make up the overlap that the sizes need.
+Which sets get into one block: two sets of Jaccard similarity t have their k rarest common n-grams among the rarest
+|s| - ceil(t |s|) + k of each, for any k up to the overlap that their sizes need. So sets meet by those, a meeting
+counts if the n-grams that both have beyond it in the order could make up the overlap, and a pair needs k meetings
+(COMMON): the more text there is, the more sets share one rare n-gram by chance.
 
 1. Each distinct set is told by a 64-bit hash of its n-grams; copies collapse to it.
-2. Meetings of few sets give pairs, those of many a star around one set. Their components are the blocks: every link
-   lies inside one. Each block's texts move once, to the task that joins them by a tree.
+2. Meetings of few sets give pairs, which are counted; those of many a star around one set. Their components are the
+   blocks: every link lies inside one. Each block's texts move once, to the task that joins them by a tree.
 3. A block over the bounds is cut into slices that each get a few leaders too. What slices can't tell, pairs and crowds
    whose sets are still apart, is then joined by trees of its own.
 """
@@ -41,6 +42,11 @@ SEEN_SETS = 200_000
 BUCKETS = 4
 #: Rows of texts that go to Python at once.
 TEXT_ROWS = 500
+#: Common n-grams among the rarest that a pair must show, or all that it needs if those are fewer.
+COMMON = 4
+#: Bits of the filter that tells which texts may be wanted: this many for each, and at most in all. More wanted texts
+#: than it has room for cost a move, never a result.
+FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 27
 #: n-grams of an edge that a walk takes between two looks at the bounds, and cells of a walk's table of probes.
 STEP, CELLS = 256, 1 << 23
 #: Stands for a null id inside, larger than any.
@@ -192,8 +198,11 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def meeting_pairs(entries: np.ndarray, percent: int, crowd: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of entries that meet and can reach the overlap; entries are sorted by key and size."""
+def meeting_pairs(entries: np.ndarray, percent: int, crowd: int, common: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of entries that meet and can reach the overlap; entries are sorted by key and size.
+
+    common: a meeting counts if it may be among this many last ones, in the order, of a pair.
+    """
     key, n, rest = entries["key"], entries["n"].astype(np.int64), entries["rest"].astype(np.int64)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, crowd):
@@ -201,23 +210,27 @@ def meeting_pairs(entries: np.ndarray, percent: int, crowd: int) -> tuple[np.nda
         if not len(i):
             break
         j = i + step
-        fits = (n[i] * 100 >= percent * n[j]) & (1 + np.minimum(rest[i], rest[j]) >= _needed(n[i], n[j], percent))
+        fits = (n[i] * 100 >= percent * n[j]) & (common + np.minimum(rest[i], rest[j]) >= _needed(n[i], n[j], percent))
         left.append(i[fits])
         right.append(j[fits])
     return np.concatenate(left), np.concatenate(right)
 
 
-def may_meet(n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+def may_meet(n: np.ndarray, rest: np.ndarray, percent: int, common: int = 1) -> np.ndarray:
     """Which sets of one meeting, sorted by size, have another whose size lets them reach the overlap; never too few."""
-    most = (100 + percent) * (rest + 1) // percent - n  # of a partner's size
+    most = (100 + percent) * (rest + common) // percent - n  # of a partner's size
     at = np.searchsorted(n, -(-percent * n // 100))
     at = np.where(at == np.arange(len(n)), at + 1, at)
     return (at < len(n)) & (n[np.minimum(at, len(n) - 1)] <= most)
 
 
 def _meetings(docs: DataFrame, order, n: int, percent: int, parts: int, crowd: int) -> DataFrame:
-    """Pairs (a, b) of sets that meet among few (gid null), and sets a of crowds; equal crowds share a gid."""
+    """Pairs (a, b) of sets that meet among few (gid null), and sets a of crowds; equal crowds share a gid.
+
+    A pair comes with the number of its meetings and the number that it needs, unless both are in one crowd.
+    """
     buckets = parts * BUCKETS
+    names = ["gid", "a", "b", "times", "least"]
 
     @_quiet
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +257,7 @@ def _meetings(docs: DataFrame, order, n: int, percent: int, parts: int, crowd: i
                     h = set_hash(grams)
                     if not h or not seen.new(h):
                         continue
-                    keep = len(grams) - -(-percent * len(grams) // 100) + 1
+                    keep = min(len(grams), len(grams) - -(-percent * len(grams) // 100) + COMMON)
                     keys = known.keys(grams)[-keep:]
                     entry = np.empty(keep, ENTRY)
                     entry["key"], entry["set"], entry["n"], entry["rest"], entry["parts"] = keys, h, len(grams), np.arange(len(grams) - keep, len(grams)), 1
@@ -273,7 +286,7 @@ def _meetings(docs: DataFrame, order, n: int, percent: int, parts: int, crowd: i
             own = entries[edge[k] : edge[k] + size[k]]
             if own["parts"][0] == 1:
                 for _ in range(3):
-                    own = own[may_meet(own["n"].astype(np.int64), own["rest"].astype(np.int64), percent)]
+                    own = own[may_meet(own["n"].astype(np.int64), own["rest"].astype(np.int64), percent, COMMON)]
                 if len(own) <= crowd:
                     rest.append(own)
                     continue
@@ -286,13 +299,19 @@ def _meetings(docs: DataFrame, order, n: int, percent: int, parts: int, crowd: i
             gids.append(np.full(len(own), gid, np.uint64))
             members.append(own["set"])
         small = np.concatenate(rest)
-        i, j = meeting_pairs(small, percent, crowd)
+        i, j = meeting_pairs(small, percent, crowd, COMMON)
         a, b = small["set"][i], small["set"][j]
         if len(a):
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["gid", "a", "b"])
+            least = np.minimum(_needed(small["n"][i].astype(np.int64), small["n"][j].astype(np.int64), percent), COMMON)
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            by = np.lexsort((b, a))
+            a, b, least = a[by], b[by], least[by]
+            at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            times = np.minimum(np.diff(np.append(at, len(a))), COMMON)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(a[at]), pa.array(b[at]), pa.array(times.astype(np.int32)), pa.array(least[at].astype(np.int32))], names=names)
         for gid, sets in zip(gids, members, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(gid.astype(np.int64)), pa.array(np.ascontiguousarray(sets)), pa.nulls(len(sets), pa.int64())], names=["gid", "a", "b"])
+            none = pa.nulls(len(sets), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(gid.astype(np.int64)), pa.array(np.ascontiguousarray(sets)), pa.nulls(len(sets), pa.int64()), none, none], names=names)
 
     @_quiet
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +327,7 @@ def _meetings(docs: DataFrame, order, n: int, percent: int, parts: int, crowd: i
             yield from of_bucket(held)
 
     sent = docs.mapInArrow(prefixes, "bucket int, entries binary")
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, a long, b long")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, a long, b long, times int, least int")
 
 
 class PrefixTree:
@@ -510,14 +529,46 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return top.column("set_id").to_numpy().astype(np.uint64), top.column("n").to_numpy()
 
 
+def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids, and few others. ids: one column."""
+    spark = docs.sparkSession
+    bits = min(MAX_FILTER_BITS, 1 << (FILTER_BITS * ids.count() + 63).bit_length())
+
+    def places(column: pa.Array) -> np.ndarray:
+        return mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)
+
+    @_quiet
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = places(batch.column(0))
+            word, bit = (at >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit)], names=["word", "bit"])
+
+    found = ids.mapInArrow(put, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # bounded
+    words = np.zeros(bits >> 6, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    held = spark.sparkContext.broadcast(words)
+
+    @_quiet
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = places(batch.column(0))
+            there = held.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            if there.any():
+                yield batch.filter(pa.array(there.astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _texts(placed: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """The rows of placed (set_id, ...) with a text for each set. Rows of one id may hold different texts.
 
-    The scan's partitions are narrow, so only texts that are wanted move.
+    A filter by id drops most of the other texts before any move.
     """
     holder = rows.join(placed.select("set_id"), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("holder"))
-    wanted = placed.join(holder, "set_id")
+    wanted = stash(placed.join(holder, "set_id"))
     columns = [*placed.columns, "text"]
+    docs = _maybe(docs, wanted.select("holder"))
     near = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["holder"]).select(*columns)
 
     @_quiet
@@ -531,7 +582,9 @@ def _texts(placed: DataFrame, docs: DataFrame, rows: DataFrame, n: int) -> DataF
                     at += 1
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return stash(near.mapInArrow(run, near.schema), TEXT_ROWS)
+    out = stash(near.mapInArrow(run, near.schema), TEXT_ROWS)
+    drop_stash(wanted)
+    return out
 
 
 def _apart(pairs: DataFrame, crowds: DataFrame, big: DataFrame, roots: DataFrame) -> DataFrame:
@@ -578,7 +631,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop_stash(counts)
 
     met = stash(_meetings(docs, order, n, percent, parts, bounds.crowd), TEXT_ROWS)
-    pairs = met.where("gid IS NULL").select("a", "b").distinct()
+    pairs = met.where("gid IS NULL").groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("least").alias("least"))
+    pairs = stash(pairs.where("times >= least").select("a", "b"))
     crowds = met.where("gid IS NOT NULL").select("gid", "a").distinct()
     star = crowds.groupBy("gid").agg(F.min("a").alias("b"))
     near = components(pairs.unionByName(crowds.join(star, "gid").where("a <> b").select("a", "b")))
@@ -609,7 +663,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             cut = components(links.unionByName(more.select("a", "b")))
         drop_stash(more)
         roots = roots.unionByName(cut)
-    drop_stash(met, near, texts)
+    drop_stash(met, pairs, near, texts)
     order.destroy()  # every table that needs it is written
 
     sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("low")).where("set_id <> 0")
