@@ -326,6 +326,31 @@ def test_jaccard_moves_few_texts(spark, monkeypatch):
     assert not rows(ngram_join._maybe(df, df.select("doc_id").where("doc_id < 0")))
 
 
+def test_near_duplicates_moves_few_texts(spark, monkeypatch):
+    """The pipeline's stage sends no text for pairs that meet at one n-gram by chance, and keeps one of each group."""
+    import corpus_pipeline
+    from voxelspark.llm import ngram_join
+
+    texts = []
+    for k in range(120):
+        w = [f"p{k}_{i}" for i in range(40)]
+        w[9:14] = [f"met{k // 2}_{i}" for i in range(5)]
+        texts.append(" ".join(w))
+    texts += [COPY, COPY.replace("copied7 ", "changed "), None]
+    made, moved = ngram_join._texts, []
+
+    def spied(placed, *rest):
+        moved.extend(r.set_id for r in placed.collect())
+        return made(placed, *rest)
+
+    monkeypatch.setattr(ngram_join, "_texts", spied)
+    monkeypatch.setattr(ngram_join, "MAX_FREQUENT", 0)
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = rows(corpus_pipeline.near_duplicates(spark, df, ""))
+    assert sorted(r.doc_id for r in out) == [i for i in range(123) if i != 121]
+    assert len(moved) == 2
+
+
 def test_toxicity(spark, docs, empty):
     texts = [(i, f"a calm day number {i} in the garden by the water" if i % 4 else f"you stupid clown number {i} are trash in the garden") for i in range(400)]
     many = spark.createDataFrame(texts, "doc_id long, text string")
