@@ -351,6 +351,28 @@ def test_near_duplicates_moves_few_texts(spark, monkeypatch):
     assert len(moved) == 2
 
 
+def test_near_duplicates_shared_passage(spark, monkeypatch):
+    """A passage that many unlike texts share makes no block of them, though no task sees two of them."""
+    import corpus_pipeline
+    from voxelspark.llm import ngram_join
+
+    passage = [f"shared{i}" for i in range(20)]
+    texts = [" ".join([*(f"q{k}_{i}" for i in range(20)), *passage, *(f"r{k}_{i}" for i in range(20))]) for k in range(80)]
+    texts.append(texts[7].replace("q7_3 ", "changed "))
+    made, moved = ngram_join._texts, []
+
+    def spied(placed, *rest):
+        moved.extend(r.set_id for r in placed.collect())
+        return made(placed, *rest)
+
+    monkeypatch.setattr(ngram_join, "_texts", spied)
+    data = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(data, len(data)), "doc_id long, text string, lang string, source string, n_chars long")
+    out = rows(corpus_pipeline.near_duplicates(spark, df, ""))
+    assert sorted(r.doc_id for r in out) == list(range(80))
+    assert len(moved) == 2
+
+
 def test_toxicity(spark, docs, empty):
     texts = [(i, f"a calm day number {i} in the garden by the water" if i % 4 else f"you stupid clown number {i} are trash in the garden") for i in range(400)]
     many = spark.createDataFrame(texts, "doc_id long, text string")

@@ -34,6 +34,9 @@ from .common import SpanHash, chunks, drop_stash, lower_ascii, mix, partitions_o
 MAX_FREQUENT = 1 << 20
 #: n-grams that a task holds to count them.
 COUNT_GRAMS = 1 << 21
+#: One text of so many, by hash, is taken to find n-grams that make crowds, and how often it must show one, as a share
+#: of a crowd. A task sees few of the sets that share such an n-gram, so it can't tell by its own.
+SAMPLE, SHOWN = 4, 8
 #: Entries of prefixes that a task holds to send them by buckets.
 SEND_ENTRIES = 1 << 18
 #: Sets that a task remembers so as not to send copies again.
@@ -190,6 +193,65 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, set_id long, n long")
 
 
+def _sampled(docs: DataFrame, n: int, parts: int, crowd: int) -> DataFrame:
+    """n-grams (set_id) that enough texts of a sample hold to make crowds, with their counts (n) carried to all texts.
+
+    Copies in one task count once. Sets in one crowd by such an n-gram needn't be alike, and crowds chain to blocks that
+    grow with the input; first in the order, it only leads to sets that hold little else.
+    """
+    buckets = parts * BUCKETS
+
+    @_quiet
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, out, held = _Seen(), [], 0
+
+        def sent() -> pa.RecordBatch:
+            grams = np.concatenate(out)
+            out.clear()
+            bucket = (mix(grams) % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            grams, bucket = grams[by], bucket[by]
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            data = [grams[i:j].tobytes() for i, j in zip(edge, np.append(edge[1:], len(grams)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(data, pa.binary())], names=["bucket", "grams"])
+
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                for grams in shingle_sets(chunk, n):
+                    if len(grams) and seen.new(set_hash(grams)):
+                        out.append(grams)
+                        held += len(grams)
+                if held > COUNT_GRAMS:
+                    yield sent()
+                    held = 0
+        if held:
+            yield sent()
+
+    def count(held: list[np.ndarray]) -> pa.RecordBatch:
+        grams = np.sort(np.concatenate(held))
+        held.clear()
+        edge = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        times = np.diff(np.append(edge, len(grams)))
+        often = times > max(1, crowd // SHOWN)
+        return pa.RecordBatch.from_arrays([pa.array(grams[edge[often]].astype(np.int64)), pa.array(times[often] * SAMPLE)], names=["set_id", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last = None
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != last and held:
+                    yield count(held)
+                last = bucket
+                held.append(np.frombuffer(data.as_py(), np.uint64))
+        if held:
+            yield count(held)
+
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    sent = texts.mapInArrow(grams_of, "bucket int, grams binary")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(counted, "set_id long, n long")
+
+
 ENTRY = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<u4"), ("rest", "<u4"), ("parts", "<u4")])
 
 
@@ -626,7 +688,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     scan = stash(_scan(docs, n), TEXT_ROWS)
     rows = scan.where("kind = 0").select(F.col("id").alias("doc_id"), "set_id", "n")
-    counts = stash(scan.where("kind = 1").groupBy("set_id").agg(F.sum("n").alias("n")))
+    often = stash(_sampled(docs, n, parts, bounds.crowd), TEXT_ROWS)
+    counts = scan.where("kind = 1").groupBy("set_id").agg(F.sum("n").alias("n")).unionByName(often)
+    counts = stash(counts.groupBy("set_id").agg(F.max("n").alias("n")))
+    drop_stash(often)
     order = spark.sparkContext.broadcast(Order(*_frequent(counts), bounds.hot))
     drop_stash(counts)
 
