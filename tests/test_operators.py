@@ -226,6 +226,89 @@ def test_registration_recovers_a_shift(spark):
     assert np.abs(got - blob(12, 12)).mean() < np.abs(blob(14, 10) - blob(12, 12)).mean() / 3
 
 
+def registered_alone(target, image, bins, iterations, factors=(2, 1)):
+    """One image moved rigidly onto another, by NumPy's histograms."""
+
+    def moved(p):
+        m = np.array([[np.cos(p[0]), -np.sin(p[0])], [np.sin(p[0]), np.cos(p[0])]])
+        grid = np.stack(np.meshgrid(*map(np.arange, target.shape), indexing="ij"), axis=-1) - (np.array(target.shape) - 1) / 2
+        at = grid @ m.T + p[1:] + (np.array(image.shape) - 1) / 2
+        i0 = np.floor(at).astype(int)
+        (y, x), (fy, fx) = np.moveaxis(i0, -1, 0), np.moveaxis(at - i0, -1, 0)
+        padded = np.pad(image, 1)
+        pick = lambda a, b: padded[np.clip(a + 1, 0, padded.shape[0] - 1), np.clip(b + 1, 0, padded.shape[1] - 1)]
+        return (pick(y, x) * (1 - fx) + pick(y, x + 1) * fx) * (1 - fy) + (pick(y + 1, x) * (1 - fx) + pick(y + 1, x + 1) * fx) * fy
+
+    def score(p, factor):
+        joint = np.histogram2d(target[::factor, ::factor].ravel(), moved(p)[::factor, ::factor].ravel(), bins)[0]
+        joint /= joint.sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return float(np.nansum(joint * np.log(joint / np.outer(joint.sum(1), joint.sum(0)))))
+
+    p = np.zeros(3)
+    for factor in factors:
+        step, best = np.array([0.1, factor, factor]), score(p, factor)
+        for _ in range(iterations):
+            tried = [p + s * step * e for e in np.eye(3) for s in (1, -1)]
+            values = [score(q, factor) for q in tried]
+            if max(values) > best + 1e-9:
+                best, p = max(values), tried[int(np.argmax(values))]
+            else:
+                step = step / 2
+                if step.max() < 1e-3:
+                    break
+    return moved(p)
+
+
+def test_registration_in_blocks_equals_one_by_one(spark, monkeypatch):
+    """Images of several sizes, alone on either side, under a null key, larger than a block and cut by Arrow's batches."""
+    rng = np.random.default_rng(3)
+    fixed, moving, want = [], [], {}
+    rows_of = lambda k, a: [(k, *map(int, i), float(v)) for i, v in np.ndenumerate(a)]
+    for k in [None, *range(40)]:
+        n = k or 0
+        target, image = rng.normal(size=(6 + n % 2, 5)), np.round(rng.normal(size=(6, 5 + n % 3)), n % 4)
+        if n % 13 != 12:
+            fixed += rows_of(k, target)
+        if n % 13 != 11:
+            moving += rows_of(k, image)
+            want[k] = image if n % 13 == 12 else registered_alone(target, image, 6, 8)
+    monkeypatch.setattr(L, "CELLS", 100)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        tables = (spark.createDataFrame(rows, "subject long, y int, x int, value double").repartition(3, "value") for rows in (fixed, moving))
+        fixed, moving = tables
+        out = L.register_images(fixed, bins=6, iterations=8)(moving).collect()
+        itself = [sorted(map(str, L.register_images(moving, bins=6, iterations=8)(d).collect())) for d in (moving, moving.select("*"))]
+        assert itself[0] == itself[1]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {}
+    for r in out:
+        assert (r.y, r.x) not in got.setdefault(r.subject, {})
+        got[r.subject][r.y, r.x] = r.value
+    assert got.keys() == want.keys()
+    for k, image in want.items():
+        assert got[k] == {tuple(map(int, i)): v for i, v in np.ndenumerate(image)}
+
+
+def test_registration_of_many_small_images_is_done_together(spark):
+    """No call for each image: a block takes less than a tenth of the time that its images take alone."""
+    import time
+
+    images = np.random.default_rng(0).normal(size=(256, 8, 8))
+    L.registered_images(images[:8], images[:8], "rigid", 8, 5, (2, 1))
+    began = time.process_time()
+    out = L.registered_images(images, images, "rigid", 8, 5, (2, 1))
+    together = time.process_time() - began
+    began = time.process_time()
+    assert all(np.array_equal(out[i], registered_alone(images[i], images[i], 8, 5)) for i in range(64))
+    assert together < 4 * (time.process_time() - began) / 10
+    plan = L.register_images(table(spark, images[0]))(table(spark, images[0]))._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan
+
+
 def test_bias_correction_flattens(spark):
     rng = np.random.default_rng(0)
     truth = np.where(rng.random((6, 12, 12)) < 0.5, 50.0, 100.0)
