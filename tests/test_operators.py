@@ -468,3 +468,71 @@ def test_elastic_deformation_moves_a_share(spark):
     df = table(spark, image)
     moved = lambda p: (array_of(T.elastic_deformation(1, p=p)(df)) != image).any(axis=(1, 2)).sum()
     assert moved(0.0) == 0 and 0 < moved(0.5) < 40 and moved(1.0) == 40
+
+
+def test_images_are_unpacked_piece_by_piece(spark):
+    """Two images of 6 million voxels in one partition (64 MB each, but small as stored) take no worker 300 MB."""
+    import threading
+
+    import psutil
+
+    image = np.zeros((96, 256, 256))
+    image[95, 255, 254] = 7
+    files = spark.createDataFrame([(f"{n}.mha", images.write_mha(image, compressed=True)) for n in (1, 2)], "path string, content binary").coalesce(1)
+    peak, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            for child in psutil.Process().children(recursive=True):
+                try:
+                    if "python" in child.name():
+                        peak[0] = max(peak[0], child.memory_info().rss)
+                except psutil.Error:
+                    pass
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        out = images.decode_voxels(files)
+        assert out.count() == 2 * image.size
+        assert sorted(map(tuple, out.where("value > 0").collect())) == [(f"{n}.mha", 95, 255, 254, 0, 7.0) for n in (1, 2)]
+    finally:
+        over.set()
+        watcher.join()
+    assert 0 < peak[0] < 300e6
+
+
+def test_image_files_from_slices_in_any_order_and_batch(spark):
+    """Slices come in pieces of three and leave as one file for each key, in order of z; other shapes are refused."""
+    rng = np.random.default_rng(5)
+    want = {k: rng.normal(size=(11 + k, 3, 2 + k)) for k in range(4)}
+    rows = [(k, z, a.shape[2], s.ravel().tolist()) for k, a in want.items() for z, s in enumerate(a)]
+    slices = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "subject int, z int, width int, data array<double>").repartition(3)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        files = {r.path: bytes(r.content) for r in images.encode_files(slices, spacing=(1.0, 2.0, 3.0)).collect()}
+        assert files.keys() == {f"{k}.mha" for k in want}
+        for k, a in want.items():
+            array, info = images.parse_mha(files[f"{k}.mha"])
+            assert np.array_equal(array, a) and info["spacing"] == [1.0, 2.0, 3.0]
+        with pytest.raises(Exception, match="the same shape"):
+            images.encode_files(slices.withColumn("subject", slices.subject % 2)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_image_streams_equal_their_arrays(spark, compressed):
+    """Parts of any length; a file that ends early or has a broken sum fails."""
+    image = np.arange(6 * 7 * 5, dtype="<f4").reshape(6, 7, 5)
+    data = images.write_mha(image, compressed=compressed)
+    for n in (1, 4, 209, 210, 1000):
+        assert np.array_equal(np.concatenate(list(images.open_mha(data).parts(n))), image.ravel())
+    for broken in [data[:-1], data[:-20], *([data[:-1] + bytes([data[-1] ^ 1])] if compressed else [])]:
+        with pytest.raises((ValueError, OSError, images.zlib.error)):
+            list(images.open_mha(broken).parts(50))
+    files = spark.createDataFrame([("a.mha", data)], "path string, content binary")
+    got = {(r.z, r.y, r.x): r.value for r in images.decode_voxels(files).collect()}
+    assert got == {tuple(map(int, i)): float(v) for i, v in np.ndenumerate(image)}
+    assert images.decode_properties(files).first().asDict()["size"] == [5, 7, 6]
